@@ -1,12 +1,18 @@
 """Queries of the document operators, and SQL for those that SQL can express."""
 
+from .decontaminate import op8_decontamination
 from .packing import op7_packing
+from .quality import op5_quality
+from .simhash import op10_simhash
 from .token_counts import op6_token_counts
 from .token_files import op4_token_files
 
 QUERIES = {
     "op4_token_files": op4_token_files,
+    "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op8_decontamination": op8_decontamination,
+    "op10_simhash": op10_simhash,
 }
 SQL: dict[str, str] = {}
