@@ -197,6 +197,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     return found.select("doc_id", "n_words", "hit", "items")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """docs without rows in which a benchmark window occurs; all columns stay as they are.
+
+    Equal rows fare alike; rows that share a doc_id are told apart by their text.
+    """
+    marked = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("key"))
+    found = contamination(docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("doc_id"), "text"), benchmark, width)
+    return marked.join(found.where(F.size("hit") > 0).select("doc_id").distinct(), F.col("key") == F.col("doc_id"), "left_anti").select("row.*")
+
+
 def near(docs: DataFrame, terms: list[str], within: int) -> DataFrame:
     """Proximity matches: (doc_id, start, end) in words, the shortest spans of at most `within` words that hold all terms."""
     words = [w for t in terms for w in words_of(t)]

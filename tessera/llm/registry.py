@@ -1,13 +1,18 @@
 """Queries of the document operators, and SQL for those that SQL can express."""
 
 from .decontaminate import op8_decontamination
+from .line_dedup import SQL as LINE_DEDUP_SQL
+from .line_dedup import op2_line_dedup
 from .packing import op7_packing
 from .quality import op5_quality
 from .simhash import op10_simhash
 from .token_counts import op6_token_counts
 from .token_files import op4_token_files
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
@@ -15,4 +20,4 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op10_simhash": op10_simhash,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL}
