@@ -5,6 +5,7 @@ from .line_dedup import SQL as LINE_DEDUP_SQL
 from .line_dedup import op2_line_dedup
 from .packing import op7_packing
 from .quality import op5_quality
+from .repeats import op9_suffix_arrays
 from .simhash import op10_simhash
 from .token_counts import op6_token_counts
 from .token_files import op4_token_files
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_suffix_arrays": op9_suffix_arrays,
     "op10_simhash": op10_simhash,
 }
 SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL}
