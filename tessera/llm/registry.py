@@ -3,6 +3,7 @@
 from .decontaminate import op8_decontamination
 from .line_dedup import SQL as LINE_DEDUP_SQL
 from .line_dedup import op2_line_dedup
+from .mixing import op1_context_mixing
 from .packing import op7_packing
 from .quality import op5_quality
 from .repeats import op9_suffix_arrays
@@ -12,6 +13,7 @@ from .token_files import op4_token_files
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_context_mixing": op1_context_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
