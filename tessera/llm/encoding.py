@@ -26,10 +26,11 @@ class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes.
 
     cut: "space" for byte-level vocabularies that keep white space, "word" for those that drop it, "none" to encode whole
-    texts. keep: pieces remembered before the memory is emptied; it bounds memory and changes no result.
+    texts. keep: pieces remembered, in each of two generations: when one is full, the older goes, and pieces that are met
+    again pass into the newer. It bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, cut: str, keep: int = 700_000):
+    def __init__(self, path: str, cut: str, keep: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,15 +38,31 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut, self.keep, self.known = cut, keep, {}
+        self.cut, self.keep, self.known, self.older, self.heads = cut, keep, {}, {}, {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, pieces: list[str], prefix: str) -> None:
+    def _head(self, text: str) -> bytes:
+        found = self.heads.get(text)
+        if found is None:
+            if len(self.heads) > self.keep // 10:
+                self.heads = {}
+            found = self.heads[text] = self._whole(text)
+        return found
+
+    def _learn(self, pieces: set[str], prefix: str) -> None:
         if len(self.known) > self.keep:
-            self.known = {}
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast([prefix + p for p in pieces], add_special_tokens=False)):
+            self.known, self.older = {}, self.known
+        older = self.older
+        new = []
+        for piece in pieces:
+            ids = older.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                self.known[piece] = ids
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast([prefix + p for p in new], add_special_tokens=False)):
             self.known[piece] = array("I", found.ids).tobytes()
 
     def _pieces(self, text: str) -> tuple[bytes, list[str]] | None:
@@ -55,18 +72,16 @@ class PieceEncoder:
         if self.cut != "space" or "  " in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or _other_space(text):
             return None
         head, *pieces = text.split(" ")
-        return self._whole(head), pieces
+        return self._head(head), pieces
 
     def encode(self, texts: list[str]) -> list[bytes]:
         prefix = " " if self.cut == "space" else ""
         parts = [self._pieces(x) for x in texts]
         found = [None if p is None else list(map(self.known.get, p[1])) for p in parts]
         missing = {piece for p, ids in zip(parts, found) if p is not None and None in ids for piece, x in zip(p[1], ids) if x is None}
-        fresh = {}
         if missing:
-            before = self.known
-            self._learn(list(missing), prefix)
-            fresh = self.known if self.known is not before else before
+            self._learn(missing, prefix)
+        fresh = self.known
         out = []
         for text, p, ids in zip(texts, parts, found):
             if p is None:

@@ -406,7 +406,7 @@ def adapted_field(spark, sf):
     """Means of a smooth bump, adapted."""
     x, y = fields.centres(2)
     bump = F.exp(-((x - 0.3) * (x - 0.3) + (y - 0.3) * (y - 0.3)) * 60)
-    config = mesh.Config(dim=2, min_level=3, max_level=LEVEL, epsilon=1e-2, regularity=1.0)
+    config = mesh.Config(dim=2, min_level=4, max_level=LEVEL, epsilon=1e-2, regularity=1.0)
     field = fields.make_field(_area(spark).where(f"level = {LEVEL}"), bump)
     return multires.adapt(field, config, multires.domain_limits(spark, config, (0, 0), (SIDE, SIDE), LEVEL), "u").select("level", *IJ, "u")
 
@@ -514,8 +514,8 @@ def matrix_product(spark, sf):
 def heat_implicit(spark, sf):
     """One implicit step of the heat equation."""
     m, area = lenses.mesh(spark, sf), _area(spark)
-    a = solve.diffusion_matrix(m, area, 2, shift=1e4)
-    rhs = m.select(solve.cell_id().alias("id"), (F.col("u") * 1e4 * F.pow(F.lit(0.25), F.col("level"))).alias("v"))
+    a = solve.diffusion_matrix(m, area, 2, shift=1e5)
+    rhs = m.select(solve.cell_id().alias("id"), (F.col("u") * 1e5 * F.pow(F.lit(0.25), F.col("level"))).alias("v"))
     return solve.on_cells(solve.conjugate_gradient(a, rhs, 1e-6), m).select("level", *IJ, "u")
 
 
