@@ -144,6 +144,19 @@ def exists(cells: DataFrame, table: DataFrame) -> DataFrame:
     return cells.join(table.select(*CELL).distinct().withColumn("there", F.lit(True)), CELL, "left").withColumn("there", F.coalesce("there", F.lit(False)))
 
 
+def ghost_kinds(cells: DataFrame, leaves: DataFrame, area: DataFrame, config: Config) -> DataFrame:
+    """cells with a column `kind`: cell (a leaf), projection (has leaves below), outside (not in `area`), else prediction.
+
+    area: the domain's cells on every level of `cells`.
+    """
+    tables = {"leaf": leaves, "above": ancestors(leaves, config.min_level), "inside": area}
+    out = cells.select(*CELL)
+    for name, table in tables.items():
+        out = out.join(table.select(*CELL).distinct().withColumn(name, F.lit(True)), CELL, "left")
+    kind = F.when(F.col("leaf"), "cell").when(F.col("above"), "projection").when(F.col("inside"), "prediction").otherwise("outside")
+    return out.select(*CELL, kind.alias("kind"))
+
+
 def gravity_centre(leaves: DataFrame, dim: int) -> DataFrame:
     volume = F.pow(length(F.col("level")), F.lit(dim))
     return leaves.agg(*((F.sum(volume * centre(F.col("level"), F.col(a))) / F.sum(volume)).alias(f"c_{a}") for a in AXES[:dim]))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.levels import AXES, CELL, down
 from tessera.functions.prediction import descendant, table
-from tessera.functions.stencils import Offset, box
+from tessera.functions.stencils import Offset, box, directions
 
-from .mesh import COARSEN, ENLARGE, KEEP, REFINE, Config, ancestors, from_tags, graduate, neighbourhood, refine
+from .mesh import COARSEN, ENLARGE, KEEP, REFINE, Config, ancestors, boundary, from_tags, graduate, neighbourhood, refine
 
 
 def parent_of() -> list[Column]:
@@ -118,6 +118,13 @@ def keep_around_refine(tags: DataFrame, dim: int) -> DataFrame:
     return spread(tags, box(dim, 1), REFINE, KEEP)
 
 
+def keep_boundary_refined(tags: DataFrame, area: DataFrame, config: Config) -> DataFrame:
+    """Leaves of the finest level at the border of `area` keep."""
+    fine, own = tags.where(F.col("level") == config.max_level).select(*CELL), area.where(F.col("level") == config.max_level)
+    edge = reduce(DataFrame.unionByName, [boundary(fine, own, d) for d in directions(config.dim)]).distinct().withColumn("give", F.lit(KEEP))
+    return tags.join(edge, CELL, "left").select(*CELL, F.col("tag").bitwiseOR(F.coalesce("give", F.lit(0))).alias("tag"))
+
+
 def refine_above(tags: DataFrame, flag: int = KEEP, give: int = REFINE, offsets: list[Offset] = ((0, 0, 0),)) -> DataFrame:
     """A flag on a cell, moved by the offsets, gives a flag to the leaf one level coarser that is there."""
     near = neighbourhood(tags.where(F.col("tag").bitwiseAND(flag) != 0).select(*CELL), list(offsets))

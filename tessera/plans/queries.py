@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 from tessera.functions import curves, stencils
 from tessera.functions.levels import CELL, centre
 from tessera.functions.prediction import descendant
-from tessera.operators import boundary, fields, intervals, lattice, mesh, multires, partition, schemes, sets, solve
+from tessera.operators import boundary, boxes, fields, intervals, lattice, mesh, multires, partition, schemes, sets, solve
 from tessera.sources import tables
 from tessera.streaming import loops
 
 from . import lenses
 from .lenses import LEVEL, SIDE
+from .session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -596,3 +598,176 @@ def advection(spark, sf):
         return schemes.explicit_step(field, schemes.upwind_expression(field, ghosts, [1.0, 1.0]), dt)
 
     return loops.march(lenses.grid(spark, sf), step, 1 / 128, 2 / 128).select(*IJ, "u")
+
+
+# More on meshes
+
+
+@query("select 6 as level, s.i, s.j from square s where i < 32 and j < 32 and not (i between 8 and 15 and j between 4 and 19)")
+def domain_of_boxes(spark, sf):
+    return mesh.domain(spark, 6, [((0, 0), (32, 32))], [((8, 4), (16, 20))]).select("level", *IJ)
+
+
+@query("select 6 as level, 64 + n as i, j from range(64) x(j), (values (0), (1)) t(n)".replace("j from range", "j::int as j from range"))
+def outer_layer(spark, sf):
+    return mesh.outer_layer(_area(spark).where("level = 6"), (1, 0, 0), 2).select("level", *IJ)
+
+
+GHOSTS = "g as (select distinct level, (i + x.e)::int as i, (j + y.d)::int as j from mesh, range(-1, 2) x(e), range(-1, 2) y(d)), up as (select distinct x.l::int as level, i >> (level - x.l)::int as i, j >> (level - x.l)::int as j from mesh, range(4, 6) x(l) where x.l < level)"
+
+
+@query(GHOSTS + " select g.level, g.i, g.j, case when m.i is not null then 'cell' when up.i is not null then 'projection' when g.i < 0 or g.j < 0 or g.i >= 1 << g.level or g.j >= 1 << g.level then 'outside' else 'prediction' end as kind from g left join mesh m on m.level = g.level and m.i = g.i and m.j = g.j left join up on up.level = g.level and up.i = g.i and up.j = g.j")
+def ghost_kinds(spark, sf):
+    m = lenses.mesh(spark, sf)
+    return mesh.ghost_kinds(mesh.with_ghosts(m, 2, 1), m, _area(spark), CONFIG).select("level", *IJ, "kind")
+
+
+@query("select level, i, j, row_number() over (partition by level, j order by i) - 1 as number from mesh".replace("row_number() over (partition by level, j order by i) - 1", "(row_number() over (partition by level, j order by i) - 1)::int"))
+def cell_numbers(spark, sf):
+    return tables.numbered(lenses.mesh(spark, sf)).select("level", *IJ, "number")
+
+
+_BOXES = "bx as (select p_partkey as id, (p_partkey % 17)::int as x0, (p_partkey % 17 + 1 + p_size % 7)::int as x1, (p_size % 13)::int as y0, (p_size % 13 + 1 + p_partkey % 5)::int as y1 from part)"
+
+
+def _boxes(spark, sf):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    low, high = F.array((key % 17).cast("int"), (size % 13).cast("int")), F.array((key % 17 + 1 + size % 7).cast("int"), (size % 13 + 1 + key % 5).cast("int"))
+    return lenses.table(spark, sf, "part").select(key.alias("id"), low.alias("lo"), high.alias("hi"))
+
+
+def _corners(df: DataFrame) -> DataFrame:
+    return df.select("id", *(F.col(c)[n].alias(f"{a}{s}") for s, c in enumerate(("lo", "hi")) for n, a in enumerate("xy")))
+
+
+@query(_BOXES + " select id, greatest(x0, 8) as x0, greatest(y0, 6) as y0, least(x1, 14) as x1, least(y1, 11) as y1 from bx where x0 < 14 and 8 < x1 and y0 < 11 and 6 < y1")
+def box_intersection(spark, sf):
+    return _corners(boxes.intersection(_boxes(spark, sf), (8, 6), (14, 11)))
+
+
+@query(_BOXES + ", xs as (select id, greatest(x0, s.a) as x0, least(x1, s.b) as x1, s.m as mx from bx, (values (-1000, 8, 0), (8, 14, 1), (14, 1000, 0)) s(a, b, m) where greatest(x0, s.a) < least(x1, s.b)), ys as (select id, greatest(y0, s.a) as y0, least(y1, s.b) as y1, s.m as my from bx, (values (-1000, 6, 0), (6, 11, 1), (11, 1000, 0)) s(a, b, m) where greatest(y0, s.a) < least(y1, s.b)) select xs.id, x0, y0, x1, y1 from xs join ys on xs.id = ys.id where mx + my < 2")
+def box_difference(spark, sf):
+    return _corners(boxes.difference(_boxes(spark, sf), (8, 6), (14, 11)))
+
+
+# More on tags and values
+
+
+@query(TAGS + ", near as (select distinct level, (i + x.e)::int as i, (j + y.d)::int as j from t, range(-2, 3) x(e), range(-2, 3) y(d) where tag & 4 <> 0) select t.level, t.i, t.j, t.tag | (case when n.i is null then 0 else 1 end) as tag from t left join near n on n.level = t.level and n.i = t.i and n.j = t.j")
+def tag_to_keep(spark, sf):
+    return multires.tag_to_keep(_tags(spark, sf), 2, 2, mesh.REFINE).select("level", *IJ, "tag")
+
+
+@query(TAGS + " select level, i, j, tag | (case when level = 6 and (i in (0, 63) or j in (0, 63)) then 1 else 0 end) as tag from t")
+def keep_boundary_refined(spark, sf):
+    return multires.keep_boundary_refined(_tags(spark, sf), _area(spark), CONFIG).select("level", *IJ, "tag")
+
+
+@query("select 5 as level, i >> 1 as i, j >> 1 as j, sum(u) / 4 as u from mesh where level = 6 group by all union all select level, i, j, u from mesh where level = 5")
+def transfer(spark, sf):
+    return multires.transfer(lenses.mesh(spark, sf), _area(spark).where("level = 5"), CONFIG, _limits(spark), "u").select("level", *IJ, "u")
+
+
+# More on borders
+
+
+@query("select 64 + n as i, 64 + n as j, (n + 2) * a.u - (n + 1) * b.u as u from grid a, grid b, (values (0), (1)) t(n) where a.i = 63 and a.j = 63 and b.i = 62 and b.j = 62")
+def corner_ghosts(spark, sf):
+    """Two ghosts along a diagonal by the line through the last two cells."""
+    g = lenses.grid(spark, sf)
+    edge = mesh.corners(g.select(*CELL), 2).where("di = 1 and dj = 1").select(*CELL)
+    return boundary.extrapolate(g, edge, (1, 1, 0), 2, 2).select(*IJ, "u")
+
+
+@query("select 64 as i, j, u / 2 as f0, u + 1 as f1, u as f2, u * 2 as f3 from grid where i = 63")
+def bounce_back(spark, sf):
+    u = F.col("u")
+    f = lenses.grid(spark, sf).select(*CELL, u.alias("f0"), (u * 2).alias("f1"), (u / 2).alias("f2"), (u + 1).alias("f3"))
+    return boundary.bounce_back(f, _area(spark).where("level = 6"), (1, 0, 0), {"f0": "f2", "f1": "f3", "f2": "f0", "f3": "f1"}).select(*IJ, "f0", "f1", "f2", "f3")
+
+
+# More schemes
+
+
+def _coarsely(sql: str) -> str:
+    return sql.replace(", 6) as r", ", 3) as r")
+
+
+_V, _W = "((lu / 128 - 1) + (ru / 128 - 1)) / 2", "((1 - lu / 256) + (1 - ru / 256)) / 2"
+
+
+def _with_velocity(spark, sf):
+    return lenses.mesh(spark, sf).withColumn("v", F.col("u") / 128 - 1).withColumn("w", 1 - F.col("u") / 256)
+
+
+@query(_divergence(f"case when axis = 0 then {_V} * (case when {_V} >= 0 then lu else ru end) else {_W} * (case when {_W} >= 0 then lu else ru end) end"))
+def convection_upwind_field(spark, sf):
+    m = _with_velocity(spark, sf)
+    return _rounded(schemes.convection_upwind_field(m, m, ["v", "w"]))
+
+
+def _rusanov(v: str) -> str:
+    return f"({v}) * (lu + ru) / 2 - sqrt(({v}) * ({v}) + 0.001) * (ru - lu) / 2"
+
+
+@query(_coarsely(_divergence(f"case when axis = 0 then {_rusanov(_V)} else {_rusanov(_W)} end")))
+def convection_rusanov(spark, sf):
+    m = _with_velocity(spark, sf)
+    return schemes.convection_rusanov(m, m, ["v", "w"]).select("level", *IJ, F.round("r", 3).alias("r"))
+
+
+@query(_coarsely(_divergence("-2 * (lu + 1) * (ru + 1) / (lu + ru + 2) * (ru - lu) / h")))
+def diffusion_field(spark, sf):
+    m = lenses.mesh(spark, sf).withColumn("c", F.col("u") + 1)
+    return schemes.diffusion(m, m, 2, "c").select("level", *IJ, F.round("r", 3).alias("r"))
+
+
+@query(_divergence("-1.0 * (ru - lu) / h").replace("as r from mesh", "as r_u, round(coalesce(sum(s.q), 0) * pow(4.0, m.level), 6) as r_v from mesh"))
+def multi_diffusion(spark, sf):
+    m = lenses.mesh(spark, sf).withColumn("v", F.col("u") * 2)
+    return schemes.multi_diffusion(m, m, 2, {"u": 1.0, "v": 0.5}).select("level", *IJ, F.round("r_u", 6).alias("r_u"), F.round("r_v", 6).alias("r_v"))
+
+
+@query(_divergence("(case when axis = 0 then 1.0 * lu else -0.5 * ru end) - 0.5 * (ru - lu) / h"))
+def operator_sum(spark, sf):
+    m = lenses.mesh(spark, sf)
+    return _rounded(schemes.operator_sum(schemes.convection_upwind(m, m, [1.0, -0.5]), schemes.diffusion(m, m, 2, 0.5)))
+
+
+@query("select g.i, g.j, (4 * g.u - w.u - e.u - s.u - n.u) * 4096 as r from grid g join grid w on w.i = g.i - 1 and w.j = g.j join grid e on e.i = g.i + 1 and e.j = g.j join grid s on s.i = g.i and s.j = g.j - 1 join grid n on n.i = g.i and n.j = g.j + 1")
+def diffusion_by_cell(spark, sf):
+    g = lenses.grid(spark, sf)
+    return schemes.cell_scheme(g, g, stencils.star(2), lambda u: (u[0] * 4 - u[1] - u[2] - u[3] - u[4]) * 4096).where("r is not null").select(*IJ, "r")
+
+
+@query("select level, i, j, 0.0::double as r_0, u as r_1 from mesh")
+def buoyancy(spark, sf):
+    return schemes.buoyancy(lenses.mesh(spark, sf), 2).select("level", *IJ, "r_0", "r_1")
+
+
+@query("select i, j, u * 0.375 as f0, u * 0.5 as f1, u * 0.125 as f2, u * 0.0 as f3 from grid".replace("u * 0.375", "round(u * 0.375, 6)").replace("u * 0.5", "round(u * 0.5, 6)").replace("u * 0.125", "round(u * 0.125, 6)"))
+def lattice_equilibrium(spark, sf):
+    scheme = lattice.Scheme([(1, 0), (0, 1), (-1, 0), (0, -1)], [[1, 1, 1, 1], [1, 0, -1, 0], [0, 1, 0, -1], [1, -1, 1, -1]], [0.0, 1.5, 1.5, 1.0], lambda m: [m[0], m[0] * 0.25, m[0] * 0.5, F.lit(0.0)])
+    g = lenses.grid(spark, sf)
+    out = lattice.at_equilibrium(g, scheme, [F.col("u"), F.lit(0.0), F.lit(0.0), F.lit(0.0)])
+    return out.select(*IJ, *((F.round(n, 6) + F.lit(0.0)).alias(n) for n in scheme.names))
+
+
+# More on parts and tables
+
+
+@query(_CUTS + ", " + FACES.strip() + " select least(a.part, b.part) as a, greatest(a.part, b.part) as b, count(*)::bigint as faces from faces f join p a on a.level = ll and a.i = li and a.j = lj join p b on b.level = rl and b.i = ri and b.j = rj where a.part <> b.part group by all")
+def part_graph(spark, sf):
+    return partition.part_graph(_dealt(spark, sf), 2)
+
+
+@query(_CUTS + ", l as (select part, sum(w) as load from p group by part) select round(max(load) / (sum(load) / 5) - 1, 9) as imbalance from l")
+def imbalance(spark, sf):
+    return spark.createDataFrame([(round(partition.imbalance(_dealt(spark, sf), 5), 9),)], "imbalance double")
+
+
+@query("select level, i, j, u from mesh")
+def dump_and_load(spark, sf):
+    path = f"{checkpoint_dir(spark)}/dump-{uuid.uuid4().hex}"
+    tables.dump(lenses.mesh(spark, sf), path, 2, ["u"], time=0.5)
+    return tables.load(spark, path, 2, ["u"]).select("level", *IJ, "u")
