@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, text_slices
+from .common import materialize, read, text_slices
 from .encoding import cut_of, encoder
 
 #: Lengths that share one window partition of the suffix sums.
@@ -33,9 +33,9 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     cut to L tokens (truncated_tokens); docs_to counts documents of at most L.
 
     Two levels: sums within blocks of BLOCK lengths, and sums of the few block totals; no task sees the whole histogram.
-    An empty table gives no rows.
+    The histogram is written and read again, as it is used twice. An empty table gives no rows.
     """
-    per = histogram.groupBy("length").agg(F.sum("n_docs").alias("n_docs")).withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    per = materialize(histogram.groupBy("length").agg(F.sum("n_docs").alias("n_docs")), "lengths").withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     totals = per.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     after, before = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
