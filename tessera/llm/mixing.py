@@ -36,6 +36,8 @@ SLICE, PART, ORDER, EVERY = 28 << 20, 1 << 20, 3, 8
 STEP = 600_000
 #: Hash slots for each order of the spelling contexts, and the orders in bytes.
 SLOTS, ORDERS = 1 << 16, (1, 2, 3, 5)
+#: Bytes of words whose spelling is counted at once, at most; longer words are counted in stretches.
+STRETCH = 1 << 20
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 END = b""
 #: Classes of texts; training texts that they are found from, at most; common words that tell them apart.
@@ -132,31 +134,57 @@ def spelling_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return bits, lengths * 8, slots
 
 
+def _stretches(words: list[bytes], weight: np.ndarray) -> Iterator[tuple[list[bytes], list[int], list[bool], list[float]]]:
+    """Words in groups of about STRETCH bytes: (bytes, bytes at its begin that are context alone, whether the word ends here, weight).
+
+    A longer word comes in stretches, each with the last bytes of the one before, so every byte is counted once and after its own context.
+    """
+    back = max(ORDERS)
+    group, size = ([], [], [], []), 0
+    for word, w in zip(words, weight.tolist()):
+        for a in range(0, max(len(word), 1), STRETCH):
+            context = min(a, back)
+            part = word[a - context : a + STRETCH]
+            if size and size + len(part) >= STRETCH:
+                yield group
+                group, size = ([], [], [], []), 0
+            for held, x in zip(group, (part, context, a + STRETCH >= len(word), w)):
+                held.append(x)
+            size += len(part) + 1
+    if group[0]:
+        yield group
+
+
 def spelling_counts(words: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ones and totals of each order's slots over the words, each counted `weight` times.
 
     Equal bytes after equal contexts are added up before they become bits.
     """
     ones, total = np.zeros((len(ORDERS), SLOTS)), np.zeros((len(ORDERS), SLOTS))
-    text, lengths, near = _before(words)
-    key = np.zeros(len(text), np.uint64)
-    for x in [*near, text]:
-        key = key * np.uint64(257) + x
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    if not len(first):
-        return ones, total
-    sums = np.add.reduceat(np.repeat(weight, lengths).astype(float)[order], first)
-    one = order[first]
-    for i in range(0, len(one), 1 << 16):
-        cut = one[i : i + (1 << 16)]
-        bits, slots = _bits(text[cut], [x[cut] for x in near])
-        w = np.repeat(sums[i : i + (1 << 16)], 8)
-        on = bits == 1
-        for k in range(len(ORDERS)):
-            total[k] += np.bincount(slots[:, k], w, SLOTS)
-            ones[k] += np.bincount(slots[on, k], w[on], SLOTS)
+    for parts, skip, ends, times in _stretches(words, weight):
+        text, lengths, near = _before(parts)
+        last = np.cumsum(lengths) - 1
+        counted = np.ones(len(text), bool)
+        counted[last[~np.array(ends)]] = False
+        for i in np.flatnonzero(skip).tolist():
+            counted[last[i] + 1 - lengths[i] :][: skip[i]] = False
+        key = np.zeros(len(text), np.uint64)
+        for x in [*near, text]:
+            key = key * np.uint64(257) + x
+        order = np.argsort(key)
+        order = order[counted[order]]
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        sums = np.add.reduceat(np.repeat(times, lengths).astype(float)[order], first)
+        one = order[first]
+        for i in range(0, len(one), 1 << 16):
+            cut = one[i : i + (1 << 16)]
+            bits, slots = _bits(text[cut], [x[cut] for x in near])
+            w = np.repeat(sums[i : i + (1 << 16)], 8)
+            on = bits == 1
+            for k in range(len(ORDERS)):
+                total[k] += np.bincount(slots[:, k], w, SLOTS)
+                ones[k] += np.bincount(slots[on, k], w[on], SLOTS)
     return ones, total
 
 
@@ -328,7 +356,7 @@ def _rows_of(classes: Classes, place: int, out: np.ndarray, s: Slice) -> Iterato
     pair = np.sort(s.doc[learnt].astype(np.int64) * size + s.ids[learnt])
     weight = np.bincount(pair[np.r_[True, pair[1:] != pair[:-1]][: len(pair)]] % size, minlength=size)
     del pair
-    use = np.array([i for i in np.flatnonzero(weight).tolist() if len(s.words[i]) < BLOCK], np.int64)
+    use = np.flatnonzero(weight)
     ones, total = spelling_counts([s.words[i] for i in use.tolist()], weight[use])
     if total.any():
         blobs = [np.stack([ones[k, b : b + BLOCK], total[k, b : b + BLOCK]]).astype(np.int64).tobytes() for k in range(len(ORDERS)) for b in range(0, SLOTS, BLOCK)]

@@ -82,3 +82,31 @@ def test_spelling_is_a_distribution_and_learns():
     assert short.sum() < 1
     good, bad = mixing.spell([b"this", b"qxzv"], ones, total)
     assert good > bad + 10
+
+
+def test_spelling_counts_words_of_any_length(monkeypatch):
+    rng = np.random.default_rng(1)
+    words = [b"", b"short", bytes(rng.integers(1, 256, 4096, dtype=np.uint8)), bytes(rng.integers(97, 100, 9001, dtype=np.uint8)), "一二三".encode() * 500]
+    weight = np.array([2, 3, 1, 4, 1])
+    ones, total = np.zeros((2, len(mixing.ORDERS), mixing.SLOTS))
+    bits, lengths, slots = mixing.spelling_bits(words)
+    for k in range(len(mixing.ORDERS)):
+        np.add.at(total[k], slots[:, k], np.repeat(weight, lengths))
+        np.add.at(ones[k], slots[:, k], bits * np.repeat(weight, lengths))
+    for stretch in (1 << 20, 5000, 4096, 700, 3):
+        monkeypatch.setattr(mixing, "STRETCH", stretch)
+        got = mixing.spelling_counts(words, weight)
+        assert (got[0] == ones).all() and (got[1] == total).all()
+    # A training text's long word reaches the counts of its slice.
+    s = mixing.Slice([" ".join(["ab", "x" * 5000])])
+    rows = [b for b in mixing._rows_of(_one_class(), 0, np.zeros(1, bool), s) if b.column("kind")[0].as_py() == 2]
+    n = sum(np.frombuffer(x, np.int64).reshape(2, -1)[1].sum() for b in rows for x in b.column("blob").to_pylist())
+    assert n == len(mixing.ORDERS) * 8 * (3 + 5001 + 1)
+
+
+def _one_class():
+    class One:
+        def of(self, s):
+            return np.zeros(len(s.n), np.int64)
+
+    return One()
