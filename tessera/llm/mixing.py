@@ -19,7 +19,7 @@ from __future__ import annotations
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count, islice
+from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, crc32_of_id, new_path, read
+from .common import LOWER_AZ, crc32_of_id, new_path, read, remove, text_slices
 
 #: Characters of a slice and of what is split at once, at most (or one text); words before a place that choose it; one
 #: place in so many words.
@@ -40,8 +40,12 @@ SLOTS, ORDERS = 1 << 16, (1, 2, 3, 5)
 STRETCH = 1 << 20
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 END = b""
-#: Classes of texts; training texts that they are found from, at most; common words that tell them apart.
-CLASSES, SAMPLE, COMMON = 4, 1500, 400
+#: Classes of texts; common words that tell them apart; rounds of the search for the classes, at most; a unit vector's length.
+CLASSES, COMMON, ROUNDS, UNIT = 4, 400, 12, 1 << 20
+#: Distinct words that a task counts at once, about; texts whose vectors are made at once, at most.
+HELD, HEAP = 1 << 16, 512
+#: Share of the tokens that words need to be counted for the common ones; lowered until these are surely found.
+SHARE = 1e-4
 #: Share of all training texts in each class's shares.
 BACK = 0.02
 _SEEN = [f"s{z}" for z in range(CLASSES)]
@@ -251,41 +255,195 @@ class Slice:
         return at + before, stop + before, doc[at] + np.int32(first), context[at].view(np.int64), phrase.view(np.int64)
 
 
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
+
+
+def _unit(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Counts as parts of vectors of length UNIT, in whole numbers: their sums and products are exact in any order."""
+    return np.rint(np.sqrt(counts / np.maximum(total, 1)) * UNIT)
+
+
 class Classes:
     """Texts by their use of common words: each belongs to the nearest of a few centres."""
 
-    def __init__(self, texts: list[str]):
-        split = [t.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split() for t in texts]
-        often = Counter(w for words in split for w in words)
-        self.index = {w: i for i, w in enumerate(sorted(often, key=lambda w: (-often[w], w))[:COMMON])}
-        x = self._unit(np.array([np.bincount([self.index[w] for w in words if w in self.index], minlength=COMMON) for words in split], float).reshape(-1, COMMON))
-        x = x[x.any(axis=1)]
-        self.centres = np.zeros((CLASSES, COMMON))
-        if not len(x):
-            return
-        far = np.full(len(x), np.inf)
-        pick = int(np.argmax(x.sum(axis=1)))
-        for z in range(CLASSES):  # each first centre is the text farthest from those before
-            self.centres[z] = x[pick]
-            far = np.minimum(far, ((x - x[pick]) ** 2).sum(axis=1))
-            pick = int(np.argmax(far))
-        for _ in range(12):
-            of = np.argmax(x @ self.centres.T - (self.centres**2).sum(axis=1) / 2, axis=1)
-            for z in range(CLASSES):
-                if (of == z).any():
-                    self.centres[z] = x[of == z].mean(axis=0)
+    def __init__(self, common: list[bytes], centres: np.ndarray):
+        self.index, self.centres = {w: i for i, w in enumerate(common)}, centres
 
-    @staticmethod
-    def _unit(counts: np.ndarray) -> np.ndarray:
-        x = np.sqrt(counts)
-        return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-9)
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        return np.argmax(x @ self.centres.T - (self.centres**2).sum(axis=1) / 2, axis=1)
 
     def of(self, s: Slice) -> np.ndarray:
         """The class of each text of a slice."""
-        column = np.array([self.index.get(w, -1) for w in s.words], np.int64)[s.ids]
-        keep = column >= 0
-        counts = np.bincount(s.doc[keep].astype(np.int64) * COMMON + column[keep], minlength=len(s.n) * COMMON).reshape(-1, COMMON)
-        return np.argmax(self._unit(counts) @ self.centres.T - (self.centres**2).sum(axis=1) / 2, axis=1)
+        column = np.full(len(s.words), -1, np.int16)
+        for i, w in enumerate(s.words):
+            if w in self.index:
+                column[i] = self.index[w]
+        out = np.zeros(len(s.n), np.int64)
+        for d0 in range(0, len(s.n), HEAP):  # so little stands beside the slice
+            d1 = min(d0 + HEAP, len(s.n))
+            a, b = s.start[d0], s.start[d1 - 1] + s.n[d1 - 1]
+            own = column[s.ids[a:b]]
+            keep = own >= 0
+            counts = np.bincount((s.doc[a:b][keep] - d0).astype(np.int64) * COMMON + own[keep], minlength=(d1 - d0) * COMMON).reshape(-1, COMMON)
+            out[d0:d1] = self.nearest(_unit(counts, counts.sum(axis=1, keepdims=True)))
+        return out
+
+
+def _frequent(share: float):
+    """Words that are at least `share` of the tokens of some stretch of a partition; and under no word (null) the tokens.
+
+    A word with that share of all tokens has it in one stretch at least, so none of those is missed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter()
+
+        def rows() -> pa.RecordBatch:
+            n = sum(seen.values())
+            found = [w for w, c in seen.items() if c >= share * n]
+            return pa.RecordBatch.from_pydict({"word": pa.array([None, *found], pa.binary()), "n": pa.array([n] + [0] * len(found), pa.int64())})
+
+        for _, texts in text_slices(batches):
+            for t in texts:
+                seen.update(_words(t))
+            if len(seen) >= HELD:
+                yield rows()
+                seen = Counter()
+        yield rows()
+
+    return run
+
+
+def _counts(words: list[bytes]):
+    """The texts' counts of some words, those of a few texts in a row: how many texts, and text, word and count of what is not 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(words)
+        index = {w: i for i, w in enumerate(words)}
+        for _, texts in text_slices(batches):
+            for first in range(0, len(texts), HEAP):
+                own, n = array("i"), []
+                for t in texts[first : first + HEAP]:
+                    split = _words(t)
+                    own.extend(map(index.get, split, repeat(size)))
+                    n.append(len(split))
+                word = np.frombuffer(own, np.int32)
+                some = np.flatnonzero(word < size)
+                key, counts = np.unique(np.repeat(np.arange(len(n)) * size, n)[some] + word[some], return_counts=True)
+                parts = {"text": key // max(size, 1), "word": key % max(size, 1), "count": counts}
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(n)], pa.int32()), **{c: pa.array([v.astype(np.int32).tobytes()], pa.binary()) for c, v in parts.items()}})
+
+    return run
+
+
+def _heaps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column("n")[i].as_py(), *(np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in ("text", "word", "count"))
+
+
+def _totals(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for _, _, word, n in _heaps(batches):
+            np.add.at(total, word, n)
+        word = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"word": pa.array(word), "c": pa.array(total[word])})
+
+    return run
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[np.ndarray]:
+    """Vectors of texts that have some of the chosen words; chosen: each word's column, or -1."""
+    for size, text, word, n in _heaps(batches):
+        column = chosen[word]
+        text, column, n = text[column >= 0], column[column >= 0], n[column >= 0]
+        total = np.bincount(text, n, size)
+        x = np.zeros((size, COMMON))
+        x[text, column] = _unit(n, total[text])
+        yield x[total > 0]
+
+
+def _farthest(centres: np.ndarray, chosen: np.ndarray):
+    """The text with the greatest score in a partition: its distance to the nearest centre (1 without any) times its sum, which is great for texts that use many common words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for x in _matrices(batches, chosen):
+            if not len(x):
+                continue
+            score = x.sum(axis=1)
+            if len(centres):
+                score *= ((x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * (x @ centres.T)).min(axis=1)
+            top = score.max()
+            if best is None or top >= best[0]:
+                own = max(v.astype(np.int32).tobytes() for v in x[score == top])
+                best = max(best or (top, own), (top, own))
+        if best is not None:
+            yield pa.RecordBatch.from_pydict({"score": [float(best[0])], "x": pa.array([best[1]], pa.binary())})
+
+    return run
+
+
+def _sums(classes: Classes, chosen: np.ndarray):
+    """Sums of a partition's vectors by class and column; column COMMON has their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((CLASSES, COMMON + 1))
+        for x in _matrices(batches, chosen):
+            of = classes.nearest(x)
+            for z in range(CLASSES):
+                sums[z, :COMMON] += x[of == z].sum(axis=0)
+                sums[z, COMMON] += (of == z).sum()
+        z, column = np.nonzero(sums)
+        yield pa.RecordBatch.from_pydict({"z": pa.array(z, pa.int64()), "column": pa.array(column, pa.int64()), "v": pa.array(sums[z, column].astype(np.int64))})
+
+    return run
+
+
+def find_classes(rows: DataFrame) -> Classes:
+    """Classes of all training texts, by k-means over their use of the commonest words.
+
+    Each first centre is a text far from those before. Counts are kept in a folder while rounds run; sums by class reach
+    the driver. Results do not depend on how rows lie in partitions.
+    """
+    spark = rows.sparkSession
+    texts = rows.where("not held_out").select("text")
+    kind, share = "n int, text binary, word binary, count binary", SHARE
+    while True:
+        frequent = texts.mapInArrow(_frequent(share), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+        words, tokens = sorted(bytes(r.word) for r in frequent if r.word is not None), sum(r.n for r in frequent)
+        folder = new_path(spark, "counts")
+        texts.mapInArrow(_counts(words), kind).write.parquet(folder)
+        vectors = spark.read.schema(kind).parquet(folder)
+        total = np.zeros(len(words), np.int64)
+        for word, n in vectors.mapInArrow(_totals(len(words)), "word long, c long").groupBy("word").agg(F.sum("c")).collect():
+            total[word] = n
+        by = np.argsort(-total, kind="stable")[:COMMON]
+        # Words that are not among these have less than that share, so the commonest are right if the last of them has it.
+        if share * tokens < 1 or (len(by) == COMMON and total[by[-1]] >= share * tokens):
+            break
+        remove(spark, folder)
+        share /= 8
+    common, chosen = [words[i] for i in by.tolist()], np.full(len(words), -1)
+    chosen[by] = np.arange(len(by))
+    found = Classes(common, np.zeros((CLASSES, COMMON)))
+    for z in range(CLASSES):
+        best = vectors.mapInArrow(_farthest(found.centres[:z], chosen), "score double, x binary").orderBy(F.desc("score"), F.desc("x")).limit(1).collect()
+        if best:
+            found.centres[z] = np.frombuffer(best[0].x, np.int32)
+    for _ in range(ROUNDS):
+        sums = np.zeros((CLASSES, COMMON + 1))
+        for z, column, v in vectors.mapInArrow(_sums(found, chosen), "z long, column long, v long").groupBy("z", "column").agg(F.sum("v")).collect():
+            sums[z, column] = v
+        full = sums[:, COMMON] > 0
+        centres = np.where(full[:, None], np.rint(sums[:, :COMMON] / np.maximum(sums[:, COMMON:], 1)), found.centres)
+        if (centres == found.centres).all():
+            break
+        found = Classes(common, centres)
+    remove(spark, folder)
+    return found
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bool], list[str]]]:
@@ -339,7 +497,9 @@ def _batch(place: int, kind: int, key: np.ndarray, seen: list[np.ndarray], phras
 def _rows_of(classes: Classes, place: int, out: np.ndarray, s: Slice) -> Iterator[pa.RecordBatch]:
     size = len(s.words)
     learnt = ~out[s.doc]
-    seen = np.bincount(classes.of(s)[s.doc[learnt]] * size + s.ids[learnt], minlength=CLASSES * size).reshape(CLASSES, size)
+    of = classes.of(s).astype(np.int8)[s.doc]
+    seen = np.stack([np.bincount(s.ids[(of == z) & learnt], minlength=size).astype(np.int32) for z in range(CLASSES)])
+    del of
     key = s.hash.view(np.int64)
     order = np.lexsort((s.phrase, s.context))
     ctx, phrase, away = s.context[order], s.phrase[order], out[s.phrase_doc][order]
@@ -500,17 +660,6 @@ def _score(folder: str, sizes: np.ndarray, tokens: int, words: int, once: int, o
     return run
 
 
-def _some_texts(rows: DataFrame) -> list[str]:
-    """SAMPLE training texts (all, if there are no more), those of the least hashes.
-
-    A bound on the hash, from the number of rows, leaves a few times SAMPLE, so tasks send the driver few rows however many they are.
-    """
-    share = min(1.0, 4 * SAMPLE / max(1, rows.count()))
-    hashed = rows.where("not held_out").select("text", F.xxhash64("doc_id", "text").alias("h"))
-    few = hashed if share == 1 else hashed.where(F.col("h") < F.lit(int(-(2**63) + share * 2**64)))
-    return [r.text or "" for r in few.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(SAMPLE).collect()]
-
-
 def score(docs: DataFrame) -> DataFrame:
     """Scores of every document by a model of those whose crc32 of the id (as text), mod 7, is not 2: the columns of _SCORE.
 
@@ -521,7 +670,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.pmod(crc32_of_id(), F.lit(7)) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    classes = Classes(_some_texts(rows))
+    classes = find_classes(rows)
     path = new_path(spark, "asked")
     rows.mapInArrow(_ask(classes), _ASK).write.options(**_DELTAS).parquet(path)
     asked = spark.read.schema(_ASK).parquet(path)

@@ -110,3 +110,23 @@ def _one_class():
             return np.zeros(len(s.n), np.int64)
 
     return One()
+
+
+def test_classes_come_from_all_training_texts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    speech = lambda name: " ".join(f"{name}{i}" for i in rng.integers(0, 30, 80))
+    docs = [(i, speech("abc"[i % 3]), False) for i in range(4000)]
+    rare = speech("rare")
+    ids = [r.id for r in spark.range(10_000, 10_100).selectExpr("id", f"xxhash64(id, '{rare}') as h").where("h > 0").limit(5).collect()]
+    docs += [(i, rare, False) for i in ids] + [(1, speech("away"), True)] * 5000  # not among the least 1,500 hashes; held-out texts teach nothing
+    rows = spark.createDataFrame(docs, "doc_id long, text string, held_out boolean")
+    found = mixing.find_classes(rows.repartition(5))
+    again = mixing.find_classes(rows.repartition(2))
+    assert found.index == again.index and (found.centres == again.centres).all()
+    often = Counter(w.encode() for _, t, h in docs if not h for w in t.split())
+    assert list(found.index) == sorted(often, key=lambda w: (-often[w], w))[: mixing.COMMON]
+    monkeypatch.setattr(mixing, "SHARE", 0.1)  # too high at first
+    assert mixing.find_classes(rows).index == found.index
+    of = found.of(mixing.Slice([t for _, t, _ in docs[:4005]]))
+    assert len(set(of[4000:])) == 1 and of[4000] not in of[:4000]
+    assert [len(set(of[k:4000:3])) for k in range(3)] == [1, 1, 1] and len(set(of[:3])) == 3
