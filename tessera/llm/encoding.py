@@ -127,7 +127,8 @@ class PieceEncoder:
             return None if any(c in text for c in _SEPARATORS) else text.split()
         if self.cut != "space" or "  " in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or _other_space(text):
             return None
-        return text.replace(" ", "\0 ").split("\0")
+        head, *rest = text.split(" ")
+        return [head, *(" " + x for x in rest)]
 
     def _encode_by_pieces(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.keep // 4:
