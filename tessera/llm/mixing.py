@@ -2,107 +2,61 @@
 
 A text is a series of tokens (its lower-cased words, then an end) and each token a series of binary decisions:
 
-1. At places that the last words choose by their hash, whether the words up to the next such place are those that followed
-   the same words most often in the training texts. If so, nothing else is coded for them.
-2. Otherwise, for each word, whether training texts have it; a known one then has its share of the training tokens. Shares
-   are those of a few classes of training texts, mixed by how well each class has told the text's earlier words.
-3. A new word is spelled, eight bits a byte and a closing byte 0, by predictors with the last bytes as hashed contexts.
-
-The chance of each bit is a mix of predictors in the logistic domain. The weights, one set for each value of a gating
-context, and the adaptive counters start alike for each text (or spelled word) and follow its own bits, so a score depends
-on the model and the text alone. What the model has gathered reaches a slice of texts as the rows that the slice asks for;
-no task holds the vocabulary.
+1. at places that the last words choose by their hash, whether the words up to the next such place are those that followed
+   the same words most often in training texts; if so, nothing else is coded for them;
+2. otherwise, for each word, whether training texts have it; for a known word: the PATH bits of its hash from the top, one after the other, then which of the words that share these bits
+   (its share of their training tokens, exact);
+3. for a new word: whether it stood earlier in this text (and then which one), or else its spelling, eight bits a byte and a
+   closing byte 0.
+
+The chance of each bit is a mix, in the logistic domain, of predictors that have counted it in training texts after hashed
+contexts (none; the text's commonest short word so far; that and the last short word; the word before; for spelling the last bytes of the word) and, for words,
+in the text so far. Weights are gated by the bit's place in the token and by whether the text has told of the bit before;
+they and the text's own counters start alike for each text and follow its own bits, so a score depends on the model and
+the text alone. Weights and counters move on after each step: TOGETHER tokens, or one spelled word.
+
+Tables of hashed contexts have a fixed size and are sums over all training texts. Exact counts of words and of what follows
+at chosen places grow with the corpus: they reach a slice of texts as the rows that it asks for; no task holds them all.
 """
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter, defaultdict
+import zlib
 from collections.abc import Iterator
-from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, crc32_of_id, new_path, read, remove, text_slices
-
-#: Characters of a slice and of what is split at once, at most (or one text); words before a place that choose it; one
-#: place in so many words.
-SLICE, PART, ORDER, EVERY = 28 << 20, 1 << 20, 3, 8
-#: Tokens that are scored at once, about (or one text).
-STEP = 600_000
+from .common import LOWER_AZ, crc32_of_id, materialize, new_path, read
+from .runs import distinct, hashes
+
+#: Bytes of the texts of a slice, at most (or one text).
+SLICE = 20 << 20
+#: Bits of a word's hash that are coded; tokens of a text between two changes of its weights; bytes of a short word, at most.
+PATH, TOGETHER, SHORT = 12, 8, 3
+#: Lines of 16 slots in the table of each context of words, as a power of two; these contexts.
+LINES, CONTEXTS = 16, 3
+#: Words before a place that choose it; one place in so many words.
+ORDER, EVERY = 3, 16
+#: Tokens that are scored at once, about (or one text); tokens whose places in the tables are made at once.
+STEP, CHUNK = 200_000, 1 << 16
+#: Weights at the start: predictors without context, of the contexts, and of the text itself, for bits that the text has not told of and for others; for spelling.
+START = np.array([[0.0, 0.3, 0.5, 0.2, 0.0], [0.0, 0.2, 0.4, 0.1, 0.4]], np.float32)
+RATE, SPELL_START, SPELL_RATE = np.float32(0.015), 0.4, 0.02
+#: Observations that the wider context's chance counts for in a narrower one: in each context's table, and in the text.
+TRUST, OWN_TRUST = (np.float32(2.0), np.float32(4.0), np.float32(4.0)), np.float32(6.0)
 #: Hash slots for each order of the spelling contexts, and the orders in bytes.
 SLOTS, ORDERS = 1 << 16, (1, 2, 3, 5)
 #: Bytes of words whose spelling is counted at once, at most; longer words are counted in stretches.
 STRETCH = 1 << 20
+#: Words with so large a share of the training tokens are known to all tasks: they can't be more than 1 / HEAD.
+HEAD = 2.0**-16
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-END = b""
-#: Classes of texts; common words that tell them apart; rounds of the search for the classes, at most; a unit vector's length.
-CLASSES, COMMON, ROUNDS, UNIT = 4, 400, 12, 1 << 20
-#: Distinct words that a task counts at once, about; texts whose vectors are made at once, at most.
-HELD, HEAP = 1 << 16, 512
-#: Share of the tokens that words need to be counted for the common ones; lowered until these are surely found.
-SHARE = 1e-4
-#: Share of all training texts in each class's shares.
-BACK = 0.02
-_SEEN = [f"s{z}" for z in range(CLASSES)]
-RATE, START = 0.03, 0.45
-
-
-def mix(bits: np.ndarray, lengths: np.ndarray, static: np.ndarray, slots: np.ndarray, gate: np.ndarray, prior: float = 0.5, sizes: tuple[int, ...] = (), gates: int = 1) -> np.ndarray:
-    """log2 of the chance given to each bit; series of bits lie one after the other, `lengths` long.
-
-    static: chances of a 1 by predictors that do not change. slots: for each adaptive predictor the counter that a bit
-    uses; counters start at `prior`. gate: the weight set that a bit uses. A bit's chance comes from what stands before it.
-    """
-    if not len(bits):
-        return np.zeros(0)
-    # Series by falling length: at step t the first live[t] have a bit. All inputs are laid out step after step.
-    by = np.argsort(-lengths, kind="stable")
-    lane = np.empty(len(by), np.int64)
-    lane[by] = np.arange(len(by))
-    live = np.searchsorted(-lengths[by], -np.arange(int(lengths.max())), side="left")
-    edge = np.r_[0, np.cumsum(live)]
-    own = np.repeat(lane, lengths)
-    at = edge[np.arange(len(bits)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] + own
-
-    def laid(x: np.ndarray) -> np.ndarray:
-        out = np.empty_like(x)
-        out[at] = x
-        return out
-
-    chance = np.clip(static, 1e-5, 1 - 1e-5)
-    fixed = laid(np.log(chance / (1 - chance)))
-    del chance
-    y, row = laid(bits.astype(float)), laid(own * gates + gate)
-    cells = [laid(own * s + slots[:, k]) for k, s in enumerate(sizes)]
-    n_fixed = fixed.shape[1]
-    inputs = n_fixed + len(sizes)
-    weights = np.full((len(by) * gates, inputs), START if inputs > 2 else 1.0 / inputs)
-    yes, no = ([np.full(len(by) * s, x) for s in sizes] for x in (2 * prior, 2 - 2 * prior))
-    told = np.empty(len(bits))
-    with np.errstate(divide="ignore", over="ignore"):
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            x = np.empty((b - a, inputs))
-            x[:, :n_fixed] = fixed[a:b]
-            for k, c in enumerate(cells):
-                i = c[a:b]
-                x[:, n_fixed + k] = np.log(np.minimum(np.maximum(yes[k][i] / no[k][i], 1e-4), 1e4))
-            r, bit = row[a:b], y[a:b]
-            w = weights[r]
-            p = 1 / (1 + np.exp(-np.minimum(np.maximum(np.einsum("ij,ij->i", w, x), -11.5), 11.5)))
-            told[a:b] = p
-            x *= (RATE * (bit - p))[:, None]
-            w += x
-            weights[r] = w
-            for k, c in enumerate(cells):
-                i = c[a:b]
-                yes[k][i] = yes[k][i] * 0.98 + bit
-                no[k][i] = no[k][i] * 0.98 + (1 - bit)
-    return np.log2(np.where(y > 0, told, 1 - told))[at]
+END = np.uint64(0x5851F42D4C957F2D)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _before(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -131,41 +85,34 @@ def _bits(text: np.ndarray, near: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return bits.reshape(-1), slots.reshape(-1, len(ORDERS))
 
 
-def spelling_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bits of the words with their closing bytes, bits of each word, and the slot of each order's context for each bit."""
-    text, lengths, near = _before(words)
-    bits, slots = _bits(text, near)
-    return bits, lengths * 8, slots
-
-
-def _stretches(words: list[bytes], weight: np.ndarray) -> Iterator[tuple[list[bytes], list[int], list[bool], list[float]]]:
-    """Words in groups of about STRETCH bytes: (bytes, bytes at its begin that are context alone, whether the word ends here, weight).
+def _stretches(words: list[bytes]) -> Iterator[tuple[list[bytes], list[int], list[bool]]]:
+    """Words in groups of about STRETCH bytes: (bytes, bytes at its begin that are context alone, whether the word ends here).
 
     A longer word comes in stretches, each with the last bytes of the one before, so every byte is counted once and after its own context.
     """
     back = max(ORDERS)
-    group, size = ([], [], [], []), 0
-    for word, w in zip(words, weight.tolist()):
+    group, size = ([], [], []), 0
+    for word in words:
         for a in range(0, max(len(word), 1), STRETCH):
             context = min(a, back)
             part = word[a - context : a + STRETCH]
             if size and size + len(part) >= STRETCH:
                 yield group
-                group, size = ([], [], [], []), 0
-            for held, x in zip(group, (part, context, a + STRETCH >= len(word), w)):
+                group, size = ([], [], []), 0
+            for held, x in zip(group, (part, context, a + STRETCH >= len(word))):
                 held.append(x)
             size += len(part) + 1
     if group[0]:
         yield group
 
 
-def spelling_counts(words: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ones and totals of each order's slots over the words, each counted `weight` times.
+def spelling_counts(words: list[bytes]) -> np.ndarray:
+    """Ones and zeros of each order's slots over the words: (2, orders, slots).
 
     Equal bytes after equal contexts are added up before they become bits.
     """
-    ones, total = np.zeros((len(ORDERS), SLOTS)), np.zeros((len(ORDERS), SLOTS))
-    for parts, skip, ends, times in _stretches(words, weight):
+    out = np.zeros((2, len(ORDERS), SLOTS), np.int64)
+    for parts, skip, ends in _stretches(words):
         text, lengths, near = _before(parts)
         last = np.cumsum(lengths) - 1
         counted = np.ones(len(text), bool)
@@ -175,76 +122,126 @@ def spelling_counts(words: list[bytes], weight: np.ndarray) -> tuple[np.ndarray,
         key = np.zeros(len(text), np.uint64)
         for x in [*near, text]:
             key = key * np.uint64(257) + x
-        order = np.argsort(key)
-        order = order[counted[order]]
-        key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        sums = np.add.reduceat(np.repeat(times, lengths).astype(float)[order], first)
-        one = order[first]
-        for i in range(0, len(one), 1 << 16):
-            cut = one[i : i + (1 << 16)]
+        key = key[counted]
+        one, number = distinct(key)
+        sums = np.bincount(number, minlength=len(one)).astype(float)
+        at = np.flatnonzero(counted)[one]
+        for i in range(0, len(at), 1 << 16):
+            cut = at[i : i + (1 << 16)]
             bits, slots = _bits(text[cut], [x[cut] for x in near])
             w = np.repeat(sums[i : i + (1 << 16)], 8)
-            on = bits == 1
-            for k in range(len(ORDERS)):
-                total[k] += np.bincount(slots[:, k], w, SLOTS)
-                ones[k] += np.bincount(slots[on, k], w[on], SLOTS)
-    return ones, total
+            for y in (0, 1):
+                on = bits == 1 - y
+                for k in range(len(ORDERS)):
+                    out[y, k] += np.bincount(slots[on, k], w[on], SLOTS).astype(np.int64)
+    return out
+
+
+def stretch(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """What a predictor that has counted so many ones and zeros says, in the logistic domain."""
+    return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, np.float32(1e-5), np.float32(1 - 1e-5))
+    return np.log(p / (1 - p))
 
 
-def spell(words: list[bytes], ones: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """log2 of the chance of each spelled word."""
-    if not words:
-        return np.zeros(0)
-    bits, lengths, slots = spelling_bits(words)
-    order = np.arange(len(ORDERS))
-    chance = (ones[order, slots] + 0.4) / (total[order, slots] + 0.8)
-    sure = np.minimum(np.log2(total[-2, slots[:, -2]] + 1).astype(np.int64), 7)
-    cost = mix(bits, lengths, chance, np.zeros((len(bits), 0), np.int64), sure, gates=8)
-    return np.add.reduceat(cost, np.cumsum(lengths) - lengths)
+def squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -11, 11)))
+
+
+def spell(series: list[list[bytes]], table: np.ndarray) -> np.ndarray:
+    """log2 of the chance of each series of words, spelled one after the other. table: stretched counts by order and slot.
+
+    The weights, one for each order, move on after each word by the mean of its bits' errors.
+    """
+    out = np.zeros(len(series))
+    by = sorted(range(len(series)), key=lambda i: -len(series[i]))
+    live = len(by)
+    weights = np.full((len(by), len(ORDERS)), SPELL_START)
+    for step in range(len(series[by[0]]) if by else 0):
+        while len(series[by[live - 1]]) <= step:
+            live -= 1
+        for a in range(0, live, 4096):
+            lanes = by[a : min(a + 4096, live)]
+            text, lengths, near = _before([series[i][step] for i in lanes])
+            bits, slots = _bits(text, near)
+            x = table[np.arange(len(ORDERS)), slots].astype(float)
+            n = 8 * lengths
+            w = weights[a : a + len(lanes)]
+            p = squash(np.einsum("ij,ij->i", x, np.repeat(w, n, axis=0)))
+            first = np.cumsum(n) - n
+            out[lanes] += np.add.reduceat(np.log2(np.where(bits == 1, p, 1 - p)), first)
+            w += SPELL_RATE * 8 * np.add.reduceat(x * (bits - p)[:, None], first, axis=0) / n[:, None]
+    return out
 
 
 class Slice:
-    """Tokens of some texts: numbers of distinct words, and phrases between the chosen places. Worked on in parts, so little stands beside the result."""
+    """Tokens of some texts, one text after the other: their hashes, the distinct ones, and the contexts."""
 
     def __init__(self, texts: list[str]):
-        number = defaultdict(count().__next__)
-        number[END]  # the end is word 0
-        self.hash = np.zeros(0, np.uint64)
-        ids, lengths, phrases, part, size, before = [], [], [], [], 0, 0
-        for i, t in enumerate(texts):
-            part.append(t.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split())
-            size += len(t)
-            if size >= PART or i + 1 == len(texts):
-                own = array("i")
-                for words in part:
-                    own.extend(map(number.__getitem__, words))
-                    own.append(0)
-                ids.append(np.frombuffer(own, np.int32))
-                lengths.append(np.array([len(w) + 1 for w in part], np.int64))
-                new = len(number) - len(self.hash)
-                self.hash = np.r_[self.hash, np.fromiter(map(xxhash.xxh64_intdigest, islice(number, len(self.hash), None)), np.uint64, new)]
-                phrases.append(self._phrases(ids[-1], lengths[-1], before, i + 1 - len(part)))
-                before += len(own)
-                part, size = [], 0
-        self.words, self.ids = list(number), np.concatenate(ids)
-        self.n = np.concatenate(lengths)
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        self.bytes = np.array([len(p) for p in parts], np.int64)
+        self.data = b"\n".join([*parts, b""]).translate(LOWER_AZ)
+        del parts
+        data = np.frombuffer(self.data, np.uint8)
+        space = _SPACE[data]
+        edge = np.flatnonzero(np.r_[True, space][:-1] != space) if len(data) else np.zeros(0, np.int64)
+        del space
+        start, stop = edge[::2], edge[1::2]
+        begin = np.cumsum(self.bytes + 1) - self.bytes - 1
+        words = np.diff(np.searchsorted(start, np.r_[begin, len(data)]))
+        self.n = words + 1
         self.start = np.cumsum(self.n) - self.n
         self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.n)
-        self.at, self.stop, self.phrase_doc, self.context, self.phrase = (np.concatenate(x) for x in zip(*phrases))
-
-    def _phrases(self, ids: np.ndarray, n: np.ndarray, before: int, first: int) -> tuple[np.ndarray, ...]:
-        """Begins and ends of a part's phrases (counted from the slice's begin), their texts, and hashes of their contexts and of themselves."""
-        h, start = self.hash[ids], np.cumsum(n) - n
-        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        place = np.arange(len(h)) - start[doc]
+        at = np.arange(len(start)) + np.repeat(np.arange(len(texts)), words)
+        self.h = np.full(len(self.doc), END)
+        self.h[at] = hashes(data, start, stop)
+        short = np.zeros(len(self.doc), bool)
+        short[at] = stop - start <= SHORT
+        self.short = short
+        self.one, self.number = distinct(self.h)
+        self.key = self.h[self.one]
+        self.at = np.zeros((2, len(self.doc)), np.int32)
+        self.at[:, at] = start, stop
+
+    def word(self, token: int) -> bytes:
+        return self.data[self.at[0, token] : self.at[1, token]]
+
+    def contexts(self) -> list[np.ndarray]:
+        """For each token the hashes of its contexts: the commonest short word of the text so far, that and the last short
+        word, the word before (0: none)."""
+        first = self.start[self.doc]
+        place = np.flatnonzero(self.short)
+        before = np.cumsum(self.short) - self.short  # short words that stand before
+        i = before - 1
+        p = place[np.maximum(i, 0)] if len(place) else np.zeros(len(i), np.int64)
+        there = (i >= 0) & (p >= first)
+        last = np.where(there, self.h[p], np.uint64(0))
+        # How often each short word has stood in its text; the last record so far names the commonest.
+        doc = self.doc[place].astype(np.int64)
+        pair = doc * len(self.key) + self.number[place]
+        order = np.argsort(pair, kind="stable")
+        fresh = np.flatnonzero(np.r_[True, pair[order][1:] != pair[order][:-1]][: len(place)])
+        times = np.empty(len(place), np.int64)
+        times[order] = np.arange(len(place)) - np.repeat(fresh, np.diff(np.r_[fresh, len(place)]))
+        record = np.maximum.accumulate((doc << 40) + times)
+        leads = np.maximum.accumulate(np.where((doc << 40) + times == record, np.arange(len(place)), 0))
+        often = np.where(there, self.h[place[leads[np.maximum(i, 0)]]] if len(place) else np.uint64(0), np.uint64(0))
+        return [often, (often ^ (often >> np.uint64(31))) * _MIX + last, np.where(np.arange(len(self.h)) > first, np.r_[np.uint64(0), self.h[:-1]], np.uint64(0))]
+
+
+    def phrases(self) -> tuple[np.ndarray, ...]:
+        """Begins and ends of the phrases between chosen places, hashes of their contexts and of themselves."""
+        h, place = self.h, np.arange(len(self.h)) - self.start[self.doc]
         context = np.zeros(len(h), np.uint64)
         for back in range(ORDER, 0, -1):
             context = (context ^ (context >> np.uint64(31))) * _MIX
             context[back:] += h[:-back]
         context = (context ^ (context >> np.uint64(31))) * _MIX2
         at = np.flatnonzero((place >= ORDER) & ((context >> np.uint64(33)) % np.uint64(EVERY) == 0))
-        stop = np.minimum(np.r_[at[1:], len(h)][: len(at)], (start + n)[doc[at]])
+        stop = np.minimum(np.r_[at[1:], len(h)][: len(at)], (self.start + self.n)[self.doc[at]])
         # The hash of a phrase: a sum of its words' hashes, each times its odd place in the phrase.
         word = (h ^ (h >> np.uint64(29))) * _MIX2
         plain = np.r_[np.uint64(0), np.cumsum(word)]
@@ -252,198 +249,41 @@ class Slice:
         total = np.r_[np.uint64(0), np.cumsum(word)]
         s = (total[stop] - total[at]) - np.uint64(2) * place[at].astype(np.uint64) * (plain[stop] - plain[at])
         phrase = (s ^ (s >> np.uint64(32))) * _MIX + (stop - at).astype(np.uint64)
-        return at + before, stop + before, doc[at] + np.int32(first), context[at].view(np.int64), phrase.view(np.int64)
-
-
-def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
-
-
-def _unit(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Counts as parts of vectors of length UNIT, in whole numbers: their sums and products are exact in any order."""
-    return np.rint(np.sqrt(counts / np.maximum(total, 1)) * UNIT)
+        return at, stop, context[at].view(np.int64), phrase.view(np.int64)
 
 
-class Classes:
-    """Texts by their use of common words: each belongs to the nearest of a few centres."""
-
-    def __init__(self, common: list[bytes], centres: np.ndarray):
-        self.index, self.centres = {w: i for i, w in enumerate(common)}, centres
-
-    def nearest(self, x: np.ndarray) -> np.ndarray:
-        return np.argmax(x @ self.centres.T - (self.centres**2).sum(axis=1) / 2, axis=1)
-
-    def of(self, s: Slice) -> np.ndarray:
-        """The class of each text of a slice."""
-        column = np.full(len(s.words), -1, np.int16)
-        for i, w in enumerate(s.words):
-            if w in self.index:
-                column[i] = self.index[w]
-        out = np.zeros(len(s.n), np.int64)
-        for d0 in range(0, len(s.n), HEAP):  # so little stands beside the slice
-            d1 = min(d0 + HEAP, len(s.n))
-            a, b = s.start[d0], s.start[d1 - 1] + s.n[d1 - 1]
-            own = column[s.ids[a:b]]
-            keep = own >= 0
-            counts = np.bincount((s.doc[a:b][keep] - d0).astype(np.int64) * COMMON + own[keep], minlength=(d1 - d0) * COMMON).reshape(-1, COMMON)
-            out[d0:d1] = self.nearest(_unit(counts, counts.sum(axis=1, keepdims=True)))
-        return out
-
-
-def _frequent(share: float):
-    """Words that are at least `share` of the tokens of some stretch of a partition; and under no word (null) the tokens.
-
-    A word with that share of all tokens has it in one stretch at least, so none of those is missed.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
-
-        def rows() -> pa.RecordBatch:
-            n = sum(seen.values())
-            found = [w for w, c in seen.items() if c >= share * n]
-            return pa.RecordBatch.from_pydict({"word": pa.array([None, *found], pa.binary()), "n": pa.array([n] + [0] * len(found), pa.int64())})
-
-        for _, texts in text_slices(batches):
-            for t in texts:
-                seen.update(_words(t))
-            if len(seen) >= HELD:
-                yield rows()
-                seen = Counter()
-        yield rows()
-
-    return run
-
-
-def _counts(words: list[bytes]):
-    """The texts' counts of some words, those of a few texts in a row: how many texts, and text, word and count of what is not 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(words)
-        index = {w: i for i, w in enumerate(words)}
-        for _, texts in text_slices(batches):
-            for first in range(0, len(texts), HEAP):
-                own, n = array("i"), []
-                for t in texts[first : first + HEAP]:
-                    split = _words(t)
-                    own.extend(map(index.get, split, repeat(size)))
-                    n.append(len(split))
-                word = np.frombuffer(own, np.int32)
-                some = np.flatnonzero(word < size)
-                key, counts = np.unique(np.repeat(np.arange(len(n)) * size, n)[some] + word[some], return_counts=True)
-                parts = {"text": key // max(size, 1), "word": key % max(size, 1), "count": counts}
-                yield pa.RecordBatch.from_pydict({"n": pa.array([len(n)], pa.int32()), **{c: pa.array([v.astype(np.int32).tobytes()], pa.binary()) for c, v in parts.items()}})
-
-    return run
-
+def path_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - PATH)).astype(np.int64)
 
-def _heaps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.column("n")[i].as_py(), *(np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in ("text", "word", "count"))
 
+def slots_of(context: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """The slots of each bit of a path after a context: 4 bits share a line of 16 slots."""
+    out = np.empty((len(path), PATH), np.int32)
+    for g in range(PATH // 4):
+        h = (context + np.uint64(1 + g)) * _MIX + (path >> (PATH - 4 * g)).astype(np.uint64) * _MIX2
+        h ^= h >> np.uint64(29)
+        line = ((h * _MIX2) >> np.uint64(64 - LINES)).astype(np.int32) << 4
+        four = (path >> (PATH - 4 - 4 * g)) & 15
+        for b in range(4):
+            out[:, 4 * g + b] = line + (1 << b) + (four >> (4 - b)).astype(np.int32)
+    return out
 
-def _totals(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for _, _, word, n in _heaps(batches):
-            np.add.at(total, word, n)
-        word = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(word), "c": pa.array(total[word])})
-
-    return run
-
-
-def _matrices(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[np.ndarray]:
-    """Vectors of texts that have some of the chosen words; chosen: each word's column, or -1."""
-    for size, text, word, n in _heaps(batches):
-        column = chosen[word]
-        text, column, n = text[column >= 0], column[column >= 0], n[column >= 0]
-        total = np.bincount(text, n, size)
-        x = np.zeros((size, COMMON))
-        x[text, column] = _unit(n, total[text])
-        yield x[total > 0]
-
-
-def _farthest(centres: np.ndarray, chosen: np.ndarray):
-    """The text with the greatest score in a partition: its distance to the nearest centre (1 without any) times its sum, which is great for texts that use many common words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        for x in _matrices(batches, chosen):
-            if not len(x):
-                continue
-            score = x.sum(axis=1)
-            if len(centres):
-                score *= ((x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * (x @ centres.T)).min(axis=1)
-            top = score.max()
-            if best is None or top >= best[0]:
-                own = max(v.astype(np.int32).tobytes() for v in x[score == top])
-                best = max(best or (top, own), (top, own))
-        if best is not None:
-            yield pa.RecordBatch.from_pydict({"score": [float(best[0])], "x": pa.array([best[1]], pa.binary())})
-
-    return run
-
-
-def _sums(classes: Classes, chosen: np.ndarray):
-    """Sums of a partition's vectors by class and column; column COMMON has their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((CLASSES, COMMON + 1))
-        for x in _matrices(batches, chosen):
-            of = classes.nearest(x)
-            for z in range(CLASSES):
-                sums[z, :COMMON] += x[of == z].sum(axis=0)
-                sums[z, COMMON] += (of == z).sum()
-        z, column = np.nonzero(sums)
-        yield pa.RecordBatch.from_pydict({"z": pa.array(z, pa.int64()), "column": pa.array(column, pa.int64()), "v": pa.array(sums[z, column].astype(np.int64))})
-
-    return run
 
+def bits_of(path: np.ndarray) -> np.ndarray:
+    return ((path[:, None] >> np.arange(PATH - 1, -1, -1)) & 1).astype(np.int8)
 
-def find_classes(rows: DataFrame) -> Classes:
-    """Classes of all training texts, by k-means over their use of the commonest words.
 
-    Each first centre is a text far from those before. Counts are kept in a folder while rounds run; sums by class reach
-    the driver. Results do not depend on how rows lie in partitions.
-    """
-    spark = rows.sparkSession
-    texts = rows.where("not held_out").select("text")
-    kind, share = "n int, text binary, word binary, count binary", SHARE
-    while True:
-        frequent = texts.mapInArrow(_frequent(share), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-        words, tokens = sorted(bytes(r.word) for r in frequent if r.word is not None), sum(r.n for r in frequent)
-        folder = new_path(spark, "counts")
-        texts.mapInArrow(_counts(words), kind).write.parquet(folder)
-        vectors = spark.read.schema(kind).parquet(folder)
-        total = np.zeros(len(words), np.int64)
-        for word, n in vectors.mapInArrow(_totals(len(words)), "word long, c long").groupBy("word").agg(F.sum("c")).collect():
-            total[word] = n
-        by = np.argsort(-total, kind="stable")[:COMMON]
-        # Words that are not among these have less than that share, so the commonest are right if the last of them has it.
-        if share * tokens < 1 or (len(by) == COMMON and total[by[-1]] >= share * tokens):
-            break
-        remove(spark, folder)
-        share /= 8
-    common, chosen = [words[i] for i in by.tolist()], np.full(len(words), -1)
-    chosen[by] = np.arange(len(by))
-    found = Classes(common, np.zeros((CLASSES, COMMON)))
-    for z in range(CLASSES):
-        best = vectors.mapInArrow(_farthest(found.centres[:z], chosen), "score double, x binary").orderBy(F.desc("score"), F.desc("x")).limit(1).collect()
-        if best:
-            found.centres[z] = np.frombuffer(best[0].x, np.int32)
-    for _ in range(ROUNDS):
-        sums = np.zeros((CLASSES, COMMON + 1))
-        for z, column, v in vectors.mapInArrow(_sums(found, chosen), "z long, column long, v long").groupBy("z", "column").agg(F.sum("v")).collect():
-            sums[z, column] = v
-        full = sums[:, COMMON] > 0
-        centres = np.where(full[:, None], np.rint(sums[:, :COMMON] / np.maximum(sums[:, COMMON:], 1)), found.centres)
-        if (centres == found.centres).all():
-            break
-        found = Classes(common, centres)
-    remove(spark, folder)
-    return found
+def context_counts(s: Slice, learnt: np.ndarray, out: np.ndarray) -> None:
+    """Add the learnt tokens' bits to out: ones and zeros by context and slot, (2, contexts, slots)."""
+    contexts, path = s.contexts(), path_of(s.h)
+    at = np.flatnonzero(learnt)
+    for i in range(0, len(at), 4 * CHUNK):
+        cut = at[i : i + 4 * CHUNK]
+        bits = bits_of(path[cut]).astype(bool)
+        for k, c in enumerate(contexts):
+            slots = slots_of(c[cut], path[cut])
+            out[0, k] += np.bincount(slots[bits], minlength=out.shape[2]).astype(out.dtype)
+            out[1, k] += np.bincount(slots[~bits], minlength=out.shape[2]).astype(out.dtype)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bool], list[str]]]:
@@ -464,196 +304,268 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bool
         yield ids, held, texts
 
 
-#: What slices ask for and have: words (kind 0: key is the word's hash, seen by class), phrases (kind 1: key is the context's
-#: hash) and bits of spelling (kind 2: key is a block of slots, blob the ones and totals).
-_ASK = f"place long, kind int, key long, phrase long, held int, {', '.join(f'{c} int' for c in _SEEN)}, blob binary"
+#: What slices ask for and tasks have counted. kind 0: a word of a slice (key: its hash) and its training tokens there (n);
+#: 1: a check of the slice (key: sum of its tokens' hashes); 2 and 3: a block of counts (key: its number) of contexts, of
+#: spelling; 4: a phrase after a context (key: the context's hash), how often in training texts (n) and in others (held).
+_ASK = "place long, kind int, key long, n long, phrase long, held int, blob binary"
+_NAMES = [f.split()[0] for f in _ASK.split(", ")]
 #: Parquet's second format, which stores ascending keys as differences.
 _DELTAS = {"parquet.writer.version": "v2"}
-_NAMES = [f.split()[0] for f in _ASK.split(", ")]
-BLOCK = 4096
-
-
-def _ask(classes: Classes):
-    """The rows of each slice: counts in training texts by class (phrases: all in the first) and in the others (held)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        place = TaskContext.get().partitionId() << 20
-        for number, (_, held, texts) in enumerate(_slices(batches)):
-            yield from _rows_of(classes, place + number, np.array(held, bool), Slice(texts))
-
-    return run
-
-
-def _batch(place: int, kind: int, key: np.ndarray, seen: list[np.ndarray], phrase=None, held=None, blob=None) -> pa.RecordBatch:
-    n = len(key)
-    zero = pa.array(np.zeros(n, np.int32))
-    ints = [pa.array(x.astype(np.int32)) for x in seen] + [zero] * (CLASSES - len(seen))
-    columns = [pa.array(np.full(n, place)), pa.array(np.full(n, kind, np.int32)), pa.array(key), pa.nulls(n, pa.int64()) if phrase is None else pa.array(phrase), zero if held is None else pa.array(held.astype(np.int32)), *ints]
-    return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()) if blob is None else pa.array(blob, pa.binary())], names=_NAMES)
-
-
-def _rows_of(classes: Classes, place: int, out: np.ndarray, s: Slice) -> Iterator[pa.RecordBatch]:
-    size = len(s.words)
-    learnt = ~out[s.doc]
-    of = classes.of(s).astype(np.int8)[s.doc]
-    seen = np.stack([np.bincount(s.ids[(of == z) & learnt], minlength=size).astype(np.int32) for z in range(CLASSES)])
-    del of
-    key = s.hash.view(np.int64)
-    order = np.lexsort((s.phrase, s.context))
-    ctx, phrase, away = s.context[order], s.phrase[order], out[s.phrase_doc][order]
-    first = np.flatnonzero(np.r_[True, (ctx[1:] != ctx[:-1]) | (phrase[1:] != phrase[:-1])][: len(ctx)])
-    held = np.add.reduceat(away.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[first, len(ctx)])
-    by = np.argsort(key)  # ascending keys take less room in a file
-    for i in range(0, size, 1 << 16):
-        yield _batch(place, 0, key[by[i : i + (1 << 16)]], list(seen[:, by[i : i + (1 << 16)]]))
-    for i in range(0, len(first), 1 << 16):
-        cut = slice(i, i + (1 << 16))
-        yield _batch(place, 1, ctx[first[cut]], [(n - held)[cut]], phrase[first[cut]], held[cut])
-    # Spelling is learnt from each training text's distinct words.
-    pair = np.sort(s.doc[learnt].astype(np.int64) * size + s.ids[learnt])
-    weight = np.bincount(pair[np.r_[True, pair[1:] != pair[:-1]][: len(pair)]] % size, minlength=size)
-    del pair
-    use = np.flatnonzero(weight)
-    ones, total = spelling_counts([s.words[i] for i in use.tolist()], weight[use])
-    if total.any():
-        blobs = [np.stack([ones[k, b : b + BLOCK], total[k, b : b + BLOCK]]).astype(np.int64).tobytes() for k in range(len(ORDERS)) for b in range(0, SLOTS, BLOCK)]
-        yield _batch(place, 2, np.arange(len(blobs)), [], blob=blobs)
+BLOCK = 1 << 16
+
+
+def _batch(place: int, kind: int, key: np.ndarray, n=None, phrase=None, held=None, blob=None) -> pa.RecordBatch:
+    size = len(key)
+    ints = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, place)), pa.array(np.full(size, kind, np.int32)), pa.array(key.astype(np.int64)), ints(n, pa.int64()), ints(phrase, pa.int64()), ints(held, pa.int32()), ints(blob, pa.binary())], names=_NAMES)
+
+
+def _check(s: Slice) -> int:
+    return int(np.sum(s.h * (np.arange(len(s.h), dtype=np.uint64) | np.uint64(1)), dtype=np.uint64).view(np.int64))
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each slice of a partition, and at the end the partition's counts."""
+    from pyspark import TaskContext
+
+    place = TaskContext.get().partitionId() << 20
+    contexts = np.zeros((2, CONTEXTS, 16 << LINES), np.int32)
+    spelling = np.zeros((2, len(ORDERS), SLOTS), np.int64)
+    number = -1
+    for number, (_, held, texts) in enumerate(_slices(batches)):
+        s = Slice(texts)
+        learnt = ~np.array(held, bool)[s.doc]
+        seen = np.bincount(s.number[learnt], minlength=len(s.key))
+        key = s.key.view(np.int64)
+        by = np.argsort(key)  # ascending keys take less room in a file
+        for i in range(0, len(key), 1 << 16):
+            yield _batch(place + number, 0, key[by[i : i + (1 << 16)]], seen[by[i : i + (1 << 16)]])
+        yield _batch(place + number, 1, np.array([_check(s)]))
+        at, _, context, phrase = s.phrases()
+        order = np.lexsort((phrase, context))
+        context, phrase, away = context[order], phrase[order], ~learnt[at[order]]
+        first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (phrase[1:] != phrase[:-1])][: len(context)])
+        away = np.add.reduceat(away.astype(np.int32), first) if len(first) else away
+        n = np.diff(np.r_[first, len(context)]) - away
+        for i in range(0, len(first), 1 << 16):
+            cut = slice(i, i + (1 << 16))
+            yield _batch(place + number, 4, context[first[cut]], n[cut], phrase[first[cut]], away[cut])
+        del at, context, phrase, order
+        context_counts(s, learnt, contexts)
+        # Spelling is learnt from each word once a slice: new words are more like rare ones than like common ones.
+        use = s.one[(seen > 0) & (s.key != END)]
+        spelling += spelling_counts([s.word(t) for t in use.tolist()])
+    if number >= 0:
+        for kind, counts in ((2, contexts.reshape(-1)), (3, spelling.astype(np.int32).reshape(-1))):
+            for b in range(0, len(counts), BLOCK):
+                yield _batch(place, kind, np.array([b // BLOCK]), blob=[zlib.compress(counts[b : b + BLOCK].tobytes(), 1)])
 
 
 def _add_blobs(frame):
     import pandas as pd
 
-    return pd.DataFrame({"key": [frame["key"].iloc[0]], "blob": [sum(np.frombuffer(b, np.int64) for b in frame["blob"]).tobytes()]})
-
-
-def _spelling(asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ones and totals of all slots. Slices are added up in groups first, so no task gets a block of all slices."""
-    part = asked.where("kind = 2").select("key", "blob", F.pmod(F.hash("place"), F.lit(64)).alias("salt")).groupBy("key", "salt").applyInPandas(_add_blobs, "key long, blob binary")
-    ones, total = np.zeros(len(ORDERS) * SLOTS), np.zeros(len(ORDERS) * SLOTS)
-    for key, blob in part.groupBy("key").applyInPandas(_add_blobs, "key long, blob binary").collect():
-        ones[key * BLOCK : (key + 1) * BLOCK], total[key * BLOCK : (key + 1) * BLOCK] = np.frombuffer(blob, np.int64).reshape(2, BLOCK)
-    return ones.reshape(len(ORDERS), SLOTS), total.reshape(len(ORDERS), SLOTS)
+    total = np.zeros(BLOCK, np.int64)
+    for b, wide in zip(frame["blob"], frame["wide"]):
+        total += np.frombuffer(zlib.decompress(b), np.int64 if wide else np.int32)
+    return pd.DataFrame({"kind": [frame["kind"].iloc[0]], "key": [frame["key"].iloc[0]], "wide": [True], "blob": [zlib.compress(total.tobytes(), 1)]})
 
 
-_VALUES = [f"v{z}" for z in range(max(CLASSES, 3))]
+def _counts(asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the tasks' counts. Tasks are added up in groups first, so none gets a block of all tasks."""
+    shape, kinds = "kind int, key long, wide boolean, blob binary", (16 << LINES, SLOTS)
+    part = asked.where("kind in (2, 3)").select("kind", "key", F.lit(False).alias("wide"), "blob", F.pmod(F.hash("place"), F.lit(64)).alias("salt")).groupBy("kind", "key", "salt").applyInPandas(_add_blobs, shape)
+    out = [np.zeros((2, CONTEXTS, 16 << LINES)), np.zeros((2, len(ORDERS), SLOTS))]
+    for r in part.groupBy("kind", "key").applyInPandas(_add_blobs, shape).toLocalIterator():
+        out[r.kind - 2].reshape(-1)[r.key * BLOCK : (r.key + 1) * BLOCK] = np.frombuffer(zlib.decompress(r.blob), np.int64)
+    return out[0], out[1]
 
 
-def _load(folder: str, place: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """The answers for a slice: kind, key and values, as arrays."""
+def _load(folder: str, place: int, s: Slice) -> dict[int, np.ndarray]:
+    """The answers for a slice by kind: rows of key (ascending), c, top_c, top."""
     import pyarrow.dataset
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(folder)
     where = f"{root}/part={place >> 20}"
     if system.get_file_info(where).type == fs.FileType.NotFound:
-        return None
-    t = pyarrow.dataset.dataset(where, filesystem=system, format="parquet").to_table(columns=["kind", "key", *_VALUES], filter=pyarrow.dataset.field("place") == place, use_threads=False)
-    kind, key, *values = (t.column(c).to_numpy() for c in t.column_names)
-    return kind, key, np.stack(values, axis=1)
+        raise RuntimeError("the rows of a partition are not those of the first reading")
+    t = pyarrow.dataset.dataset(where, filesystem=system, format="parquet").to_table(columns=["kind", "key", "c", "top_c", "top"], filter=pyarrow.dataset.field("place") == place, use_threads=False)
+    kind, *rest = (t.column(x).to_numpy() for x in t.column_names)
+    rows = np.stack(rest)
+    if rows[0, kind == 1].tolist() != [_check(s)]:
+        raise RuntimeError("the rows of a partition are not those of the first reading")
+    return {k: (own := rows[:, kind == k])[:, np.argsort(own[0])] for k in (0, 4)}
 
 
-def _answers(found: tuple | None, kind: int, keys: np.ndarray) -> np.ndarray:
-    """The values for each key, zeros where there is no answer."""
-    out = np.zeros((len(keys), len(_VALUES)), np.int64)
-    if found is None:
-        return out
-    own = found[0] == kind
-    key, values = found[1][own], found[2][own]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    at = np.minimum(np.searchsorted(key, keys), max(0, len(key) - 1))
-    hit = key[at] == keys if len(key) else np.zeros(len(keys), bool)
-    out[hit] = values[order[at[hit]]]
-    return out
+def _find(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of each wanted key, 0 where there is none; keys (the first row) ascend."""
+    if not rows.shape[1]:
+        return np.zeros((len(rows) - 1, len(wanted)), np.int64)
+    at = np.minimum(np.searchsorted(rows[0], wanted), rows.shape[1] - 1)
+    return np.where(rows[0, at] == wanted, rows[1:, at], 0)
 
 
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def _sum(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(group, values, n).astype(float)
+class Model:
+    """What training texts have told. mass: tokens of each path. tables: stretched counts of contexts and of spelling."""
+
+    def __init__(self, tokens: int, words: int, once: int, mass: np.ndarray, contexts: np.ndarray, spelling: np.ndarray, head: np.ndarray):
+        self.tokens, self.words, self.mass, self.head = tokens, words, mass, head
+        self.new = np.float32(stretch(np.float32(tokens - once), np.float32(once)))
+        self.contexts = np.ascontiguousarray(np.moveaxis(contexts, 0, 2), np.float32)  # context, slot, ones and zeros
+        self.spelling = stretch(spelling[0], spelling[1]).astype(np.float32)
+        tree = np.zeros(2 << PATH)
+        tree[1 << PATH :] = mass
+        for i in range((1 << PATH) - 1, 0, -1):
+            tree[i] = tree[2 * i] + tree[2 * i + 1]
+        self.plain = np.full(1 << PATH, 0.5, np.float32)  # by node: the bit's chance without a context
+        ones, zeros = tree[3::2][: (1 << PATH) - 1], tree[2::2][: (1 << PATH) - 1]
+        self.plain[1:] = (ones + 0.4) / (ones + zeros + 0.8)
+
+    def cost(self, s: Slice, c: np.ndarray, followed: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """log2 of the chance of each text. c: training tokens of each of the slice's distinct words; followed: what is
+        known of the contexts at chosen places (rows of key, c, top_c, top); held: whether a text is held out."""
+        known = (c > 0)[s.number]
+        path = path_of(s.h)
+        out, coded = self._phrases(s, followed, held)
+        share = np.zeros(len(s.key))
+        own = c > 0
+        share[own] = np.log2(c[own] / self.mass[path_of(s.key[own])])
+        out += np.bincount(s.doc, share[s.number] * coded, len(s.n))
+        out += self._new_words(s, ~known & coded)
+        contexts = s.contexts()
+        by = np.argsort(-s.n, kind="stable")
+        d0 = 0
+        while d0 < len(by):  # texts of like length are worked on together
+            d1 = max(d0 + 1, min(len(by), d0 + STEP // int(s.n[by[d0]])))
+            lanes = by[d0:d1]
+            out[lanes] += self._mixed(s, lanes, known, coded, path, contexts)
+            d0 = d1
+        return out
 
+    def _phrases(self, s: Slice, followed: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log2 of the chances at the chosen places, and which tokens are not yet coded after them.
+
+        A hit's chance follows the training texts and, by whether the last phrase was hit, the text's own hits so far.
+        """
+        at, stop, context, phrase = s.phrases()
+        n, top_n, top = _find(followed, context)
+        told = np.flatnonzero(n > np.where(held[s.doc[at]], 0, 1))
+        doc, hit = s.doc[at[told]].astype(np.int64), phrase[told] == top[told]
+        chance = (top_n[told] + 0.2) / (n[told] + 1.0)
+        last = np.r_[False, hit[:-1]][: len(hit)] & (np.r_[-1, doc[:-1]][: len(doc)] == doc)
+        state = 2 * doc + last
+        order = np.argsort(state, kind="stable")
+        h = hit[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, state[order][1:] != state[order][:-1]][: len(order)])
+        size = np.diff(np.r_[first, len(order)])
+        before = np.cumsum(h) - h
+        hits, trials = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        hits[order] = before - np.repeat(before[first], size)
+        trials[order] = np.arange(len(h)) - np.repeat(first, size)
+        p = (hits + 2 * np.where(last, (1 + chance) / 2, chance)) / (trials + 2)
+        edge = np.zeros(len(s.h) + 1, np.int32)
+        np.add.at(edge, at[told][hit], 1)
+        np.add.at(edge, stop[told][hit], -1)
+        return np.bincount(doc, np.log2(np.where(hit, p, 1 - p)), len(s.n)).astype(float), np.cumsum(edge[:-1]) == 0
+
+    def _new_words(self, s: Slice, new: np.ndarray) -> np.ndarray:
+        """Repeats of new words, and their spelling."""
+        at = np.flatnonzero(new)
+        if not len(at):
+            return np.zeros(len(s.n))
+        doc = s.doc[at]
+        pair = (doc.astype(np.uint64) << np.uint64(32)) | s.number[at].astype(np.uint64)
+        order = np.argsort(pair, kind="stable")
+        first = np.zeros(len(at), bool)
+        first[order] = np.r_[True, pair[order][1:] != pair[order][:-1]]
+        begin = np.searchsorted(doc, doc, side="left")
+        before = np.arange(len(at)) - begin
+        unlike = np.cumsum(first) - first
+        unlike = unlike - unlike[begin]  # distinct new words of this text so far
+        again = (before - unlike + 0.5) / (before + 1)
+        cost = np.where(first, np.log2(1 - again), np.log2(again / np.maximum(unlike, 1)))
+        out = np.bincount(doc, cost, len(s.n)).astype(float)
+        spelled, of = at[first], doc[first]
+        texts, begin = np.unique(of, return_index=True)
+        cuts = [*begin.tolist(), len(of)]
+        out[texts] += spell([[s.word(t) if s.h[t] != END else b"" for t in spelled[a:b].tolist()] for a, b in zip(cuts[:-1], cuts[1:])], self.spelling)
+        return out
 
-def _last(x: np.ndarray, first) -> np.ndarray:
-    """What stands before each place."""
-    return np.r_[np.array([first], x.dtype), x[:-1]][: len(x)]
+    def _mixed(self, s: Slice, lanes: np.ndarray, known: np.ndarray, coded: np.ndarray, path: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+        """Whether each word is known, and its path, for some texts by falling length."""
+        n = s.n[lanes]
+        steps = -(-n // TOGETHER)
+        live = np.searchsorted(-steps, -np.arange(int(steps[0])), side="left")
+        edge = np.r_[0, np.cumsum(live)]
+        width, size = 1 + PATH, int(edge[-1]) * TOGETHER
+        # Row of a token: its step's begin, the text's lane, its place in the step.
+        token = np.repeat(s.start[lanes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place = token - np.repeat(s.start[lanes], n)
+        row = (edge[place // TOGETHER] + np.repeat(np.arange(len(lanes)), n)) * TOGETHER + place % TOGETHER
+        x = np.zeros((size, width, 2 + CONTEXTS), np.float32)
+        y = np.zeros((size, width), np.float32)
+        node = np.zeros((size, width), np.int32)
+        on = np.zeros((size, width), np.float32)
+        prior = np.full((size, width), squash(self.new), np.float32)
+        for i in range(0, len(token), CHUNK):
+            t, r = token[i : i + CHUNK], row[i : i + CHUNK]
+            p = path[t]
+            nodes = (1 << np.arange(PATH)) | (p[:, None] >> (PATH - np.arange(PATH)))
+            y[r, 0], on[r, 0], x[r, 0, 0] = known[t], coded[t], self.new
+            y[r, 1:], on[r, 1:], node[r, 1:] = bits_of(p), (known[t] & coded[t])[:, None], nodes
+            wide = self.plain[nodes]
+            x[r, 1:, 0] = logit(wide)
+            for k, c in enumerate(contexts):
+                n = self.contexts[k][slots_of(c[t], p)]
+                chance = (n[..., 0] + TRUST[k] * wide) / (n[..., 0] + n[..., 1] + TRUST[k])
+                x[r, 1:, 1 + k] = logit(chance)
+                if not k:
+                    wide = chance
+            prior[r, 1:] = wide
+        weights = np.broadcast_to(START, (len(lanes), width, *START.shape)).copy()
+        weights[:, 0] = (1, 0, 0, 0, 0)
+        counts = np.zeros((2, len(lanes) << PATH), np.float32)
+        base = (np.arange(len(lanes), dtype=np.int32) << PATH)[:, None, None]
+        out = np.zeros(len(lanes))
+        for m, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+            k = b - a
+            shape = (k, TOGETHER, width)
+            at, cut = node[a * TOGETHER : b * TOGETHER].reshape(shape) + base[:k], slice(a * TOGETHER, b * TOGETHER)
+            bit, use = y[cut].reshape(shape), on[cut].reshape(shape)
+            ones, zeros = counts[0][at], counts[1][at]
+            v = x[cut].reshape(*shape, -1)
+            v[..., -1] = logit((ones + OWN_TRUST * prior[cut].reshape(shape)) / (ones + zeros + OWN_TRUST))
+            told = (ones + zeros >= 2)[..., None]
+            w = weights[:k, None]
+            p = squash(np.einsum("abcd,abcd->abc", v, np.where(told, w[..., 1, :], w[..., 0, :])))
+            out[:k] += (np.log2(np.where(bit > 0, p, 1 - p)) * use).sum(axis=(1, 2), dtype=float)
+            v *= ((bit - p) * use * RATE)[..., None]
+            second = (v * told).sum(axis=1)
+            weights[:k, :, 1] += second
+            weights[:k, :, 0] += v.sum(axis=1) - second
+            at, bit, use = at.reshape(-1), bit.reshape(-1), use.reshape(-1)
+            np.add.at(counts[0], at, bit * use)
+            np.add.at(counts[1], at, (1 - bit) * use)
+        return out
 
 
-class Model:
-    """What has been learnt, as far as one slice asks for it, and the chances that it gives."""
-
-    def __init__(self, s: Slice, found: tuple | None, sizes: np.ndarray, tokens: int, words: int, once: int, ones: np.ndarray, total: np.ndarray):
-        self.s, self.sizes, self.tokens = s, sizes, tokens
-        by = _answers(found, 0, s.hash.view(np.int64)).T[:CLASSES]
-        self.c = by.sum(axis=0)
-        self.base = np.log10((self.c + 1) / (tokens + words + 1))
-        self.phrases = _answers(found, 1, s.context).T[:3]
-        self.rate = 1 - (once + 0.5) / (tokens + 1)
-        self.length = np.minimum([len(w) for w in s.words], 15)
-        self.price = np.zeros(len(s.words))
-        new = sorted(np.flatnonzero(self.c == 0).tolist(), key=lambda i: len(s.words[i]))
-        for i in range(0, len(new), BLOCK):
-            self.price[new[i : i + BLOCK]] = spell([s.words[j] for j in new[i : i + BLOCK]], ones, total)
-        self.share = (1 - BACK) * by / np.maximum(sizes, 1)[:, None] + BACK * self.c / max(tokens, 1)
-
-    def cost(self, held: np.ndarray, d0: int, d1: int) -> np.ndarray:
-        """log2 of the chance of each of the slice's texts d0 to d1."""
-        s, m = self.s, d1 - d0
-        a, b = s.start[d0], s.start[d1 - 1] + s.n[d1 - 1]
-        ids, doc = s.ids[a:b], s.doc[a:b] - d0
-        some = slice(*np.searchsorted(s.phrase_doc, [d0, d1]))
-        at, stop, of = s.at[some] - a, s.stop[some] - a, s.phrase_doc[some] - d0
-        n, top_n, top = (x[some] for x in self.phrases)
-        # 1: phrases
-        told = np.flatnonzero(n > np.where(held[d0:d1][of], 0, 1))
-        hit = s.phrase[some][told] == top[told]
-        same = _last(of[told], -1) == of[told]
-        last = _last(hit, False) & same
-        last2 = _last(last, False) & last
-        chance = ((top_n[told] + 0.2) / (n[told] + 1.0))[:, None]
-        strength = np.minimum(np.log2(n[told]).astype(np.int64), 7)
-        cost = _sum(of[told], mix(hit, np.bincount(of[told], minlength=m), chance, np.stack([last * 2 + last2, strength], axis=1), last * 1, 0.6, (4, 8), 2), m)
-        free = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(free, at[told][hit], 1)
-        np.add.at(free, stop[told][hit], -1)
-        coded = np.flatnonzero(np.cumsum(free[:-1]) == 0)
-        # 2: is each word known
-        doc, own = doc[coded], ids[coded]
-        known = self.c[own] > 0
-        same = _last(doc, -1) == doc
-        before = _last(known, True) | ~same
-        before2 = _last(before, True) | ~same
-        length = _last(self.length[own], 0) * same
-        cost += _sum(doc, mix(known, np.bincount(doc, minlength=m), np.full((len(coded), 1), self.rate), np.stack([before * 2 + before2, length], axis=1), before * 1, self.rate, (4, 16), 2), m)
-        # 3: which one
-        cost += _sum(doc, self.price[own], m)
-        by_class = [np.log2(self.sizes[z] / self.tokens) + _sum(doc[known], np.log2(np.maximum(self.share[z][own[known]], 1e-300)), m) for z in np.flatnonzero(self.sizes).tolist()]
-        return cost + np.logaddexp2.reduce(by_class) if by_class else cost  # a text's chance, over the classes that it may be of
-
-
-def _score(folder: str, sizes: np.ndarray, tokens: int, words: int, once: int, ones: np.ndarray, total: np.ndarray):
+def _score(folder: str, model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         place = TaskContext.get().partitionId() << 20
         for number, (ids, held, texts) in enumerate(_slices(batches)):
-            by = sorted(range(len(texts)), key=lambda i: len(texts[i]))  # texts of like length are worked on together
-            ids, held, texts = [ids[i] for i in by], np.array(held, bool)[by], [texts[i] for i in by]
-            s, size = Slice(texts), np.maximum([len(t.encode("utf-8", "surrogatepass")) for t in texts], 1)
+            s = Slice(texts)
             del texts
-            model = Model(s, _load(folder, place + number), sizes, tokens, words, once, ones, total)
-            cost, d0 = [], 0
-            while d0 < len(ids):
-                d1 = max(d0 + 1, int(np.searchsorted(s.start, s.start[d0] + STEP)))
-                cost.append(model.cost(held, d0, d1))
-                d0 = d1
-            cost, n = np.concatenate(cost), len(ids)
-            known = np.bincount(s.doc, model.c[s.ids] > 0, n).astype(np.int64)
+            found, own = _load(folder, place + number, s), s.key.view(np.int64)
+            c = np.maximum(_find(found[0], own)[0], _find(model.head, own)[0])
+            cost, n = model.cost(s, c, found[4], np.array(held, bool)), len(ids)
+            base = np.log10((c + 1) / (model.tokens + model.words + 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(held), pa.array(s.n), pa.array(known), pa.array(np.full(n, tokens, np.int64)), pa.array(_sum(s.doc, model.base[s.ids], n)), pa.array(cost * np.log10(2)), pa.array(-cost / size)],
+                [pa.array(ids, pa.int64()), pa.array(held), pa.array(s.n), pa.array(np.bincount(s.doc, (c > 0)[s.number], n).astype(np.int64)), pa.array(np.full(n, model.tokens, np.int64)), pa.array(np.bincount(s.doc, base[s.number], n)), pa.array(cost * np.log10(2)), pa.array(-cost / np.maximum(s.bytes, 1))],
                 names=[f.split()[0] for f in _SCORE.split(", ")],
             )
 
@@ -665,32 +577,36 @@ def score(docs: DataFrame) -> DataFrame:
 
     Null text: no words, so its end alone. A null id counts as a training document. Repeated rows are learnt from and
     scored one by one. Without training documents every word is new. No documents: no rows. Other columns are not read.
+    Words are told apart by 64-bit hashes.
 
-    docs must give the same rows in the same partitions each time it runs, as a table read from files does.
+    docs must give the same rows in the same partitions each time it runs, as a table read from files does; if it doesn't,
+    the job fails.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.pmod(crc32_of_id(), F.lit(7)) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    classes = find_classes(rows)
     path = new_path(spark, "asked")
-    rows.mapInArrow(_ask(classes), _ASK).write.options(**_DELTAS).parquet(path)
+    rows.mapInArrow(_ask, _ASK).write.options(**_DELTAS).parquet(path)
     asked = spark.read.schema(_ASK).parquet(path)
-    # Words: each slice's row gets the sums of all slices. A word has one row in a slice at most, so no group is large.
-    own = Window.partitionBy("key")
-    words = asked.where("kind = 0").select("place", "kind", "key", *(F.sum(c).over(own).alias(v) for c, v in zip(_SEEN, _VALUES)), (F.row_number().over(own.orderBy("place")) == 1).alias("lead"))
-    seen = sum((F.col(v) for v in _VALUES[:CLASSES]), F.lit(0))
-    ones, total = _spelling(asked)
-    phrases = asked.where("kind = 1")
-    after = phrases.where("s0 > 0").groupBy("key", "phrase").agg(F.sum("s0").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct(F.col("c").alias("top_n"), F.col("phrase").alias("top"))).alias("m"))
-    spare = [F.lit(0).cast("long").alias(v) for v in _VALUES]
-    told = phrases.select("place", "kind", "key", "held").join(after, "key").where("n > 1 or held > 0").select("place", "kind", "key", F.col("n").alias("v0"), F.col("m.top_n").alias("v1"), F.col("m.top").alias("v2"), *spare[3:], F.lit(False).alias("lead"))
-    counted = words.where(seen > 0).select("place", "kind", "key", *_VALUES[:CLASSES], *spare[CLASSES:], "lead")
+    contexts, spelling = _counts(asked)
+    words = materialize(asked.where("kind = 0 and n > 0").groupBy("key").agg(F.sum("n").alias("c")), "words")
+    of = F.shiftrightunsigned("key", 64 - PATH)
+    mass, distinct_words, once = np.zeros(1 << PATH), 0, 0
+    for r in words.groupBy(of.alias("path")).agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect():
+        mass[r.path], distinct_words, once = r.c, distinct_words + r.n, once + r.once
+    tokens = int(mass.sum())
+    # The commonest words, whose rows would be as many as the slices, go to all tasks; the others' rows are joined.
+    common = F.col("c") >= max(1, HEAD * tokens)
+    head = np.array(sorted((r.key, r.c) for r in words.where(common).collect()), np.int64).reshape(-1, 2).T
+    spare = [F.lit(0).cast("long").alias(x) for x in ("c", "top_c", "top")]
+    known = asked.where("kind = 0").select("place", "kind", "key").join(words.where(~common), "key").select("place", "kind", "key", "c", *spare[1:])
+    checks = asked.where("kind = 1").select("place", "kind", "key", *spare)
+    phrases = asked.where("kind = 4")
+    after = phrases.groupBy("key", "phrase").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    after = after.groupBy("key").agg(F.sum("n").alias("c"), F.sum("held").alias("held"), F.max(F.struct("n", "phrase")).alias("m")).where("c > 1 or (c > 0 and held > 0)")
+    told = phrases.select("place", "kind", "key").join(after, "key").select("place", "kind", "key", "c", F.col("m.n").alias("top_c"), F.col("m.phrase").alias("top"))
     folder = new_path(spark, "answers")
-    answers = counted.unionByName(told).withColumn("part", F.shiftright("place", 20))
-    answers.repartition("part").sortWithinPartitions("part", "kind", "key").write.options(**_DELTAS).partitionBy("part").parquet(folder)
-    each = spark.read.schema(answers.schema).parquet(folder).where("lead")
-    distinct, once, *sizes = each.agg(F.count("*"), F.count_if(seen == 1), *(F.coalesce(F.sum(v), F.lit(0)) for v in _VALUES[:CLASSES])).first()
-    tokens = sum(sizes)
-    return rows.mapInArrow(_score(folder, np.array(sizes, np.int64), tokens, distinct, once, ones, total), _SCORE)
+    known.unionByName(told).unionByName(checks).withColumn("part", F.shiftright("place", 20)).repartition("part").sortWithinPartitions("part", "place", "kind", "key").write.options(**_DELTAS).partitionBy("part").parquet(folder)
+    return rows.mapInArrow(_score(folder, Model(tokens, distinct_words, once, mass, contexts, spelling, head)), _SCORE)
 
 
 def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
