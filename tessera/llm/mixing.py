@@ -10,10 +10,9 @@ A text is a series of tokens (its lower-cased words, then an end) and each token
    closing byte 0.
 
 The chance of each bit is a mix, in the logistic domain, of predictors that have counted it in training texts after hashed
-contexts (none; the text's commonest short word so far; that and the last short word; the word before; for spelling the last bytes of the word) and, for words,
-in the text so far. Weights are gated by the bit's place in the token and by whether the text has told of the bit before;
-they and the text's own counters start alike for each text and follow its own bits, so a score depends on the model and
-the text alone. Weights and counters move on after each step: TOGETHER tokens, or one spelled word.
+contexts (none; the text's commonest short word so far; the word before; for spelling the last bytes of the word) and, for words,
+in the text so far. Weights are gated by the bit's place in the token; they and the text's own counters start alike for
+each text and follow its own bits, so a score depends on the model and the text alone. Weights and counters move on after each step: TOGETHER tokens, or one spelled word.
 
 Tables of hashed contexts have a fixed size and are sums over all training texts. Exact counts of words and of what follows
 at chosen places grow with the corpus: they reach a slice of texts as the rows that it asks for; no task holds them all.
@@ -33,20 +32,20 @@ from .common import LOWER_AZ, crc32_of_id, materialize, new_path, read
 from .runs import distinct, hashes
 
 #: Bytes of the texts of a slice, at most (or one text).
-SLICE = 20 << 20
+SLICE = 14 << 20
 #: Bits of a word's hash that are coded; tokens of a text between two changes of its weights; bytes of a short word, at most.
 PATH, TOGETHER, SHORT = 12, 8, 3
 #: Lines of 16 slots in the table of each context of words, as a power of two; these contexts.
-LINES, CONTEXTS = 16, 3
+LINES, CONTEXTS = 16, 2
 #: Words before a place that choose it; one place in so many words.
 ORDER, EVERY = 3, 16
 #: Tokens that are scored at once, about (or one text); tokens whose places in the tables are made at once.
-STEP, CHUNK = 200_000, 1 << 16
-#: Weights at the start: predictors without context, of the contexts, and of the text itself, for bits that the text has not told of and for others; for spelling.
-START = np.array([[0.0, 0.3, 0.5, 0.2, 0.0], [0.0, 0.2, 0.4, 0.1, 0.4]], np.float32)
+STEP, CHUNK = 150_000, 1 << 15
+#: Weights at the start: predictors without context, of the contexts, and of the text itself; for spelling.
+START = np.array([0.0, 0.45, 0.25, 0.3], np.float32)
 RATE, SPELL_START, SPELL_RATE = np.float32(0.015), 0.4, 0.02
 #: Observations that the wider context's chance counts for in a narrower one: in each context's table, and in the text.
-TRUST, OWN_TRUST = (np.float32(2.0), np.float32(4.0), np.float32(4.0)), np.float32(6.0)
+TRUST, OWN_TRUST = (np.float32(2.0), np.float32(6.0)), np.float32(6.0)
 #: Hash slots for each order of the spelling contexts, and the orders in bytes.
 SLOTS, ORDERS = 1 << 16, (1, 2, 3, 5)
 #: Bytes of words whose spelling is counted at once, at most; longer words are counted in stretches.
@@ -59,14 +58,18 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _near(text: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """For each byte those 1, 2, ... before it in its word, plus 1 (0: none)."""
+    return [np.where(place >= back, np.r_[np.zeros(back, np.uint8), text[:-back]][: len(text)].astype(np.uint16) + np.uint16(1), np.uint16(0)) for back in range(1, max(ORDERS) + 1)]
+
+
 def _before(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The words' bytes with a closing byte each, how many each word has, and for each byte those 1, 2, ... before it in
     the word, plus 1 (0: none)."""
     text = np.frombuffer(b"\0".join([*words, b""]), np.uint8) if words else np.zeros(0, np.uint8)
     lengths = np.array([len(w) + 1 for w in words], np.int64)
     place = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    near = [np.where(place >= back, np.r_[np.zeros(back, np.uint8), text[:-back]][: len(text)].astype(np.uint16) + np.uint16(1), np.uint16(0)) for back in range(1, max(ORDERS) + 1)]
-    return text, lengths, near
+    return text, lengths, _near(text, place)
 
 
 def _bits(text: np.ndarray, near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,24 +122,49 @@ def spelling_counts(words: list[bytes]) -> np.ndarray:
         counted[last[~np.array(ends)]] = False
         for i in np.flatnonzero(skip).tolist():
             counted[last[i] + 1 - lengths[i] :][: skip[i]] = False
-        key = np.zeros(len(text), np.uint64)
-        for x in [*near, text]:
-            key = key * np.uint64(257) + x
-        key = key[counted]
-        one, number = distinct(key)
-        sums = np.bincount(number, minlength=len(one)).astype(float)
-        at = np.flatnonzero(counted)[one]
-        for i in range(0, len(at), 1 << 16):
-            cut = at[i : i + (1 << 16)]
-            bits, slots = _bits(text[cut], [x[cut] for x in near])
-            w = np.repeat(sums[i : i + (1 << 16)], 8)
-            for y in (0, 1):
-                on = bits == 1 - y
-                for k in range(len(ORDERS)):
-                    out[y, k] += np.bincount(slots[on, k], w[on], SLOTS).astype(np.int64)
+        _count_spelling(text, near, counted, out)
     return out
 
 
+def _count_spelling(text: np.ndarray, near: list[np.ndarray], counted: np.ndarray, out: np.ndarray) -> None:
+    key = np.zeros(len(text), np.uint64)
+    for x in [*near, text]:
+        key = key * np.uint64(257) + x
+    key = key[counted]
+    one, number = distinct(key)
+    sums = np.bincount(number, minlength=len(one)).astype(float)
+    at = np.flatnonzero(counted)[one]
+    for i in range(0, len(at), 1 << 16):
+        cut = at[i : i + (1 << 16)]
+        bits, slots = _bits(text[cut], [x[cut] for x in near])
+        w = np.repeat(sums[i : i + (1 << 16)], 8)
+        for y in (0, 1):
+            on = bits == 1 - y
+            for k in range(len(ORDERS)):
+                out[y, k] += np.bincount(slots[on, k], w[on], SLOTS).astype(np.int64)
+
+
+def spelling_counts_of(s: "Slice", tokens: np.ndarray, out: np.ndarray) -> None:
+    """Add the spelling of the words at some tokens of a slice to out."""
+    data = np.frombuffer(s.data, np.uint8)
+    start, length = s.at[0, tokens].astype(np.int64), (s.at[1, tokens] - s.at[0, tokens]).astype(np.int64)
+    long = length >= STRETCH >> 4
+    if long.any():
+        out += spelling_counts([s.word(t) for t in tokens[long].tolist()])
+        start, length = start[~long], length[~long]
+    ends = np.cumsum(length + 1)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STRETCH)))
+        n = length[a:b] + 1
+        last = np.cumsum(n) - 1
+        place = np.arange(int(n.sum())) - np.repeat(last + 1 - n, n)
+        text = data[np.minimum(np.repeat(start[a:b], n) + place, len(data) - 1)]
+        text[last] = 0
+        _count_spelling(text, _near(text, place), np.ones(len(text), bool), out)
+        a = b
+
+
 def stretch(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     """What a predictor that has counted so many ones and zeros says, in the logistic domain."""
     return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
@@ -210,15 +238,13 @@ class Slice:
         return self.data[self.at[0, token] : self.at[1, token]]
 
     def contexts(self) -> list[np.ndarray]:
-        """For each token the hashes of its contexts: the commonest short word of the text so far, that and the last short
-        word, the word before (0: none)."""
+        """For each token the hashes of its contexts: the commonest short word of the text so far, the word before (0: none)."""
         first = self.start[self.doc]
         place = np.flatnonzero(self.short)
         before = np.cumsum(self.short) - self.short  # short words that stand before
         i = before - 1
         p = place[np.maximum(i, 0)] if len(place) else np.zeros(len(i), np.int64)
         there = (i >= 0) & (p >= first)
-        last = np.where(there, self.h[p], np.uint64(0))
         # How often each short word has stood in its text; the last record so far names the commonest.
         doc = self.doc[place].astype(np.int64)
         pair = doc * len(self.key) + self.number[place]
@@ -229,7 +255,7 @@ class Slice:
         record = np.maximum.accumulate((doc << 40) + times)
         leads = np.maximum.accumulate(np.where((doc << 40) + times == record, np.arange(len(place)), 0))
         often = np.where(there, self.h[place[leads[np.maximum(i, 0)]]] if len(place) else np.uint64(0), np.uint64(0))
-        return [often, (often ^ (often >> np.uint64(31))) * _MIX + last, np.where(np.arange(len(self.h)) > first, np.r_[np.uint64(0), self.h[:-1]], np.uint64(0))]
+        return [often, np.where(np.arange(len(self.h)) > first, np.r_[np.uint64(0), self.h[:-1]], np.uint64(0))]
 
 
     def phrases(self) -> tuple[np.ndarray, ...]:
@@ -352,9 +378,8 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(place + number, 4, context[first[cut]], n[cut], phrase[first[cut]], away[cut])
         del at, context, phrase, order
         context_counts(s, learnt, contexts)
-        # Spelling is learnt from each word once a slice: new words are more like rare ones than like common ones.
-        use = s.one[(seen > 0) & (s.key != END)]
-        spelling += spelling_counts([s.word(t) for t in use.tolist()])
+        # Spelling is learnt from the words that the slice's training texts have once: new words are more like these than like common ones.
+        spelling_counts_of(s, s.one[(seen == 1) & (s.key != END)], spelling)
     if number >= 0:
         for kind, counts in ((2, contexts.reshape(-1)), (3, spelling.astype(np.int32).reshape(-1))):
             for b in range(0, len(counts), BLOCK):
@@ -496,15 +521,21 @@ class Model:
 
     def _mixed(self, s: Slice, lanes: np.ndarray, known: np.ndarray, coded: np.ndarray, path: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """Whether each word is known, and its path, for some texts by falling length."""
-        n = s.n[lanes]
-        steps = -(-n // TOGETHER)
+        whole = s.n[lanes]
+        token = np.repeat(s.start[lanes] - (np.cumsum(whole) - whole), whole) + np.arange(whole.sum())
+        lane = np.repeat(np.arange(len(lanes)), whole)[coded[token]]
+        token = token[coded[token]]
+        n = np.bincount(lane, minlength=len(lanes))
+        by = np.argsort(-n, kind="stable")  # lanes by falling number of tokens
+        turn = np.empty(len(by), np.int64)
+        turn[by] = np.arange(len(by))
+        place = np.arange(len(token)) - (np.cumsum(n) - n)[lane]
+        steps = -(-n[by] // TOGETHER)
         live = np.searchsorted(-steps, -np.arange(int(steps[0])), side="left")
         edge = np.r_[0, np.cumsum(live)]
         width, size = 1 + PATH, int(edge[-1]) * TOGETHER
-        # Row of a token: its step's begin, the text's lane, its place in the step.
-        token = np.repeat(s.start[lanes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        place = token - np.repeat(s.start[lanes], n)
-        row = (edge[place // TOGETHER] + np.repeat(np.arange(len(lanes)), n)) * TOGETHER + place % TOGETHER
+        # Row of a token: its step's begin, the text's turn, its place in the step.
+        row = (edge[place // TOGETHER] + turn[lane]) * TOGETHER + place % TOGETHER
         x = np.zeros((size, width, 2 + CONTEXTS), np.float32)
         y = np.zeros((size, width), np.float32)
         node = np.zeros((size, width), np.int32)
@@ -514,8 +545,8 @@ class Model:
             t, r = token[i : i + CHUNK], row[i : i + CHUNK]
             p = path[t]
             nodes = (1 << np.arange(PATH)) | (p[:, None] >> (PATH - np.arange(PATH)))
-            y[r, 0], on[r, 0], x[r, 0, 0] = known[t], coded[t], self.new
-            y[r, 1:], on[r, 1:], node[r, 1:] = bits_of(p), (known[t] & coded[t])[:, None], nodes
+            y[r, 0], on[r, 0], x[r, 0, 0] = known[t], 1, self.new
+            y[r, 1:], on[r, 1:], node[r, 1:] = bits_of(p), known[t][:, None], nodes
             wide = self.plain[nodes]
             x[r, 1:, 0] = logit(wide)
             for k, c in enumerate(contexts):
@@ -525,31 +556,25 @@ class Model:
                 if not k:
                     wide = chance
             prior[r, 1:] = wide
-        weights = np.broadcast_to(START, (len(lanes), width, *START.shape)).copy()
-        weights[:, 0] = (1, 0, 0, 0, 0)
-        counts = np.zeros((2, len(lanes) << PATH), np.float32)
-        base = (np.arange(len(lanes), dtype=np.int32) << PATH)[:, None, None]
+        weights = np.broadcast_to(START, (len(lanes), width, len(START))).copy()
+        weights[:, 0] = (1, 0, 0, 0)
+        counts = np.zeros((len(lanes) << PATH, 2), np.float32)  # zeros and ones of each text's nodes
+        node += (np.repeat(np.arange(size // TOGETHER) - np.repeat(edge[:-1], live), TOGETHER) << PATH).astype(np.int32)[:, None]
+        to = 2 * node + y.astype(np.int32)
         out = np.zeros(len(lanes))
-        for m, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
-            k = b - a
+        for a, b in zip((edge[:-1] * TOGETHER).tolist(), (edge[1:] * TOGETHER).tolist()):
+            k = (b - a) // TOGETHER
             shape = (k, TOGETHER, width)
-            at, cut = node[a * TOGETHER : b * TOGETHER].reshape(shape) + base[:k], slice(a * TOGETHER, b * TOGETHER)
-            bit, use = y[cut].reshape(shape), on[cut].reshape(shape)
-            ones, zeros = counts[0][at], counts[1][at]
-            v = x[cut].reshape(*shape, -1)
-            v[..., -1] = logit((ones + OWN_TRUST * prior[cut].reshape(shape)) / (ones + zeros + OWN_TRUST))
-            told = (ones + zeros >= 2)[..., None]
-            w = weights[:k, None]
-            p = squash(np.einsum("abcd,abcd->abc", v, np.where(told, w[..., 1, :], w[..., 0, :])))
-            out[:k] += (np.log2(np.where(bit > 0, p, 1 - p)) * use).sum(axis=(1, 2), dtype=float)
-            v *= ((bit - p) * use * RATE)[..., None]
-            second = (v * told).sum(axis=1)
-            weights[:k, :, 1] += second
-            weights[:k, :, 0] += v.sum(axis=1) - second
-            at, bit, use = at.reshape(-1), bit.reshape(-1), use.reshape(-1)
-            np.add.at(counts[0], at, bit * use)
-            np.add.at(counts[1], at, (1 - bit) * use)
-        return out
+            bit, use = y[a:b].reshape(shape), on[a:b].reshape(shape)
+            n, wide = counts[node[a:b]], prior[a:b]
+            v = x[a:b]
+            v[..., -1] = logit((n[..., 1] + OWN_TRUST * wide) / (n[..., 0] + n[..., 1] + OWN_TRUST))
+            v = v.reshape(*shape, -1)
+            p = squash(np.einsum("abcd,acd->abc", v, weights[:k]))
+            out[:k] += (np.log2(np.abs(1 - bit - p)) * use).sum(axis=(1, 2), dtype=float)
+            weights[:k] += np.einsum("abcd,abc->acd", v, (bit - p) * use * RATE)
+            np.add.at(counts.reshape(-1), to[a:b].reshape(-1), use.reshape(-1))
+        return out[turn]
 
 
 def _score(folder: str, model: Model):

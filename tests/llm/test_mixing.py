@@ -51,17 +51,15 @@ def bits(h):
 
 
 def contexts_at(words, hashed, i):
-    """Commonest short word so far (of equal ones the last to reach its count), with the last short word, word before."""
-    seen, often, last = Counter(), 0, 0
+    """Commonest short word so far (of equal ones the last to reach its count), word before."""
+    seen, often = Counter(), 0
     top = 0
     for w, h in zip(words[:i], hashed[:i]):
         if w is not None and len(w) <= M.SHORT:
             seen[h] += 1
-            last = h
             if seen[h] >= top:
                 top, often = seen[h], h
-    two = ((often ^ (often >> 31)) * int(M._MIX) + last) % (1 << 64)
-    return [often, two, hashed[i - 1] if i else 0]
+    return [often, hashed[i - 1] if i else 0]
 
 
 def slots(context, h):
@@ -82,7 +80,7 @@ def slow_scores(docs):
     held = [is_held(d.doc_id) for d in docs]
     count = Counter(h for t, o in zip(hashed, held) if not o for h in t)
     total, once = sum(count.values()), sum(c == 1 for c in count.values())
-    table, tree, spelled = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), set()
+    table, tree, spelled = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), Counter()
     follow = defaultdict(Counter)
 
     def chosen(h):
@@ -111,7 +109,7 @@ def slow_scores(docs):
                 for k in range(M.CONTEXTS):
                     table[k, at[k][b]][y] += 1
     ones, zeros = np.zeros((len(M.ORDERS), M.SLOTS)), np.zeros((len(M.ORDERS), M.SLOTS))
-    for w in spelled:
+    for w in [w for w, n in spelled.items() if n == 1]:
         text, _, near = M._before([w])
         for y, at in zip(*M._bits(text, near)):
             (ones if y else zeros)[np.arange(len(M.ORDERS)), at] += 1
@@ -131,18 +129,17 @@ def slow_scores(docs):
             last = hit
             if hit:
                 free.update(range(i, j))
-        weights = [[[float(x) for x in M.START[g]] for g in (0, 1)] for _ in range(1 + M.PATH)]
-        weights[0] = [[1.0, 0, 0, 0, 0] for g in (0, 1)]
+        weights = [[float(x) for x in M.START] for _ in range(1 + M.PATH)]
+        weights[0] = [1.0, 0, 0, 0]
         own, new, seen_new = defaultdict(lambda: [0, 0]), [], 0
         flag = math.log((total - once + 0.4) / (once + 0.4))
         spell_w = [M.SPELL_START] * len(M.ORDERS)
-        for a in range(0, len(h), M.TOGETHER):
+        todo = [i for i in range(len(h)) if i not in free]
+        for a in range(0, len(todo), M.TOGETHER):
             moves, marks = [], []
-            for i in range(a, min(a + M.TOGETHER, len(h))):
-                if i in free:
-                    continue
+            for i in todo[a : a + M.TOGETHER]:
                 known = count[h[i]] > 0
-                steps = [(0, int(known), 0, [flag, 0, 0, 0], squash(flag))]
+                steps = [(0, int(known), 0, [flag, 0, 0], squash(flag))]
                 if known:
                     node, at = 1, [slots(c, h[i]) for c in contexts_at(w, h, i)]
                     for b, y in enumerate(bits(h[i])):
@@ -160,10 +157,9 @@ def slow_scores(docs):
                 for place, y, node, x, prior in steps:
                     n = own[node]
                     x = [*x, logit((n[1] + float(M.OWN_TRUST) * prior) / (sum(n) + float(M.OWN_TRUST)))]
-                    g = int(sum(n) >= 2)
-                    p = squash(sum(u * v for u, v in zip(weights[place][g], x)))
+                    p = squash(sum(u * v for u, v in zip(weights[place], x)))
                     score += math.log2(p if y else 1 - p)
-                    moves += [(place, g, k, float(M.RATE) * v * (y - p)) for k, v in enumerate(x)]
+                    moves += [(place, k, float(M.RATE) * v * (y - p)) for k, v in enumerate(x)]
                     marks.append((node, y))
                 if not known:
                     again = (seen_new - len(new) + 0.5) / (seen_new + 1)
@@ -182,8 +178,8 @@ def slow_scores(docs):
                             move = [m + M.SPELL_RATE * 8 * v * (int(y) - p) / len(ys) for m, v in zip(move, x)]
                         spell_w = [u + m for u, m in zip(spell_w, move)]
                     seen_new += 1
-            for place, g, k, v in moves:
-                weights[place][g][k] += v
+            for place, k, v in moves:
+                weights[place][k] += v
             for node, y in marks:
                 own[node][y] += 1
         out.append(score * math.log10(2))
