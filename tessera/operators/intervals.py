@@ -107,10 +107,12 @@ def is_box(df: DataFrame) -> DataFrame:
 
 
 def interval_of(df: DataFrame, points: DataFrame) -> DataFrame:
-    """The interval that holds each point (level, i, j, k); points outside get nulls. Points keep their columns."""
-    block = F.shiftright("i", BLOCK)
-    near = split(df).withColumnsRenamed({"z": "k", "y": "j"})
-    whole = df.withColumnsRenamed({"z": "k", "y": "j", "x_start": "a", "x_end": "b"})
-    cut = near.join(whole, (near.level == whole.level) & (near.j == whole.j) & (near.k == whole.k) & (whole.a <= near.x_start) & (near.x_end <= whole.b)).select(near.level, near.j, near.k, "block", near.x_start.alias("lo"), near.x_end.alias("hi"), "a", "b")
-    found = points.withColumn("block", block).join(cut, [*(c for c in CELL if c != "i"), "block"], "left").where((F.col("lo") <= F.col("i")) & (F.col("i") < F.col("hi")))
-    return points.join(found.select(*CELL, F.col("a").alias("x_start"), F.col("b").alias("x_end")).distinct(), CELL, "left")
+    """The interval of a canonical table that holds each point (level, i, j, k); points outside get nulls. Points keep their
+    columns. Each block of a row is swept once: a point lies in the last interval that starts at or before it, or in none."""
+    cut = split(df.select(*INTERVAL, F.struct("x_start", "x_end").alias("own")))
+    starts = cut.select("level", F.col("x_start").alias("i"), F.col("y").alias("j"), F.col("z").alias("k"), "block", F.lit(0).alias("kind"), F.struct("own", F.col("x_end").alias("hi")).alias("last"))
+    asked = points.select(*CELL).distinct().withColumn("block", F.shiftright("i", BLOCK)).withColumn("kind", F.lit(1)).withColumn("last", F.lit(None).cast(starts.schema["last"].dataType))
+    before = Window.partitionBy("level", "k", "j", "block").orderBy("i", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = starts.unionByName(asked).withColumn("last", F.last("last", ignorenulls=True).over(before))
+    found = swept.where((F.col("kind") == 1) & (F.col("i") < F.col("last.hi"))).select(*CELL, "last.own.*")
+    return points.join(found, CELL, "left")

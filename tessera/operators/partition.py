@@ -10,8 +10,8 @@ from tessera.functions.levels import AXES, CELL
 
 from .mesh import interfaces
 
-#: Keys that share one block of the two-level prefix sums.
-BLOCK_BITS = 10
+#: Bits of the keys that share one block of the prefix sums; blocks are taken together in the same way, level by level.
+BLOCK_BITS = 16
 
 
 def curve_key(dim: int, level: int) -> Column:
@@ -19,16 +19,26 @@ def curve_key(dim: int, level: int) -> Column:
     return morton(*(F.call_function("shiftleft", F.col(a), F.lit(level) - F.col("level")) for a in AXES[:dim]))
 
 
+def _bases(blocks: DataFrame, top: int) -> DataFrame:
+    """For each block (up to number `top`) the weight of all blocks before it."""
+    groups = blocks.withColumn("group", F.shiftright("block", BLOCK_BITS))
+    inside = F.coalesce(F.sum("w").over(Window.partitionBy("group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = groups.select("block", "group", inside.alias("base"))
+    if top >> BLOCK_BITS == 0:
+        return base.drop("group")
+    above = _bases(blocks.groupBy(F.shiftright("block", BLOCK_BITS).alias("block")).agg(F.sum("w").alias("w")), top >> BLOCK_BITS)
+    return base.join(above.select(F.col("block").alias("group"), F.col("base").alias("above")), "group").select("block", (F.col("base") + F.col("above")).alias("base"))
+
+
 def cuts(cells: DataFrame, key: Column, weight: Column, parts: int) -> DataFrame:
     """Cells with `part`: along the key, parts of equal weight; a cell belongs where its middle falls.
 
-    Prefix sums within blocks of keys, and over the blocks' totals: no task sorts all cells.
+    Prefix sums within blocks of keys, and over the totals of blocks, of blocks of blocks and so on: no task sorts all cells
+    or all blocks.
     """
     keyed = cells.select("*", key.alias("key"), weight.alias("weight")).withColumn("block", F.shiftright("key", BLOCK_BITS))
-    total = keyed.agg(F.sum("weight")).first()[0] or 1
-    blocks = keyed.groupBy("block").agg(F.sum("weight").alias("w"))
-    before = F.coalesce(F.sum("w").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = blocks.select("block", before.alias("base"))
+    total, top = keyed.agg(F.coalesce(F.sum("weight"), F.lit(1)), F.coalesce(F.max("block"), F.lit(0))).first()
+    base = _bases(keyed.groupBy("block").agg(F.sum("weight").alias("w")), int(top))
     inside = F.sum("weight").over(Window.partitionBy("block").orderBy("key", "level"))
     middle = F.col("base") + inside - F.col("weight") / 2
     return keyed.join(base, "block").select(*cells.columns, "key", "weight", F.least(F.floor(middle * parts / F.lit(float(total))), F.lit(parts - 1)).cast("int").alias("part"))

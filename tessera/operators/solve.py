@@ -16,12 +16,12 @@ from .mesh import boundary_faces, interfaces
 
 
 def cell_id():
-    """A number for a cell of a level up to 31, with non-negative indices below 2^19."""
-    return F.shiftleft(F.col("level").cast("long"), 58).bitwiseOR(F.shiftleft(F.col("k").cast("long"), 38)).bitwiseOR(F.shiftleft(F.col("j").cast("long"), 19)).bitwiseOR(F.col("i").cast("long"))
+    """What names a cell in a matrix or vector: its level and indices, of any size and sign."""
+    return F.struct(*CELL)
 
 
 def _id_of(side: str):
-    return F.shiftleft(F.col(f"{side}_level").cast("long"), 58).bitwiseOR(F.shiftleft(F.col(f"{side}_k").cast("long"), 38)).bitwiseOR(F.shiftleft(F.col(f"{side}_j").cast("long"), 19)).bitwiseOR(F.col(f"{side}_i").cast("long"))
+    return F.struct(*(F.col(f"{side}_{c}").alias(c) for c in CELL))
 
 
 def diffusion_matrix(leaves: DataFrame, area: DataFrame, dim: int, k: float = 1.0, dirichlet: bool = True, shift: float = 0.0) -> DataFrame:

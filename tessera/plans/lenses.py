@@ -27,16 +27,23 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.lit(LEVEL).alias("level"), F.pmod("l_partkey", F.lit(SIDE)).cast("int").alias("i"), F.pmod("l_suppkey", F.lit(SIDE)).cast("int").alias("j"), F.lit(0).alias("k"), "l_orderkey", "l_returnflag", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
 
 
-_SPARSE = {"a": ("R", 5), "b": ("A", 7), "c": ("N", 11)}
+#: Three sets of cells on a fine level, each from all line items: their whole keys, shifted by other columns.
+FINE = 14
+_SPARSE = {"a": ("l_partkey", "l_suppkey"), "b": ("l_partkey", "l_suppkey + l_linenumber - 1"), "c": ("l_partkey + l_quantity::bigint % 3", "l_suppkey")}
 
 
 def sparse_cells(spark: SparkSession, sf: str, which: str) -> DataFrame:
-    flag, n = _SPARSE[which]
-    return _lines(spark, sf).where((F.col("l_returnflag") == flag) & (F.col("l_orderkey") % n == 0)).select(*CELL).distinct()
+    i, j = (F.expr(x).cast("int") for x in _SPARSE[which])
+    return table(spark, sf, "lineitem").select(F.lit(FINE).alias("level"), i.alias("i"), j.alias("j"), F.lit(0).alias("k")).distinct()
 
 
 def sparse(spark: SparkSession, sf: str, which: str) -> CellSet:
-    return of_table(to_intervals(sparse_cells(spark, sf, which)), LEVEL)
+    return of_table(to_intervals(sparse_cells(spark, sf, which)), FINE)
+
+
+def marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of the grid whose quantity is a multiple of 4."""
+    return grid(spark, sf).where(F.col("u").cast("long") % 4 == 0).select(*CELL)
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,9 +73,10 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 SQL = f"""
 n1 as (select (o_custkey % 16)::int y, date_diff('day', date '1995-01-01', o_orderdate::date)::int xs, (date_diff('day', date '1995-01-01', o_orderdate::date) + 1 + o_orderkey % 7)::int xe from orders),
 lines as (select (l_partkey % {SIDE})::int i, (l_suppkey % {SIDE})::int j, l_orderkey o, l_returnflag f, l_linenumber n, l_quantity::bigint q from lineitem),
-{''.join(f"{w} as (select distinct i, j from lines where f = '{f}' and o % {n} = 0), " for w, (f, n) in _SPARSE.items())}
+{''.join(f"{w} as (select distinct ({i})::int i, ({j})::int j from lineitem), " for w, (i, j) in _SPARSE.items())}
 square as (select x.i::int i, y.j::int j from range({SIDE}) x(i), range({SIDE}) y(j)),
 grid as (select s.i, s.j, coalesce(sum(q), 0)::double u from square s left join lines l on s.i = l.i and s.j = l.j group by all),
+mark as (select i, j from grid where u::bigint % 4 = 0),
 marked as (select *, ((i >> 1) * 5 + (j >> 1) * 3) % 4 = 0 up from grid),
 mesh as (select 6 as level, i, j, u from marked where not up union all select 5, i >> 1, j >> 1, sum(u) / 4 from marked where up group by i >> 1, j >> 1),
 points as (select distinct (c_custkey * 7 % {SIDE})::int i, (c_nationkey * 5 % {SIDE})::int j from customer),

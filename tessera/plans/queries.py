@@ -51,59 +51,59 @@ def _cells(s: sets.CellSet) -> DataFrame:
 # Sets
 
 
-@query("select 6 as level, * from (select i, j from a intersect select i, j from b)")
+@query("select 14 as level, * from (select i, j from a intersect select i, j from b)")
 def set_intersection(spark, sf):
     return _cells(sets.intersection(lenses.sparse(spark, sf, "a"), lenses.sparse(spark, sf, "b")))
 
 
-@query("select 6 as level, * from (select i, j from a union select i, j from b union select i, j from c)")
+@query("select 14 as level, * from (select i, j from a union select i, j from b union select i, j from c)")
 def set_union(spark, sf):
     return _cells(sets.union(*(lenses.sparse(spark, sf, w) for w in "abc")))
 
 
-@query("select 6 as level, * from ((select i, j from a except select i, j from b) except select i, j from c)")
+@query("select 14 as level, * from ((select i, j from a except select i, j from b) except select i, j from c)")
 def set_difference(spark, sf):
     return _cells(sets.difference(*(lenses.sparse(spark, sf, w) for w in "abc")))
 
 
-@query("select distinct 4 as level, i >> 2 as i, j >> 2 as j from c")
+@query("select distinct 12 as level, i >> 2 as i, j >> 2 as j from c")
 def set_coarsen(spark, sf):
-    return _cells(lenses.sparse(spark, sf, "c").on(4))
+    return _cells(lenses.sparse(spark, sf, "c").on(12))
 
 
-@query("select distinct 4 as level, (i - 32) >> 2 as i, (j - 32) >> 2 as j from c")
+@query("select distinct 12 as level, (i - 32) >> 2 as i, (j - 32) >> 2 as j from c")
 def set_coarsen_negative(spark, sf):
-    return _cells(lenses.sparse(spark, sf, "c").translate(-32, -32).on(4))
+    return _cells(lenses.sparse(spark, sf, "c").translate(-32, -32).on(12))
 
 
-@query("select 8 as level, (j * 4 + y.d)::int as j, count(*)::bigint as cells, min(i * 4)::int as first, max(i * 4 + 3)::int as last from (select i, j from c), range(4) x(e), range(4) y(d) group by all")
+@query("select 16 as level, (j * 4 + y.d)::int as j, count(*)::bigint as cells, min(i * 4)::int as first, max(i * 4 + 3)::int as last from (select i, j from c), range(4) x(e), range(4) y(d) group by all")
 def set_refine(spark, sf):
-    return lenses.sparse(spark, sf, "c").on(8).cells().groupBy("level", "j").agg(F.count("*").alias("cells"), F.min("i").alias("first"), F.max("i").alias("last"))
+    return lenses.sparse(spark, sf, "c").on(16).cells().groupBy("level", "j").agg(F.count("*").alias("cells"), F.min("i").alias("first"), F.max("i").alias("last"))
 
 
-@query("select distinct 5 as level, i, j from (select i >> 1 as i, j >> 1 as j from (select i, j from a intersect select i + 3 as i, j - 2 as j from b))")
+@query("select distinct 13 as level, i, j from (select i >> 1 as i, j >> 1 as j from (select i, j from a intersect select i + 3 as i, j - 2 as j from b))")
 def set_translate_on(spark, sf):
-    return _cells(sets.intersection(lenses.sparse(spark, sf, "a"), lenses.sparse(spark, sf, "b").translate(3, -2)).on(5))
+    return _cells(sets.intersection(lenses.sparse(spark, sf, "a"), lenses.sparse(spark, sf, "b").translate(3, -2)).on(13))
 
 
-@query("select distinct 6 as level, (i + x.e)::int as i, (j + y.d)::int as j from c, range(-2, 3) x(e), range(-2, 3) y(d)")
+@query("select distinct 14 as level, (i + x.e)::int as i, (j + y.d)::int as j from c, range(-2, 3) x(e), range(-2, 3) y(d)")
 def set_expand(spark, sf):
     return _cells(lenses.sparse(spark, sf, "c").expand(2))
 
 
-@query("select distinct 6 as level, (i + x.e)::int as i, (j + y.d)::int as j from c, range(-1, 2) x(e), range(-3, 4) y(d)")
+@query("select distinct 14 as level, (i + x.e)::int as i, (j + y.d)::int as j from c, range(-1, 2) x(e), range(-3, 4) y(d)")
 def set_expand_widths(spark, sf):
     return _cells(lenses.sparse(spark, sf, "c").expand((1, 3)))
 
 
-@query("select distinct 6 as level, i, (j + y.d)::int as j from c, range(-2, 3) y(d)")
+@query("select distinct 14 as level, i, (j + y.d)::int as j from c, range(-2, 3) y(d)")
 def set_expand_axis(spark, sf):
     return _cells(lenses.sparse(spark, sf, "c").expand(2, (False, True)))
 
 
-@query("x as (select i, j from a intersect select i + 1, j from a intersect select i - 1, j from a) select 6 as level, * from (select i, j from x intersect select i, j + 1 from x intersect select i, j - 1 from x)")
+@query("x as (select i, j from b intersect select i + 1, j from b intersect select i - 1, j from b) select 14 as level, * from (select i, j from x intersect select i, j + 1 from x intersect select i, j - 1 from x)")
 def set_contract(spark, sf):
-    return _cells(lenses.sparse(spark, sf, "a").contract(1))
+    return _cells(lenses.sparse(spark, sf, "b").contract(1))
 
 
 @query("select 12 as level, y, (x_start + 1)::int as x_start, (x_end - 1)::int as x_end from runs1 where x_end - x_start > 2")
@@ -111,15 +111,15 @@ def set_shrink(spark, sf):
     return sets.of_table(lenses.orders_intervals(spark, sf), 12).shrink(1).table.select("level", "y", "x_start", "x_end")
 
 
-@query("select 6 as level, i, j from a where i between 10 and 39 and j between 2 and 49")
+@query("select 14 as level, i, j from a where i between 10 and 999 and j between 2 and 49")
 def set_box(spark, sf):
-    return _cells(sets.intersection(lenses.sparse(spark, sf, "a"), sets.of_box(spark, 6, (10, 2), (40, 50))))
+    return _cells(sets.intersection(lenses.sparse(spark, sf, "a"), sets.of_box(spark, 14, (10, 2), (1000, 50))))
 
 
-@query("select 7 as level, * from (select distinct (i * 2 + x.e)::int as i, (j * 2 + y.d)::int as j from c, range(2) x(e), range(2) y(d) except select (i * 8 + x.e)::int, (j * 8 + y.d)::int from (select distinct i >> 2 as i, j >> 2 as j from b where i < 20), range(8) x(e), range(8) y(d))")
+@query("select 15 as level, * from (select distinct (i * 2 + x.e)::int as i, (j * 2 + y.d)::int as j from c, range(2) x(e), range(2) y(d) except select (i * 8 + x.e)::int, (j * 8 + y.d)::int from (select distinct i >> 2 as i, j >> 2 as j from b), range(8) x(e), range(8) y(d))")
 def set_levels_differ(spark, sf):
-    low = sets.intersection(lenses.sparse(spark, sf, "b"), sets.of_box(spark, 6, (0, 0), (20, SIDE))).on(4)
-    return _cells(sets.difference(lenses.sparse(spark, sf, "c").on(7), low))
+    low = lenses.sparse(spark, sf, "b").on(12)
+    return _cells(sets.difference(lenses.sparse(spark, sf, "c").on(15), low))
 
 
 # Intervals
@@ -222,9 +222,9 @@ def mesh_ancestors(spark, sf):
     return mesh.ancestors(lenses.mesh(spark, sf)).select("level", *IJ)
 
 
-@query("p as (select distinct 4 as level, i >> 2 as i, j >> 2 as j from c union select 5, i >> 1, j >> 1 from c union select 6, i, j from c union all select 7, (i * 2 + x.e)::int, (j * 2 + y.d)::int from c, range(2) x(e), range(2) y(d)) select level, i, j from p")
+@query("p as (select distinct 12 as level, i >> 2 as i, j >> 2 as j from c union select 13, i >> 1, j >> 1 from c union select 14, i, j from c union all select 15, (i * 2 + x.e)::int, (j * 2 + y.d)::int from c, range(2) x(e), range(2) y(d)) select level, i, j from p")
 def mesh_pyramid(spark, sf):
-    return mesh.pyramid(lenses.sparse_cells(spark, sf, "c"), range(4, 8), 2).select("level", *IJ)
+    return mesh.pyramid(lenses.sparse_cells(spark, sf, "c"), range(12, 16), 2).select("level", *IJ)
 
 
 @query("select distinct level, (i + x.e)::int as i, (j + y.d)::int as j from mesh, range(-1, 2) x(e), range(-1, 2) y(d)")
@@ -265,15 +265,15 @@ def leaves_from_tags_strict(spark, sf):
     return mesh.from_tags_strict(_tags(spark, sf), CONFIG).select("level", *IJ)
 
 
-@query("select distinct 4 as level, s.i, s.j from (select distinct (c.i + x.e) >> 2 as i, (c.j + y.d) >> 2 as j from c, (values (-2), (-1), (0), (1), (2)) x(e), (values (-2), (-1), (0), (1), (2)) y(d)) s where s.i between 0 and 15 and s.j between 0 and 15")
+@query("select distinct 4 as level, s.i, s.j from (select distinct (c.i + x.e) >> 2 as i, (c.j + y.d) >> 2 as j from mark c, (values (-2), (-1), (0), (1), (2)) x(e), (values (-2), (-1), (0), (1), (2)) y(d)) s where s.i between 0 and 15 and s.j between 0 and 15")
 def too_coarse_leaves(spark, sf):
-    leaves = lenses.sparse_cells(spark, sf, "c").unionByName(mesh.cells_of_boxes(spark, 4, [((0, 0), (16, 16))]))
+    leaves = lenses.marked(spark, sf).unionByName(mesh.cells_of_boxes(spark, 4, [((0, 0), (16, 16))]))
     return mesh.too_coarse(leaves, 2, 1).select("level", *IJ)
 
 
 @query()
 def graduated_mesh(spark, sf):
-    fine = lenses.sparse_cells(spark, sf, "c").where("i < 8 and j < 8")
+    fine = lenses.marked(spark, sf)
     coarse = mesh.cells_of_boxes(spark, 3, [((0, 0), (8, 8))]).join(mesh.ancestors(fine, 3), CELL, "left_anti")
     rest = mesh.refine(mesh.ancestors(fine, 3), 1, 2)
     leaves = coarse.unionByName(rest.join(mesh.ancestors(fine, 3), CELL, "left_anti").where("level <= 6")).unionByName(fine)
@@ -294,15 +294,15 @@ def field_quadrature(spark, sf):
     return fields.make_field(lenses.mesh(spark, sf), F.round(q, 9)).select("level", *IJ, "u")
 
 
-@query("select g.i, g.j, case when c.i is null then g.u else -g.u end as u from grid g left join c on c.i = g.i and c.j = g.j")
+@query("select g.i, g.j, case when c.i is null then g.u else -g.u end as u from grid g left join mark c on c.i = g.i and c.j = g.j")
 def field_copy(spark, sf):
     g = lenses.grid(spark, sf)
-    return fields.copy(g, g.withColumn("u", -F.col("u")), lenses.sparse_cells(spark, sf, "c"), ["u"]).select(*IJ, "u")
+    return fields.copy(g, g.withColumn("u", -F.col("u")), lenses.marked(spark, sf), ["u"]).select(*IJ, "u")
 
 
-@query("select g.i, g.j, g.u from grid g join c on c.i = g.i and c.j = g.j")
+@query("select g.i, g.j, g.u from grid g join mark c on c.i = g.i and c.j = g.j")
 def field_extract(spark, sf):
-    return fields.extract(lenses.grid(spark, sf), lenses.sparse_cells(spark, sf, "c")).select(*IJ, "u")
+    return fields.extract(lenses.grid(spark, sf), lenses.marked(spark, sf)).select(*IJ, "u")
 
 
 @query("select round(sqrt(sum(pow(u - 3, 2) * pow(0.25, level))), 6) as error from mesh")
@@ -622,7 +622,7 @@ def ghost_kinds(spark, sf):
     return mesh.ghost_kinds(mesh.with_ghosts(m, 2, 1), m, _area(spark), CONFIG).select("level", *IJ, "kind")
 
 
-@query("select level, i, j, row_number() over (partition by level, j order by i) - 1 as number from mesh".replace("row_number() over (partition by level, j order by i) - 1", "(row_number() over (partition by level, j order by i) - 1)::int"))
+@query("select level, i, j, row_number() over (partition by level order by j, i) - 1 as number from mesh")
 def cell_numbers(spark, sf):
     return tables.numbered(lenses.mesh(spark, sf)).select("level", *IJ, "number")
 

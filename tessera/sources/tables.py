@@ -14,7 +14,7 @@ from tessera.functions.stencils import children
 
 def dump(field: DataFrame, path: str, dim: int, names: list[str], **attributes) -> None:
     """Cells and values by level, and attributes (dim, fields and what is given, such as the time) beside them."""
-    field.select(*CELL, *names).repartition("level").sortWithinPartitions("level", "k", "j", "i").write.mode("overwrite").partitionBy("level").parquet(f"{path}/cells")
+    field.select(*CELL, *names).repartitionByRange("level", "k", "j", "i").sortWithinPartitions("level", "k", "j", "i").write.mode("overwrite").partitionBy("level").parquet(f"{path}/cells")
     text = json.dumps({"dim": dim, "fields": names, **attributes}, sort_keys=True)
     field.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/attributes")
 
@@ -35,13 +35,12 @@ def load(spark: SparkSession, path: str, dim: int, names: list[str]) -> DataFram
 def elements(leaves: DataFrame, dim: int, level: int) -> tuple[DataFrame, DataFrame]:
     """Corner points (point, x, y, z) and, for each cell, the points of its corners in order.
 
-    Corners are compared as integers on the finest level. A point's number follows from its coordinates, without a global sort.
+    Corners are compared as integers on the finest level; a point is named by them, so no two places share a name.
     """
     scale = F.lit(level) - F.col("level")
     corner = lambda o: F.struct(*(F.call_function("shiftleft", F.col(a) + o[n], scale).alias(f"c{a}") if n < dim else F.lit(0).alias(f"c{a}") for n, a in enumerate(AXES)))
     each = leaves.select(*CELL, F.posexplode(F.array(*(corner(o) for o in children(dim)))).alias("corner", "c")).select(*CELL, "corner", "c.*")
-    number = F.shiftleft(F.col("ck").cast("long"), 42).bitwiseOR(F.shiftleft(F.col("cj").cast("long"), 21)).bitwiseOR(F.col("ci").cast("long"))
-    each = each.withColumn("point", number)
+    each = each.withColumn("point", F.struct("ci", "cj", "ck"))
     points = each.select("point", *((F.col(f"c{a}") * length(F.lit(level))).alias(x) for a, x in zip(AXES, "xyz"))).distinct()
     return points, each.groupBy(*CELL).agg(F.transform(F.array_sort(F.collect_list(F.struct("corner", "point"))), lambda x: x["point"]).alias("points"))
 
@@ -61,5 +60,12 @@ def compare(a: DataFrame, b: DataFrame, names: list[str], tolerance: float = 1e-
 
 
 def numbered(leaves: DataFrame) -> DataFrame:
-    """Cells with a storage number, 0 upwards within each level, in canonical order of rows."""
-    return leaves.withColumn("number", F.row_number().over(Window.partitionBy("level", "k", "j").orderBy("i")) - 1)
+    """Cells with a storage number, 0 upwards within each level, in canonical order (k, j, i).
+
+    Cells are dealt by ranges of that order and numbered within a range; only the ranges' counts are summed in one place.
+    """
+    ranged = leaves.repartitionByRange("level", "k", "j", "i").withColumn("range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("level").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("level", "range").agg(F.count("*").alias("n")).select("level", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("level", "range").orderBy("k", "j", "i")) - 1
+    return ranged.withColumn("inside", inside).join(base, ["level", "range"]).select(*leaves.columns, (F.col("base") + F.col("inside")).alias("number"))

@@ -101,3 +101,24 @@ def test_balance(ready):
     dealt = partition.cuts(cells, partition.curve_key(2, 4), F.lit(1.0), 7)
     assert partition.imbalance(dealt, 7) < 0.05 and not partition.needs_balance(dealt, 7)
     assert partition.part_graph(dealt, 2).count() >= 6
+
+
+def test_one_long_row_of_many_intervals(ready):
+    df = ready.range(100_000).select(F.lit(20).alias("level"), F.lit(0).alias("z"), F.lit(0).alias("y"), (F.col("id") * 3).cast("int").alias("x_start"), (F.col("id") * 3 + 2).cast("int").alias("x_end"))
+    points = ready.createDataFrame([(20, i, 0, 0) for i in (0, 1, 2, 150_000, 299_998, 299_999, 400_000)], "level int, i int, j int, k int")
+    found = {r.i: (r.x_start, r.x_end) for r in intervals.interval_of(df, points).collect()}
+    assert found == {0: (0, 2), 1: (0, 2), 2: (None, None), 150_000: (150_000, 150_002), 299_998: (299_997, 299_999), 299_999: (None, None), 400_000: (None, None)}
+
+
+def test_names_of_fine_and_negative_cells_differ(ready):
+    cells = ready.createDataFrame([(20, 524288, 0, 0), (20, 0, 1, 0), (20, -1, 0, 0), (20, -1, -1, 0)], "level int, i int, j int, k int")
+    assert cells.select(solve.cell_id().alias("id")).distinct().count() == 4
+    fine = ready.createDataFrame([(22, 2097152, 0, 0), (22, 0, 1, 0), (22, -1, 5, 0)], "level int, i int, j int, k int")
+    points, corners = tables.elements(fine, 2, 22)
+    assert points.count() == points.select("x", "y").distinct().count() == points.select("point").distinct().count() == 12
+    assert corners.count() == 3
+
+
+def test_numbers_run_through_a_level(ready):
+    cells = ready.createDataFrame([(1, 0, 0, 0), (1, 1, 0, 0), (1, 0, 1, 0), (2, 5, 5, 1), (2, 6, 5, 0)], "level int, i int, j int, k int")
+    assert sorted((r.level, r.k, r.j, r.i, r.number) for r in tables.numbered(cells).collect()) == [(1, 0, 0, 0, 0), (1, 0, 0, 1, 1), (1, 0, 1, 0, 2), (2, 0, 5, 6, 0), (2, 1, 5, 5, 1)]
