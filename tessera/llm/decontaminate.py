@@ -200,11 +200,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """docs without rows in which a benchmark window occurs; all columns stay as they are.
 
-    Equal rows fare alike; rows that share a doc_id are told apart by their text.
+    Equal rows fare alike; rows that share a doc_id are told apart by their text. A row goes only if its text is that of a
+    row in which a window occurs, whatever hashes say.
     """
-    marked = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("key"))
-    found = contamination(docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("doc_id"), "text"), benchmark, width)
-    return marked.join(found.where(F.size("hit") > 0).select("doc_id").distinct(), F.col("key") == F.col("doc_id"), "left_anti").select("row.*")
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    marked = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col("text").cast("string").alias("body"))
+    found = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, width).where(F.size("hit") > 0).select(F.col("doc_id").alias("key")).distinct()
+    bad = docs.select(key.alias("key"), F.col("text").cast("string").alias("found")).join(found, "key", "left_semi").distinct()
+    return marked.join(bad, (marked.key == bad.key) & (marked.body == bad.found), "left_anti").select("row.*")
 
 
 def near(docs: DataFrame, terms: list[str], within: int) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: A chunk ends after a line at which the rolling hash of the last WINDOW line hashes is 0 modulo MEAN.
-MEAN, WINDOW, BASE, PRIME = 4, 3, 31, 1_000_003
+#: A chunk ends after a line at which the rolling hash of the last WINDOW line hashes is 0 modulo MEAN, but not right after
+#: another end (of such lines in a row every second one counts), so chunks have two lines at least.
+MEAN, WINDOW, BASE, PRIME = 2, 2, 31, 1_000_003
 #: Lines with a word that a chunk needs before it counts as multi-line.
 LEAST = 2
 
@@ -28,13 +29,17 @@ def chunks_of(docs: DataFrame, *keep: str) -> DataFrame:
     hashed = with_lines.select(*keep, "lines", _own(F.transform("lines", _hash), "hashes"))
     at = lambda i: F.when(i >= 1, F.element_at("hashes", F.greatest(i, F.lit(1)).cast("int"))).otherwise(0)
 
-    def ends(i: Column) -> Column:
+    def may_end(i: Column) -> Column:
         rolling = F.lit(0).cast("long")
         for back in range(WINDOW - 1, -1, -1):
             rolling = (rolling * BASE + at(i - back)) % PRIME
-        return (i == F.size("lines")) | (rolling % MEAN == 0)
+        return F.when(rolling % MEAN == 0, "1").otherwise("0")
 
-    cut = hashed.select(*keep, "lines", _own(F.filter(F.sequence(F.lit(1), F.size("lines")), ends), "ends"))
+    n = F.size("lines")
+    flags = F.concat(F.lit("1"), F.array_join(F.transform(F.sequence(F.lit(1), n), may_end), ""))  # the first is the text's begin
+    kept = hashed.select(*keep, "lines", _own(F.split(F.regexp_replace(flags, "11", "10"), ""), "flags"))
+    ends = lambda i: (i == n) | ((i < n - 1) & (F.element_at("flags", i + 1) == "1"))
+    cut = kept.select(*keep, "lines", _own(F.filter(F.sequence(F.lit(1), n), ends), "ends"))
     previous = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))))
     spans = F.transform("ends", lambda end, k: F.struct((previous(k) + 1).alias("start"), (end - previous(k)).alias("n")))
     return cut.select(*keep, "lines", _own(spans, "chunks"))
@@ -87,8 +92,10 @@ _SQL = f"""
 with docs as (select distinct doc_id, text, md5(coalesce(text, '')) h from documents),
 lines as (select doc_id, h, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from docs),
 hashed as (select *, ('0x' || substr(md5(line), 1, 7))::bigint x, count(*) over (partition by doc_id, h) n from lines),
-rolled as (select *, ((coalesce(lag(x, 2) over w, 0) % {PRIME} * {BASE} + coalesce(lag(x) over w, 0)) % {PRIME} * {BASE} + x) % {PRIME} r from hashed window w as (partition by doc_id, h order by i)),
-numbered as (select *, coalesce(sum(case when r % {MEAN} = 0 then 1 else 0 end) over (partition by doc_id, h order by i rows between unbounded preceding and 1 preceding), 0) k from rolled),
+rolled as (select *, (coalesce(lag(x) over (partition by doc_id, h order by i), 0) * {BASE} + x) % {PRIME} r from hashed),
+flagged as (select doc_id, h, regexp_replace('1' || string_agg(case when r % {MEAN} = 0 then '1' else '0' end, '' order by i), '11', '10', 'g') flags from rolled group by all),
+ended as (select r.*, i < n - 1 and flags[i + 1] = '1' ends from rolled r join flagged f on r.doc_id is not distinct from f.doc_id and r.h = f.h),
+numbered as (select *, coalesce(sum(case when ends then 1 else 0 end) over (partition by doc_id, h order by i rows between unbounded preceding and 1 preceding), 0) k from ended),
 chunks as (select doc_id, h, k, string_agg(line, chr(10) order by i) body, count(*) filter (trim(line, ' ') <> '') lines_with from numbered group by all),
 ranked as (select *, dense_rank() over (partition by body order by doc_id is null, doc_id, h, k) place from chunks),
 kept as (select doc_id, h, string_agg(body, chr(10) order by k) body from ranked where not (lines_with >= {LEAST} and place > 1) group by all)

@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, windows: int = 64, e
     while True:
         parts = -(-parts // FAN_IN)
         final = parts == 1
-        dealt = left.repartition(1) if final else left.withColumn("task", F.floor(group / FAN_IN)).repartition(parts, "task")
+        dealt = left.repartition(1) if final else left.withColumn("task", F.floor(group / FAN_IN)).repartitionByRange(parts, "task")
         merged = dealt.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").mapInArrow(_merge(level, size, windows, final), PLACED)
         if final:
             return done.unionByName(merged).drop("open")

@@ -66,9 +66,12 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def linked_pairs(group: np.ndarray, f: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(group: np.ndarray, f: np.ndarray, distance: int, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places (i < j) of one group at most `distance` bits apart; rows are in order of group and Gray rank.
 
+    whole: not every pair, but pairs enough to connect the same sets: where all rows of a node are surely near, one of them
+    stands for all.
+
     Neighbours in Gray order share bits. A node stands for up to FAN rows or nodes side by side; its mask has the bits in
     which all agree. A descent adds, at each node, the query's differences in the bits that the node shares and its parent
     does not, and drops the whole node once the sum is over `distance`.
@@ -89,6 +92,13 @@ def linked_pairs(group: np.ndarray, f: np.ndarray, distance: int) -> Iterator[tu
         lo.append(lo[-1][first])
         hi.append(hi[-1][kids[-1][1:] - 1])
         owner = owner[first]
+    free = [64 - popcount(m) for m in mask]  # bits that a node leaves open
+    if whole:
+        for level in range(1, len(value)):
+            tight = np.flatnonzero(free[level] <= distance)
+            n = hi[level][tight] - lo[level][tight]
+            rows = np.repeat(lo[level][tight] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield np.repeat(lo[level][tight], n), rows
     top = len(value) - 1
     root_of = np.repeat(np.arange(len(owner)), hi[top] - lo[top]) if len(f) else np.zeros(0, np.int64)
     todo = [(top, np.arange(a, min(a + ROWS, len(f))), root_of[a : a + ROWS], None) for a in range(0, len(f), ROWS)]
@@ -103,6 +113,12 @@ def linked_pairs(group: np.ndarray, f: np.ndarray, distance: int) -> Iterator[tu
         if level == 0:
             yield query, node
             continue
+        if whole:
+            sure = spent + free[level][node] <= distance
+            yield query[sure], lo[level][node[sure]]
+            query, node, spent = query[~sure], node[~sure], spent[~sure]
+            if not len(query):
+                continue
         n = kids[level - 1][node + 1] - kids[level - 1][node]
         if n.sum() > 4 * ROWS and len(query) > 1:
             half = len(query) // 2
@@ -115,20 +131,17 @@ def linked_pairs(group: np.ndarray, f: np.ndarray, distance: int) -> Iterator[tu
         todo.append((level - 1, query, child, np.repeat(spent, n) + more))
 
 
-class Forest:
-    """Union-find over places; the root of a set is its smallest place."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
+def connect(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots of sets (the smallest place of each) after the sets of a[i] and b[i] have become one."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def _links(distance: int):
@@ -141,11 +154,9 @@ def _links(distance: int):
             f = fp.view(np.uint64)
             order = np.lexsort((gray_rank(f), key))
             key, f, fp = key[order], f[order], fp[order]
-            forest = Forest(len(f))
-            for a, b in linked_pairs(key, f, distance):
-                for i, j in zip(a.tolist(), b.tolist()):
-                    forest.join(i, j)
-            root = np.array([forest.find(i) for i in range(len(f))], np.int64)
+            root = np.arange(len(f))
+            for a, b in linked_pairs(key, f, distance, whole=True):
+                root = connect(root, a, b)
             own = np.flatnonzero(root != np.arange(len(f)))
             return pa.RecordBatch.from_pydict({"a": fp[own], "b": fp[root[own]]})
 
@@ -165,9 +176,12 @@ def _links(distance: int):
 def _keys(n: int, distance: int) -> list[list[tuple[int, int]]]:
     """Block choices such that fingerprints within `distance` bits agree on all blocks of at least one choice.
 
-    With distance + m blocks at least m agree; m grows with the number of fingerprints, so groups stay small.
+    With distance + m blocks at least m agree; m grows with the number of fingerprints, so groups stay small: the agreeing
+    blocks have about as many bits as n, less 15.
     """
-    m = 1 if n < 1 << 25 else 2 if n < 1 << 33 else 3
+    m = 1
+    while 64 * m // (distance + m) < min(n.bit_length() - 15, 30):
+        m += 1
     b = distance + m
     edges = [64 * i // b for i in range(b + 1)]
     return [list(c) for c in combinations(list(zip(edges, edges[1:])), m)]
@@ -226,14 +240,50 @@ def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFra
     return prints.join(classes(prints, distance), "f").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id; of equal ids that of the smallest text hash, one of equal rows.
+def shingles(text, width: int):
+    """Distinct XXH64 of the word shingles of a text column, as an array; a text of fewer words has itself as one, no words none."""
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            words = (t or "").encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
+            n = max(1, len(words) - width + 1) if words else 0
+            out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(n)), np.uint64, n)).view(np.int64))
+        return pd.Series(out)
+
+    return run(text)
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 8, alike: float = 0.8) -> DataFrame:
+    """docs without near copies: rows whose distinct word shingles have a Jaccard similarity of `alike` or more.
 
-    Null ids come last: such a row stays only if its group has no id. All columns stay as they are.
+    Of equal texts (null and empty ones are equal) the row of the smallest doc_id stays (of equal ids that of the smallest
+    text hash, one of equal rows, null ids last). Groups are those that fingerprints within `distance` bits connect. Of a
+    group the first row, in the same order, stays and every row whose shingles are as much like its goes. What is left of
+    the group is treated in the same way again, until nothing is left; so a row goes only for one that stays and is like
+    it. All columns stay as they are.
     """
     row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("body"))
-    marked = materialize(row.select("row", F.struct(F.col("doc").isNull().alias("n"), "doc", F.xxhash64("body").alias("h"), F.monotonically_increasing_id().alias("k")).alias("id"), fingerprint("body", shingle).alias("f")), "fingerprints")
-    kept = classes(marked.select("id", "f"), distance).select(F.col("component_id.k").alias("k")).distinct()
+    ident = F.struct(F.col("doc").isNull().alias("n"), "doc", F.xxhash64("body").alias("h"), F.monotonically_increasing_id().alias("k")).alias("id")
+    marked = materialize(row.select("row", ident, F.md5(F.coalesce("body", F.lit(""))).alias("same"), fingerprint("body", shingle).alias("f")), "fingerprints")
+    first = materialize(marked.groupBy("same", "f").agg(F.min("id").alias("id")), "texts")
+    group = materialize(classes(first.select("id", "f"), distance).select("f", "component_id"), "groups")
+    some = first.select("id", "f").join(group, "f")
+    several = some.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    some = some.join(several, "component_id").select("component_id", "id", F.col("id.k").alias("k"))
+    left = materialize(marked.select(F.col("id.k").alias("k"), shingles(F.col("row.text").cast("string"), shingle).alias("s")).join(some, "k").select("component_id", "id", "s"), "compared")
+    kept, gone = first.select(F.col("id.k").alias("k")), None
+    while not left.isEmpty():
+        lead = left.groupBy("component_id").agg(F.min(F.struct("id", "s")).alias("lead")).select("component_id", "lead.*").withColumnsRenamed({"id": "lead", "s": "of"})
+        both = left.join(lead, "component_id").where("id <> lead")
+        same = F.size(F.array_intersect("s", "of"))
+        union = F.size("s") + F.size("of") - same
+        judged = materialize(both.select("component_id", "id", "s", (same >= F.lit(alike) * union).alias("goes")), "judged")
+        out = judged.where("goes").select(F.col("id.k").alias("k"))
+        gone = out if gone is None else gone.unionByName(out)
+        left = judged.where(~F.col("goes")).select("component_id", "id", "s")
+    kept = kept if gone is None else kept.join(gone, "k", "left_anti")
     return marked.join(kept, F.col("id.k") == F.col("k"), "left_semi").select("row.*")
 
 

@@ -233,6 +233,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; a null doc_id is not held out."""
     docs = read(spark, sf_dir, "documents")
     out = score(docs, train(docs, read(spark, sf_dir, "labels")))
-    return out.select("doc_id", (F.pmod(crc32_of_id(), F.lit(3)) == 1).alias("held_out"), "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(F.pmod(crc32_of_id(), F.lit(3)) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"))

@@ -8,18 +8,30 @@ from tessera.llm.common import read
 
 
 def chunks(text):
-    lines, out, part, last = text.split("\n"), [], [], [0, 0]
-    for line in lines:
+    lines, out, part, last = text.split("\n"), [], [], 0
+    for i, line in enumerate(lines):
         x = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
         part.append(line)
-        r = ((last[0] * 31 + last[1]) % 1_000_003 * 31 + x) % 1_000_003
-        last = [last[1], x]
-        if r % 4 == 0:
+        r = (last * 31 + x) % 1_000_003
+        last = x
+        if r % 2 == 0 and len(part) >= 2:
             out.append(part)
             part = []
+    if part and len(part) < 2 and out:
+        part = out.pop() + part
     return out + [part] if part else out
 
 
+def test_short_passages_are_found(spark):
+    words = [f"line {i} of text {i * 7 % 13}" for i in range(400)]
+    rows = [(i, "\n".join([f"own {i} a", f"own {i} b", *words[10 * i : 10 * i + 8], f"own {i} c"])) for i in range(40)]
+    rows += [(100 + i, "\n".join([f"other {i} a", *words[10 * i : 10 * i + 8], f"other {i} b", f"other {i} c"])) for i in range(40)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = sum("line " in x for i in range(40) for x in out[100 + i].split("\n"))
+    assert left < 0.75 * 40 * 8
+    assert all("other" in out[100 + i] for i in range(40)) and all(out[i] == t for i, t in rows[:40])
+
+
 def brute(rows):
     rows = [(d, t) for d, t in rows]
     order = sorted({(d is None, d or 0, hashlib.md5((t or "").encode()).hexdigest(), t) for d, t in rows}, key=lambda x: x[:3])

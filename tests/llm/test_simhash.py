@@ -15,9 +15,23 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+class Forest:
+    def __init__(self, n):
+        self.up = list(range(n))
+
+    def find(self, i):
+        while self.up[i] != i:
+            i = self.up[i]
+        return i
+
+    def join(self, i, j):
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+
+
 def brute_groups(rows, distance=4):
     f = np.array([x for _, x in rows], np.uint64)
-    forest = simhash.Forest(len(f))
+    forest = Forest(len(f))
     for i in range(len(f)):
         for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= distance).tolist():
             forest.join(i, j)
@@ -42,8 +56,63 @@ def test_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, brute_print(r.text)) for r in read(spark, sf, "documents").collect()]
     assert sorted(map(tuple, simhash.op10_simhash(spark, sf).collect()), key=str) == brute_groups(rows)
-    kept = [r.doc_id for r in simhash.drop_near_copies(read(spark, sf, "documents")).collect()]
-    assert sorted(kept) == sorted({c for _, _, c in brute_groups(rows)})
+
+
+def brute_kept(docs):
+    """Ids (all different) that stay: leaders of their groups, and what is unlike all leaders before."""
+    first = {}
+    for d, t in sorted(docs):
+        first.setdefault(t or "", d)
+    docs = sorted((d, t) for t, d in first.items())
+    f = simhash.fingerprint_of([t for _, t in docs], 5)
+    group = np.arange(len(f))
+    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 8
+    while True:
+        new = np.array([group[near[i]].min() for i in range(len(f))])
+        if (new == group).all():
+            break
+        group = new
+
+    def shingles(t):
+        w = t.encode().lower().split() if t.isascii() else t.encode().translate(simhash.LOWER_AZ).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    leaders = {}
+    for (d, t), g in zip(docs, group.tolist()):
+        s = shingles(t)
+        if all(5 * len(s & x) < 4 * len(s | x) for x, _ in leaders.get(g, [])):
+            leaders.setdefault(g, []).append((s, d))
+    return sorted(d for x in leaders.values() for _, d in x)
+
+
+def test_near_copies(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    kept = sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect())
+    assert kept == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+    assert len(kept) < docs.count()
+
+
+def test_near_copies_of_odd_rows(spark, odd_docs):
+    out = simhash.drop_near_copies(odd_docs.selectExpr("*", "1 as k", "2 as f", "3 as id"))
+    assert out.columns == [*odd_docs.columns, "k", "f", "id"]
+    rows = out.collect()
+    assert len({r.text or "" for r in rows}) == len(rows) and {(r.k, r.f, r.id) for r in rows} == {(1, 2, 3)}
+
+
+def test_few_pairs_connect_dense_sets():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 5, dtype=np.uint64)
+    f = np.unique(np.concatenate([b ^ np.array([sum(1 << int(x) for x in rng.choice(5, 3, replace=False) * 7) for _ in range(300)], np.uint64) for b in base]))
+    f = np.unique(np.r_[f, rng.integers(0, 1 << 62, 300, dtype=np.uint64)])
+    f = f[np.argsort(simhash.gray_rank(f))]
+    group, roots = np.zeros(len(f), np.int64), []
+    for whole in (False, True):
+        root = np.arange(len(f))
+        for a, b in simhash.linked_pairs(group, f, 4, whole):
+            assert (np.bitwise_count(f[a] ^ f[b]) <= 4).all()
+            root = simhash.connect(root, a, b)
+        roots.append(root)
+    assert (roots[0] == roots[1]).all()
 
 
 @pytest.mark.parametrize("m", [1, 2, 3])

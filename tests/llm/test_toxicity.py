@@ -15,7 +15,7 @@ def rows_of(spark, path):
 
 
 def test_held_out_accuracy(spark):
-    path = "/root/testdata/check_s"
+    path = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in toxicity.op3_toxicity(spark, path).collect()}
     labels = [(r.doc_id, r.toxic) for r in read(spark, path, "labels").collect() if r.doc_id in got]
     assert all(got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, _ in labels)
