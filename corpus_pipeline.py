@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One document of each group of near copies: SimHash groups, compared by five-word shingles (Jaccard 0.8 or more)."""
     return drop_near_copies(docs)
 
 
