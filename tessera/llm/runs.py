@@ -21,8 +21,23 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: Bytes that are hashed at once, at most (or one run).
+PART = 1 << 20
+
+
 def hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:stop] for each run; it depends on the run's bytes alone."""
+    """A 64-bit hash of data[start:stop] for each run, in ascending order; it depends on the run's bytes alone."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        first = int(start[i])
+        j = max(i + 1, int(np.searchsorted(stop, first + PART, side="right")))
+        out[i:j] = _hashes(data[first : int(stop[j - 1])], start[i:j] - first, stop[i:j] - first)
+        i = j
+    return out
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     power, inverse = _powers(max(20, int(len(data)).bit_length()))
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
