@@ -22,9 +22,19 @@ def rusanov(velocity_left: Column, velocity_right: Column, left: Column, right:
     return (velocity_left * left + velocity_right * right) / 2 - speed * (right - left) / 2
 
 
-def smooth_rusanov(velocity: Column, left: Column, right: Column, eps: float = 1e-3) -> Column:
+def smooth_rusanov(velocity: Column, left: Column, right: Column, eps: float = 1e-6) -> Column:
     """Rusanov's flux with a speed that is smooth at 0."""
-    return velocity * (left + right) / 2 - F.sqrt(velocity * velocity + F.lit(eps)) * (right - left) / 2
+    return velocity * (left + right) / 2 - smooth_abs(velocity, eps) * (right - left) / 2
+
+
+def smooth_abs(x: Column, eps: float = 1e-6) -> Column:
+    return F.sqrt(x * x + F.lit(eps * eps))
+
+
+def godunov_burgers(speed: float, left: Column, right: Column) -> Column:
+    """Half a square: of the smaller value where speed * u rises over the face (0 if the signs differ), of the greater one elsewhere."""
+    low, high = F.least(F.abs(left), F.abs(right)), F.greatest(F.abs(left), F.abs(right))
+    return F.when(F.lit(speed) * left >= F.lit(speed) * right, high * high / 2).when(left * right > 0, low * low / 2).otherwise(F.lit(0.0))
 
 
 def weno5(f0: Column, f1: Column, f2: Column, f3: Column, f4: Column) -> Column:

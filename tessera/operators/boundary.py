@@ -77,18 +77,40 @@ def extrapolate(field: DataFrame, edge: DataFrame, direction: Offset, cells: int
     return out
 
 
+def _on_level(x: int, level: int) -> Column:
+    """An index of one level on the level of each row, coarser or finer."""
+    return F.floor(F.lit(x) * F.pow(F.lit(2.0), F.col("level") - level)).cast("int")
+
+
 def periodic(field: DataFrame, extent: dict[str, tuple[int, int]], level: int, width: int, *names: str) -> DataFrame:
     """Ghosts beyond both ends of each axis in `extent` (low, high on `level`): copies from the opposite side."""
     whole = field.select(*CELL, *names)
     for axis, (low, high) in extent.items():
-        shift = lambda x: F.call_function("shiftleft", F.lit(x), F.col("level") - level)
-        n = shift(high) - shift(low)
-        after = whole.where(F.col(axis) < shift(low) + width).withColumn(axis, F.col(axis) + n)
-        before = whole.where(F.col(axis) >= shift(high) - width).withColumn(axis, F.col(axis) - n)
+        first, end = _on_level(low, level), _on_level(high, level)
+        after = whole.where(F.col(axis) < first + width).withColumn(axis, F.col(axis) + end - first)
+        before = whole.where(F.col(axis) >= end - width).withColumn(axis, F.col(axis) + first - end)
         whole = whole.unionByName(after).unionByName(before)
     return whole.join(field.select(*CELL), CELL, "left_anti")
 
 
+def periodic_tags(tags: DataFrame, extent: dict[str, tuple[int, int]], level: int) -> DataFrame:
+    """Tags of cells, ghosts among them: cells that are images of one another on periodic axes get each other's flags.
+
+    extent: low and high of each periodic axis on `level`. One aggregation by the image inside.
+    """
+    inside = []
+    for a in AXES:
+        if a not in extent:
+            inside.append(F.col(a))
+            continue
+        low, high = (_on_level(x, level) for x in extent[a])
+        inside.append(F.pmod(F.col(a) - low, high - low) + low)
+    named = tags.select(*CELL, "tag", *(x.alias(f"in_{a}") for x, a in zip(inside, AXES)))
+    key = ["level", *(f"in_{a}" for a in AXES)]
+    flags = named.groupBy(*key).agg(F.bit_or("tag").alias("flags"))
+    return named.join(flags, key).select(*CELL, F.col("flags").alias("tag"))
+
+
 def bounce_back(field: DataFrame, area: DataFrame, direction: Offset, opposite: dict[str, str], sign: int = 1) -> DataFrame:
     """Wall ghosts: each distribution takes its opposite's value in the border cell (sign -1: anti bounce back)."""
     edge = field.join(boundary(field.select(*CELL), area, direction), CELL, "left_semi")

@@ -61,10 +61,32 @@ def burgers_upwind(leaves: DataFrame, field: DataFrame, dim: int, name: str = "u
     return flux_scheme(leaves, field, dim, lambda d, l, r, h: fluxes.upwind_burgers(l[name], r[name]), name, **border)
 
 
-def convection_rusanov(leaves: DataFrame, field: DataFrame, velocity: list[str], name: str = "u", eps: float = 1e-3, **border) -> DataFrame:
+def convection_rusanov(leaves: DataFrame, field: DataFrame, velocity: list[str], name: str = "u", eps: float = 1e-6, **border) -> DataFrame:
     return flux_scheme(leaves, field, len(velocity), lambda d, l, r, h: fluxes.smooth_rusanov((l[velocity[d]] + r[velocity[d]]) / 2, l[name], r[name], eps), name, *velocity, **border)
 
 
+def convection_nonlinear(leaves: DataFrame, field: DataFrame, dim: int, *names: str, kind: str = "upwind", **border) -> DataFrame:
+    """Divergence of u times u: r for one name (a scalar, flux u * u on every axis), r_<name> for the components of a vector.
+
+    kind: "upwind" (the side is chosen by the mean of the axis's component) or "rusanov" (smooth speed of that mean).
+    """
+
+    def flux(name):
+        def through(d, l, r, h):
+            a, b = l[names[d if len(names) > 1 else 0]], r[names[d if len(names) > 1 else 0]]
+            mean = (a + b) / 2
+            if kind == "upwind":
+                return F.when(mean >= 0, a * l[name]).otherwise(b * r[name])
+            return (a * l[name] + b * r[name] - fluxes.smooth_abs(mean) * (r[name] - l[name])) / 2
+
+        return through
+
+    parts = [flux_scheme(leaves, field, dim, flux(n), *names, **({**border, "border": flux(n)} if border else {})) for n in names]
+    if len(names) == 1:
+        return parts[0]
+    return reduce(lambda a, b: a.join(b, CELL), [p.withColumnRenamed("r", f"r_{n}") for p, n in zip(parts, names)])
+
+
 def diffusion(leaves: DataFrame, field: DataFrame, dim: int, k: float | list[float] | str = 1.0, name: str = "u", **border) -> DataFrame:
     """-div(k grad u) of second order; k: a number, one for each axis, or a column (harmonic means on faces)."""
     own = [k] if isinstance(k, str) else []
@@ -109,6 +131,54 @@ def convection_weno5(field: DataFrame, velocity: list[float], name: str = "u") -
     return total.select(*CELL, reduce(lambda a, b: a + b, [F.col(f"r{d}") for d in range(len(velocity))]).alias("r"))
 
 
+def _weno_divergence(field: DataFrame, dim: int, speed: list[str], values: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """Differences of fifth-order fluxes; a face's side is chosen by the mean of the axis's speed in both cells.
+
+    values(u, mean): the flux of one cell of the stencil. On the cells of one uniform level with three neighbours each way.
+    """
+    parts = []
+    for d in range(dim):
+        around = stencil_values(field, field, line(3, d, *range(-3, 4)), name)
+        if speed[d] == name:
+            v = [F.col(f"u_{n}") for n in (2, 3, 4)]
+        else:
+            fast = stencil_values(field, field, line(3, d, -1, 0, 1), speed[d])
+            around = around.join(fast.select(*CELL, *(F.col(f"u_{n}").alias(f"v_{n}") for n in range(3))), CELL)
+            v = [F.col(f"v_{n}") for n in range(3)]
+        u = [F.col(f"u_{n}") for n in range(7)]
+        mean = {n: (v[n - 2] + v[n - 1]) / 2 for n in (2, 3)}
+        # The side is chosen first, in columns of their own: one face then is one short expression.
+        picked = [F.when(mean[n] >= 0, values(u[n - 2 + k], mean[n])).otherwise(values(u[n + 3 - k], mean[n])).alias(f"f{n}{k}") for n in (2, 3) for k in range(5)]
+        whole = around.where(reduce(lambda a, b: a & b, [x.isNotNull() for x in u])).select(*CELL, *picked)
+        right, left = (fluxes.weno5(*(F.col(f"f{n}{k}") for k in range(5))) for n in (3, 2))
+        parts.append(whole.select(*CELL, ((right - left) / length(F.col("level"))).alias(f"r{d}")))
+    total = reduce(lambda a, b: a.join(b, CELL), parts)
+    return total.select(*CELL, reduce(lambda a, b: a + b, [F.col(f"r{d}") for d in range(dim)]).alias("r"))
+
+
+def convection_weno5_field(field: DataFrame, velocity: list[str], name: str = "u") -> DataFrame:
+    """convection_weno5 with velocity columns; a face takes the mean of both sides."""
+    return _weno_divergence(field, len(velocity), velocity, lambda u, mean: u * mean, name)
+
+
+def convection_weno5_nonlinear(field: DataFrame, dim: int, name: str = "u") -> DataFrame:
+    """Divergence of u * u by fifth-order faces."""
+    return _weno_divergence(field, dim, [name] * dim, lambda u, mean: u * u, name)
+
+
+def upwind_scalar_burgers(field: DataFrame, ghosts: DataFrame, speed: list[float], name: str = "u") -> DataFrame:
+    """The difference of Burgers' fluxes on one level; ghosts give the values outside."""
+    values, total = field.select(*CELL, name).unionByName(ghosts.select(*CELL, name)), F.lit(0.0)
+    out = field.select(*CELL, F.col(name).alias("own"))
+    for d, a in enumerate(speed):
+        for side, by in (("b", 1), ("a", -1)):
+            step = tuple(by * int(x == d) for x in range(3))
+            out = out.join(moved(values, step).select(*CELL, F.col(name).alias(f"{side}{d}")), CELL)
+        through = fluxes.godunov_burgers(a, F.col("own"), F.col(f"a{d}")) - fluxes.godunov_burgers(a, F.col(f"b{d}"), F.col("own"))
+        total = total + through / length(F.col("level"))
+    return out.select(*CELL, total.alias("r"))
+
+
 def identity(field: DataFrame, name: str = "u") -> DataFrame:
     return field.select(*CELL, F.col(name).alias("r"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import curves, stencils
-from tessera.functions.levels import CELL, centre
+from tessera.functions.levels import CELL, centre, length
 from tessera.functions.prediction import descendant
 from tessera.operators import boundary, boxes, fields, intervals, lattice, mesh, multires, partition, schemes, sets, solve
 from tessera.sources import tables
@@ -477,16 +477,17 @@ def upwind_expression(spark, sf):
     return _rounded(schemes.upwind_expression(g, ghosts, [1.0, 0.5])).drop("level")
 
 
-def _weno_sql() -> str:
-    def face(a: str, b: str, c: str, d: str, e: str) -> str:
-        q = (f"({a}/3 - 7*{b}/6 + 11*{c}/6)", f"(-{b}/6 + 5*{c}/6 + {d}/3)", f"({c}/3 + 5*{d}/6 - {e}/6)")
-        s = (f"(13*pow({a}-2*{b}+{c},2)/12 + pow({a}-4*{b}+3*{c},2)/4)", f"(13*pow({b}-2*{c}+{d},2)/12 + pow({b}-{d},2)/4)", f"(13*pow({c}-2*{d}+{e},2)/12 + pow(3*{c}-4*{d}+{e},2)/4)")
-        w = [f"({k}/pow({x}+1e-6,2))" for k, x in zip((0.1, 0.6, 0.3), s)]
-        return f"(({w[0]}*{q[0]} + {w[1]}*{q[1]} + {w[2]}*{q[2]})/({w[0]}+{w[1]}+{w[2]}))"
+def _weno_face(a: str, b: str, c: str, d: str, e: str) -> str:
+    q = (f"({a}/3 - 7*{b}/6 + 11*{c}/6)", f"(-{b}/6 + 5*{c}/6 + {d}/3)", f"({c}/3 + 5*{d}/6 - {e}/6)")
+    s = (f"(13*pow({a}-2*{b}+{c},2)/12 + pow({a}-4*{b}+3*{c},2)/4)", f"(13*pow({b}-2*{c}+{d},2)/12 + pow({b}-{d},2)/4)", f"(13*pow({c}-2*{d}+{e},2)/12 + pow(3*{c}-4*{d}+{e},2)/4)")
+    w = [f"({k}/pow({x}+1e-6,2))" for k, x in zip((0.1, 0.6, 0.3), s)]
+    return f"(({w[0]}*{q[0]} + {w[1]}*{q[1]} + {w[2]}*{q[2]})/({w[0]}+{w[1]}+{w[2]}))"
+
 
+def _weno_sql() -> str:
     u = [f"u{n}" for n in range(7)]
     joins = " ".join(f"join grid g{n} on g{n}.i = g.i + {n - 3} and g{n}.j = g.j" for n in range(7))
-    return f"x as (select g.i, g.j, {', '.join(f'g{n}.u as u{n}' for n in range(7))} from grid g {joins}) select i, j, round(({face(*u[1:6])} - {face(*u[0:5])}) * 64, 3) as r from x"
+    return f"x as (select g.i, g.j, {', '.join(f'g{n}.u as u{n}' for n in range(7))} from grid g {joins}) select i, j, round(({_weno_face(*u[1:6])} - {_weno_face(*u[0:5])}) * 64, 3) as r from x"
 
 
 @query(_weno_sql())
@@ -590,7 +591,10 @@ def vector_field(spark, sf):
     return v.join(left, CELL, "left").select("i", (F.col("v0") + F.coalesce("left", F.lit(0)) - F.col("v1")).alias("v"))
 
 
-@query()
+_UPWIND_STEP = "(select g.i, g.j, g.u - ((g.u - w.u) + (g.u - s.u)) / 2 as u from {0} g join {0} w on w.i = (g.i + 63) % 64 and w.j = g.j join {0} s on s.i = g.i and s.j = (g.j + 63) % 64)"
+
+
+@query(f"once as {_UPWIND_STEP.format('grid')} select * from {_UPWIND_STEP.format('once')}")
 def advection(spark, sf):
     """Two upwind steps on a periodic grid."""
     def step(field, dt):
@@ -707,7 +711,7 @@ def convection_upwind_field(spark, sf):
 
 
 def _rusanov(v: str) -> str:
-    return f"({v}) * (lu + ru) / 2 - sqrt(({v}) * ({v}) + 0.001) * (ru - lu) / 2"
+    return f"({v}) * (lu + ru) / 2 - sqrt(({v}) * ({v}) + 1e-12) * (ru - lu) / 2"
 
 
 @query(_coarsely(_divergence(f"case when axis = 0 then {_rusanov(_V)} else {_rusanov(_W)} end")))
@@ -771,3 +775,201 @@ def dump_and_load(spark, sf):
     path = f"{checkpoint_dir(spark)}/dump-{uuid.uuid4().hex}"
     tables.dump(lenses.mesh(spark, sf), path, 2, ["u"], time=0.5)
     return tables.load(spark, path, 2, ["u"]).select("level", *IJ, "u")
+
+
+# Schemes that are not linear
+
+
+def _shifted(df: DataFrame) -> DataFrame:
+    """Values of both signs."""
+    return df.select(*CELL, (F.col("u") - 100).alias("u"))
+
+
+def _shifted_sql(sql: str) -> str:
+    return sql.replace("l.u as lu, r.u as ru", "l.u - 100 as lu, r.u - 100 as ru")
+
+
+@query(_shifted_sql(_divergence("case when (lu + ru) / 2 >= 0 then lu * lu else ru * ru end")))
+def convection_nonlinear(spark, sf):
+    m = _shifted(lenses.mesh(spark, sf))
+    return _rounded(schemes.convection_nonlinear(m, m, 2, "u"))
+
+
+@query(_coarsely(_shifted_sql(_divergence("(lu * lu + ru * ru - sqrt((lu + ru) / 2 * ((lu + ru) / 2) + 1e-12) * (ru - lu)) / 2"))))
+def convection_nonlinear_rusanov(spark, sf):
+    m = _shifted(lenses.mesh(spark, sf))
+    return schemes.convection_nonlinear(m, m, 2, "u", kind="rusanov").select("level", *IJ, F.round("r", 3).alias("r"))
+
+
+@query(_divergence(f"case when axis = 0 then (case when {_V} >= 0 then (lu / 128 - 1) * (1 - lu / 256) else (ru / 128 - 1) * (1 - ru / 256) end) else (case when {_W} >= 0 then (1 - lu / 256) * (1 - lu / 256) else (1 - ru / 256) * (1 - ru / 256) end) end"))
+def convection_nonlinear_vector(spark, sf):
+    """The second component of a vector carried by itself."""
+    m = _with_velocity(spark, sf)
+    return _rounded(schemes.convection_nonlinear(m, m, 2, "v", "w").select(*CELL, F.col("r_w").alias("r")))
+
+
+def _weno_plane(u: str, flux: str, speeds: tuple[str, str]) -> str:
+    """flux in X (a value) and V (the mean of the speed on the face); speeds as expressions of a value G."""
+    joins, names, terms = [], [], []
+    for a, (axis, speed) in enumerate(zip("ij", speeds)):
+        other = "j" if axis == "i" else "i"
+        for n in range(7):
+            joins.append(f"join grid g{a}{n} on g{a}{n}.{axis} = g.{axis} + {n - 3} and g{a}{n}.{other} = g.{other}")
+            names += [f"{u.replace('G', f'g{a}{n}.u')} as u{a}{n}", f"{speed.replace('G', f'g{a}{n}.u')} as v{a}{n}"]
+        for n, sign in ((3, ""), (2, "-")):
+            mean = f"((v{a}{n} + v{a}{n + 1}) / 2)"
+            f = [f"({flux.replace('X', f'u{a}{k}').replace('V', mean)})" for k in range(n - 2, n + 4)]
+            terms.append(f"{sign}(case when {mean} >= 0 then {_weno_face(*f[:5])} else {_weno_face(*f[:0:-1])} end)")
+    return f"x as (select g.i, g.j, {', '.join(names)} from grid g {' '.join(joins)}) select i, j, round(({' + '.join(terms)}) * 64, 2) as r from x"
+
+
+@query(_weno_plane("G", "X * V", ("(G / 128 - 1)", "(1 - G / 256)")))
+def convection_weno5_field(spark, sf):
+    g = lenses.grid(spark, sf).withColumn("v", F.col("u") / 128 - 1).withColumn("w", 1 - F.col("u") / 256)
+    return schemes.convection_weno5_field(g, ["v", "w"]).select(*IJ, F.round("r", 2).alias("r"))
+
+
+@query(_weno_plane("((G - 100) / 64)", "X * X", ("((G - 100) / 64)",) * 2))
+def convection_weno5_nonlinear(spark, sf):
+    g = lenses.grid(spark, sf).select(*CELL, ((F.col("u") - 100) / 64).alias("u"))
+    return schemes.convection_weno5_nonlinear(g, 2).select(*IJ, F.round("r", 2).alias("r"))
+
+
+def _godunov(a: float, left: str, right: str) -> str:
+    return f"(case when {a} * ({left}) < {a} * ({right}) then (case when ({left}) * ({right}) > 0 then least(abs({left}), abs({right})) ** 2 / 2 else 0 end) else greatest(abs({left}), abs({right})) ** 2 / 2 end)"
+
+
+@query(f"s as (select i, j, u - 100 as u from grid) select g.i, g.j, ({_godunov(1, 'g.u', 'e.u')} - {_godunov(1, 'w.u', 'g.u')} + {_godunov(-1, 'g.u', 'n.u')} - {_godunov(-1, 's.u', 'g.u')}) * 64 as r from s g join s w on w.i = (g.i + 63) % 64 and w.j = g.j join s e on e.i = (g.i + 1) % 64 and e.j = g.j join s on s.i = g.i and s.j = (g.j + 63) % 64 join s n on n.i = g.i and n.j = (g.j + 1) % 64")
+def upwind_scalar_burgers(spark, sf):
+    g = _shifted(lenses.grid(spark, sf))
+    ghosts = boundary.periodic(g, {"i": (0, SIDE), "j": (0, SIDE)}, LEVEL, 1, "u")
+    return schemes.upwind_scalar_burgers(g, ghosts, [1.0, -1.0]).select(*IJ, "r")
+
+
+@query(_divergence("-1.0 * (ru - lu) / h").replace("round(coalesce(sum(s.q), 0)", "round(-coalesce(sum(s.q), 0)"))
+def laplacian(spark, sf):
+    m = lenses.mesh(spark, sf)
+    return _rounded(schemes.laplacian(m, m, 2))
+
+
+@query("select level, i, j, u - 0.5 * u + 0 as r from mesh")
+def identity_and_zero(spark, sf):
+    m = lenses.mesh(spark, sf)
+    return schemes.operator_sum(schemes.identity(m), schemes.scaled(schemes.identity(m), -0.5), schemes.zero(m)).select("level", *IJ, "r")
+
+
+def _vector(df: DataFrame) -> DataFrame:
+    return df.select(solve.cell_id().alias("id"), F.col("u").alias("v"))
+
+
+@query(_divergence("-1.5 * (ru - lu) / h").replace("* pow(4.0, m.level)", "").replace("sum(s.q), 0)", "sum(s.q), 0) + 2 * max(m.u)"))
+def matrix_of_sum(spark, sf):
+    """The assembled sum of two diffusions and twice the identity, times a field."""
+    m, area = lenses.mesh(spark, sf), _area(spark)
+    two = m.select(solve.cell_id().alias("row"), solve.cell_id().alias("col"), F.lit(2.0).alias("value"))
+    a = solve.matrix_sum(*(solve.diffusion_matrix(m, area, 2, k, dirichlet=False) for k in (1.0, 0.5)), two)
+    return _rounded(solve.on_cells(solve.product(a, _vector(m)), m, "r"))
+
+
+@query("select n::int as row_block, m::int as col_block, count(*)::bigint as entries, sum(u * (1 + n + m)) as total from mesh, range(2) x(n), range(2) y(m) where n >= m group by all")
+def block_matrix(spark, sf):
+    """Three blocks of a lower triangle, each a diagonal."""
+    m = lenses.mesh(spark, sf)
+    diagonal = lambda by: m.select(solve.cell_id().alias("row"), solve.cell_id().alias("col"), (F.col("u") * by).alias("value"))
+    blocks = solve.block_matrix({(a, b): diagonal(1 + a + b) for a in range(2) for b in range(a + 1)})
+    return blocks.groupBy("row_block", "col_block").agg(F.count("*").alias("entries"), F.sum("value").alias("total"))
+
+
+# Tags, fields, sets, intervals and boxes that stood without a query
+
+
+_RING = "r as (select level, i, j, tag from t union all select 6, i + 64, j, 8 from t where level = 6 and i < 2)"
+
+
+@query(f"{TAGS}, {_RING}, f as (select level, i % (1 << level) as ii, bit_or(tag) as flags, j from r group by level, i % (1 << level), j) select r.level, r.i::int as i, r.j, f.flags as tag from r join f on f.level = r.level and f.ii = r.i % (1 << r.level) and f.j = r.j")
+def periodic_tags(spark, sf):
+    t = _tags(spark, sf)
+    ghosts = t.where("level = 6 and i < 2").select("level", (F.col("i") + SIDE).alias("i"), "j", "k", F.lit(8).alias("tag"))
+    return boundary.periodic_tags(t.unionByName(ghosts), {"i": (0, SIDE)}, LEVEL).select("level", *IJ, "tag")
+
+
+@query("select level, i, j, case when i % 9 = 0 then true else false end as missing from mesh where i % 9 = 0 or j % 11 = 0")
+def nan_cells(spark, sf):
+    u = F.when(F.col("i") % 9 == 0, F.lit(None)).when(F.col("j") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("u"))
+    return fields.nan_cells(lenses.mesh(spark, sf).withColumn("u", u), "u").select("level", *IJ, F.col("u").isNull().alias("missing"))
+
+
+@query("select level, i, j, 2.5::double as u from mesh")
+def field_fill(spark, sf):
+    return fields.make_field(lenses.mesh(spark, sf), 2.5).select("level", *IJ, "u")
+
+
+@query("select true as same, not exists (select 1 from mesh where u > 50) as changed")
+def fields_equal(spark, sf):
+    m = lenses.mesh(spark, sf)
+    off = m.withColumn("u", F.when(F.col("u") > 50, F.col("u") + 1).otherwise(F.col("u")))
+    return spark.createDataFrame([(fields.equal(m, m, ["u"]), fields.equal(m, off, ["u"]))], "same boolean, changed boolean")
+
+
+@query("select not exists (select 1 from mesh f join mesh c on c.level <= f.level - 2 and exists (select 1 from (values (1, 0), (-1, 0), (0, 1), (0, -1)) x(a, b) where (f.i + x.a) >> (f.level - c.level)::int = c.i and (f.j + x.b) >> (f.level - c.level)::int = c.j)) as graduated")
+def is_graduated(spark, sf):
+    return spark.createDataFrame([(mesh.is_graduated(lenses.mesh(spark, sf), 2),)], "graduated boolean")
+
+
+@query(_CUTS + ", l as (select part, sum(w) as load from p group by part) select max(load) / (sum(load) / 5) - 1 > 0.001 as strict, max(load) / (sum(load) / 5) - 1 > 0.9 as loose from l")
+def needs_balance(spark, sf):
+    dealt = _dealt(spark, sf)
+    return spark.createDataFrame([(partition.needs_balance(dealt, 5, 0.001), partition.needs_balance(dealt, 5, 0.9))], "strict boolean, loose boolean")
+
+
+@query("select distinct 14 as level, (i + x.e)::int as i, (j + y.d)::int as j from c, range(-2, 3) x(e), range(-2, 3) y(d)")
+def set_nested_expand(spark, sf):
+    return _cells(lenses.sparse(spark, sf, "c").nested_expand(2))
+
+
+@query("select 14 as level, i, j from b")
+def set_stored(spark, sf):
+    checkpoint_dir(spark)
+    return _cells(lenses.sparse(spark, sf, "b").stored())
+
+
+@query("select not exists (select 1 from a) as a, not exists (select 1 from a join c on c.i - 10000 = a.i and c.j = a.j) as apart, true as nothing, false as may_exist")
+def set_emptiness(spark, sf):
+    a, none = lenses.sparse(spark, sf, "a"), sets.nothing(spark, 14)
+    apart = sets.intersection(a, lenses.sparse(spark, sf, "c").translate(-10000, 0))
+    return spark.createDataFrame([(a.empty(), apart.empty(), none.empty(), none.exist())], "a boolean, apart boolean, nothing boolean, may_exist boolean")
+
+
+def _ends(df: DataFrame) -> DataFrame:
+    return df.groupBy("x_start", "x_end").agg(F.count("*").alias("n"))
+
+
+@query("select xs - 7 as x_start, xe - 7 as x_end, count(*)::bigint as n from n1 group by all")
+def interval_shift(spark, sf):
+    return _ends(intervals.shift(lenses.orders_intervals(spark, sf), -7))
+
+
+@query("select xs * 3 as x_start, xe * 3 as x_end, count(*)::bigint as n from n1 group by all")
+def interval_scale(spark, sf):
+    return _ends(intervals.scale(lenses.orders_intervals(spark, sf), 3))
+
+
+@query("select xs * 4 as x_start, xe * 4 as x_end, count(*)::bigint as n from n1 group by all")
+def interval_finer(spark, sf):
+    return _ends(intervals.finer(lenses.orders_intervals(spark, sf), 2))
+
+
+@query("select xe - xs as size, count(*)::bigint as n from n1 group by all")
+def interval_sizes(spark, sf):
+    return lenses.orders_intervals(spark, sf).groupBy(intervals.size().alias("size")).agg(F.count("*").alias("n"))
+
+
+@query(_BOXES + " select id, x0 < 14 and 8 < x1 and y0 < 11 and 6 < y1 as meets from bx")
+def box_intersects(spark, sf):
+    return _boxes(spark, sf).select("id", boxes.intersects((8, 6), (14, 11)).alias("meets"))
+
+
+@query("select level, i, j, pow(2.0, -level) as side, (i + 0.5) * pow(2.0, -level) as x, (j + 0.5) * pow(2.0, -level) as y from mesh")
+def cell_places(spark, sf):
+    x, y = fields.centres(2)
+    return lenses.mesh(spark, sf).select("level", *IJ, length(F.col("level")).alias("side"), x.alias("x"), y.alias("y"))
