@@ -810,17 +810,18 @@ def convection_nonlinear_vector(spark, sf):
 
 def _weno_plane(u: str, flux: str, speeds: tuple[str, str]) -> str:
     """flux in X (a value) and V (the mean of the speed on the face); speeds as expressions of a value G."""
-    joins, names, terms = [], [], []
+    around, names, terms = [], [], []
     for a, (axis, speed) in enumerate(zip("ij", speeds)):
-        other = "j" if axis == "i" else "i"
+        over = f"over (partition by {'j' if axis == 'i' else 'i'} order by {axis})"
         for n in range(7):
-            joins.append(f"join grid g{a}{n} on g{a}{n}.{axis} = g.{axis} + {n - 3} and g{a}{n}.{other} = g.{other}")
-            names += [f"{u.replace('G', f'g{a}{n}.u')} as u{a}{n}", f"{speed.replace('G', f'g{a}{n}.u')} as v{a}{n}"]
-        for n, sign in ((3, ""), (2, "-")):
+            around.append(f"lag(u, {3 - n}) {over} as g{a}{n}" if n <= 3 else f"lead(u, {n - 3}) {over} as g{a}{n}")
+            names += [f"{u.replace('G', f'g{a}{n}')} as u{a}{n}", f"{speed.replace('G', f'g{a}{n}')} as v{a}{n}"]
+        for n in (3, 2):
             mean = f"((v{a}{n} + v{a}{n + 1}) / 2)"
-            f = [f"({flux.replace('X', f'u{a}{k}').replace('V', mean)})" for k in range(n - 2, n + 4)]
-            terms.append(f"{sign}(case when {mean} >= 0 then {_weno_face(*f[:5])} else {_weno_face(*f[:0:-1])} end)")
-    return f"x as (select g.i, g.j, {', '.join(names)} from grid g {' '.join(joins)}) select i, j, round(({' + '.join(terms)}) * 64, 2) as r from x"
+            f = [flux.replace("X", f"u{a}{k}").replace("V", mean) for k in range(n - 2, n + 4)]
+            names += [f"case when {mean} >= 0 then {f[k]} else {f[5 - k]} end as f{a}{n}{k}" for k in range(5)]
+            terms.append(f"{'' if n == 3 else '-'}{_weno_face(*(f'f{a}{n}{k}' for k in range(5)))}")
+    return f"w as (select i, j, {', '.join(around)} from grid), x as (select i, j, {', '.join(names)} from w where g00 + g06 + g10 + g16 is not null) select i, j, round(({' + '.join(terms)}) * 64, 2) as r from x"
 
 
 @query(_weno_plane("G", "X * V", ("(G / 128 - 1)", "(1 - G / 256)")))
