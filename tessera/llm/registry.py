@@ -1,6 +1,8 @@
 """Queries of the document operators, and SQL for those that SQL can express."""
 
 from .decontaminate import op8_decontamination
+from .filter_audit import SQL as FILTER_AUDIT_SQL
+from .filter_audit import op11_filter_audit
 from .line_dedup import SQL as LINE_DEDUP_SQL
 from .line_dedup import op2_line_dedup
 from .mixing import op1_context_mixing
@@ -23,5 +25,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_suffix_arrays": op9_suffix_arrays,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
 }
-SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL}
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op11_filter_audit": FILTER_AUDIT_SQL}
