@@ -13,6 +13,7 @@ from .simhash import op10_simhash
 from .token_counts import op6_token_counts
 from .token_files import op4_token_files
 from .toxicity import op3_toxicity
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_context_mixing": op1_context_mixing,
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_suffix_arrays": op9_suffix_arrays,
     "op10_simhash": op10_simhash,
     "op11_filter_audit": op11_filter_audit,
+    "op13_whitening": op13_whitening,
 }
 SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op11_filter_audit": FILTER_AUDIT_SQL}
