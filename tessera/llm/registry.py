@@ -7,6 +7,7 @@ from .line_dedup import SQL as LINE_DEDUP_SQL
 from .line_dedup import op2_line_dedup
 from .mixing import op1_context_mixing
 from .packing import op7_packing
+from .private_data import op12_private_data
 from .quality import op5_quality
 from .repeats import op9_suffix_arrays
 from .simhash import op10_simhash
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_suffix_arrays": op9_suffix_arrays,
     "op10_simhash": op10_simhash,
     "op11_filter_audit": op11_filter_audit,
+    "op12_private_data": op12_private_data,
     "op13_whitening": op13_whitening,
 }
 SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op11_filter_audit": FILTER_AUDIT_SQL}
