@@ -218,27 +218,85 @@ def boundary_faces(leaves: DataFrame, area: DataFrame, dim: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def too_coarse(leaves: DataFrame, dim: int, width: int, offsets: list[Offset] | None = None) -> DataFrame:
+def kept(periodic: dict[str, tuple[int, int]], level: int, axis: str, x: Column) -> Column:
+    """An index on the level of its row, moved into a periodic axis's extent (low, high on `level`)."""
+    if axis not in periodic:
+        return x
+    low, high = (F.floor(F.lit(e) * F.pow(F.lit(2.0), F.col("level") - level)).cast("int") for e in periodic[axis])
+    return F.pmod(x - low, high - low) + low
+
+
+def too_coarse(leaves: DataFrame, dim: int, width: int, offsets: list[Offset] | None = None, periodic: dict[str, tuple[int, int]] | None = None, level: int = 0) -> DataFrame:
     """Leaves with a leaf at least two levels finer within `width` cells of its level minus one: those must be refined.
 
     One plan for all levels: each leaf names the cells of all levels that its neighbourhood touches, at least two above it.
+    periodic: the extent (low, high on `level`) of axes whose ends meet; images count as neighbours.
     """
-    near = neighbourhood(leaves.select(*CELL), offsets or box(dim, 2 * width)).where("level >= 2").select("level", "ni", "nj", "nk").distinct()
+    near = neighbourhood(leaves.select(*CELL), offsets or box(dim, 2 * width)).where("level >= 2").select("level", *(kept(periodic or {}, level, a, F.col(f"n{a}")).alias(f"n{a}") for a in AXES)).distinct()
     up = near.select("*", F.explode(F.sequence(F.lit(0), F.col("level") - 2)).alias("to"))
     touched = up.select(F.col("to").alias("level"), *(down(f"n{a}", F.col("level") - F.col("to")).alias(a) for a in AXES)).distinct()
     return leaves.join(touched, CELL, "left_semi")
 
 
+def tree_of(cells: DataFrame, area: DataFrame, min_level: int, dim: int) -> DataFrame:
+    """The leaves of the coarsest mesh over `area` (cells of min_level) that has `cells` among its leaves or their ancestors."""
+    up = ancestors(cells, min_level)
+    out = refine(up, 1, dim).unionByName(area.select(*CELL)).unionByName(cells.select(*CELL)).distinct()
+    return out.join(up, CELL, "left_anti")
+
+
+def border_leaves(leaves: DataFrame, min_level: int, direction: Offset) -> DataFrame:
+    """Leaves with nothing of the domain beside them in a direction. The domain is what the leaves' ancestors on min_level cover.
+
+    A leaf within its ancestor's faces has the domain beside it; only those at a face ask for the next ancestor.
+    """
+    steps = F.col("level") - min_level
+    area = leaves.select(*(down(a, steps).alias(f"n{a}") for a in AXES)).distinct()
+    beside = leaves.select(*CELL, *(down(F.col(a) + d, steps).alias(f"n{a}") for a, d in zip(AXES, direction)))
+    moves = reduce(lambda a, b: a | b, [F.col(f"n{a}") != down(a, steps) for a, d in zip(AXES, direction) if d])
+    return beside.where(moves).join(area, [f"n{a}" for a in AXES], "left_anti").select(*CELL)
+
+
+def broken_borders(leaves: DataFrame, dim: int, radius: int, min_level: int, periodic: tuple[str, ...] = ()) -> DataFrame:
+    """Leaves to refine so that a stencil of `radius` at a border stays on one level.
+
+    Inwards from a border leaf, max(radius, 2 (radius - 2)) cells must be of its level: coarser leaves among them split (looked
+    for at every second cell, as they are two cells wide); and for a radius over two, a border leaf with finer ones within
+    radius - 1 cells splits itself.
+    """
+    count = max(radius, 2 * (radius - 2))
+    if radius < 2:
+        return leaves.select(*CELL).limit(0)
+    out = []
+    fine = leaves.select((F.col("level") - 1).alias("level"), *(F.shiftright(a, 1).alias(f"n{a}") for a in AXES)).distinct()
+    for d in directions(dim):
+        if any(x and a in periodic for a, x in zip(AXES, d)):
+            continue
+        edge = border_leaves(leaves, min_level, d)
+        inward = lambda first, last, step: edge.select(*CELL, F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step))).alias("s")).withColumns({f"n{a}": F.col(a) - F.col("s") * x for a, x in zip(AXES, d)})  # noqa: E731, B023
+        coarse = inward(2, count, 2).where(F.col("level") > min_level)
+        out.append(coarse.select((F.col("level") - 1).alias("level"), *(F.shiftright(f"n{a}", 1).alias(a) for a in AXES)))
+        if radius > 2:
+            out.append(inward(1, radius - 1, 1).join(fine, ["level", *(f"n{a}" for a in AXES)], "left_semi").select(*CELL))
+    return leaves.select(*CELL).join(reduce(DataFrame.unionByName, out).distinct(), CELL, "left_semi") if out else leaves.select(*CELL).limit(0)
+
+
 def is_graduated(leaves: DataFrame, dim: int) -> bool:
     """Whether no leaf touches, along an axis, one at least two levels coarser."""
     return too_coarse(leaves, dim, 1, [o for o in star(dim) if any(o)]).isEmpty()
 
 
-def graduate(leaves: DataFrame, dim: int, width: int = 1) -> DataFrame:
-    """Refine leaves until none is too coarse for its neighbours. Each pass is checkpointed; passes are at most the levels."""
+def graduate(leaves: DataFrame, dim: int, width: int = 1, radius: int = 1, min_level: int = 0, periodic: dict[str, tuple[int, int]] | None = None, level: int = 0) -> DataFrame:
+    """Refine leaves until none is too coarse for its neighbours, nor borders broken for stencils of `radius`.
+
+    min_level: of the mesh, for the border rule (radius over 1). periodic: see too_coarse; such axes have no border. Each pass
+    is checkpointed; every pass refines, so there are at most as many as levels times the depth of a border.
+    """
     leaves = leaves.select(*CELL).checkpoint()
     while True:
-        split = too_coarse(leaves, dim, width).select(*CELL)
+        split = too_coarse(leaves, dim, width, periodic=periodic, level=level).select(*CELL)
+        if radius > 1:
+            split = split.unionByName(broken_borders(leaves, dim, radius, min_level, tuple(periodic or {}))).distinct().checkpoint()
         if split.isEmpty():
             return leaves
         leaves = leaves.join(split, CELL, "left_anti").unionByName(refine(split, 1, dim)).checkpoint()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,18 +31,24 @@ def project_all(field: DataFrame, dim: int, min_level: int, *names: str) -> Data
     return up.select(F.col("to").alias("up"), *(down(a, F.col("level") - F.col("to")).alias(a) for a in AXES), *((F.col(n) * share).alias(n) for n in names)).groupBy(F.col("up").alias("level"), *AXES).agg(*(F.sum(n).alias(n) for n in names))
 
 
-def predict(cells: DataFrame, coarse: DataFrame, dim: int, order: int, *names: str, limits: DataFrame | None = None) -> DataFrame:
+def predict(cells: DataFrame, coarse: DataFrame, dim: int, order: int, *names: str, limits: DataFrame | None = None, place: Callable[[str, Column], Column] | None = None) -> DataFrame:
     """Values on the children of `cells` from coarse values around them.
 
     A coarse cell that is missing is an error, unless `limits` (level, i0, i1, ... one row for each level) says where the
-    domain ends: beyond it the nearest cell inside stands in.
+    domain ends: beyond it the nearest cell inside stands in. place(axis, index): where a value is kept (periodic axes).
     """
     terms = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("pi", "pj", "pk", "oi", "oj", "ok", "w"), (*p, *o, w)))) for p, o, w in table(dim, order)))
     at = cells.select(*CELL, F.inline(terms))  # (2 * (2 * order + 1)) ^ dim terms
     if limits is not None:
         at = at.join(F.broadcast(limits), "level")
-    place = lambda a: F.col(a) + F.col(f"o{a}") if limits is None else F.least(F.greatest(F.col(a) + F.col(f"o{a}"), F.col(f"{a}0")), F.col(f"{a}1") - 1)
-    at = at.select(*CELL, "pi", "pj", "pk", "w", *(place(a).alias(f"n{a}") for a in AXES))
+
+    def kept(a: str) -> Column:
+        x = F.col(a) + F.col(f"o{a}")
+        if limits is not None:
+            return F.least(F.greatest(x, F.col(f"{a}0")), F.col(f"{a}1") - 1)
+        return x if place is None else place(a, x)
+
+    at = at.select(*CELL, "pi", "pj", "pk", "w", *(kept(a).alias(f"n{a}") for a in AXES))
     source = coarse.select("level", *(F.col(a).alias(f"n{a}") for a in AXES), *names)
     joined = at.join(source, ["level", "ni", "nj", "nk"], "left")
     value = lambda n: F.sum(F.col("w") * F.when(F.col(n).isNull(), F.raise_error(F.lit("a coarse value is missing"))).otherwise(F.col(n)))
