@@ -165,11 +165,12 @@ def _first_from_children(lines: DataFrame, ghosts: DataFrame, dim: int, names: t
     return own.withColumns({f"first_{c}": F.when(straight, F.coalesce(f"mean1_{c}", f"mean2_{c}")).otherwise(F.coalesce(f"child1_{c}", f"child2_{c}")) for c in names})
 
 
-def ghost_values(field: DataFrame, config: Config, border: Border, *names: str) -> DataFrame:
+def ghost_values(field: DataFrame, config: Config, border: Border, *names: str, images: bool = True) -> DataFrame:
     """Values on leaves, their ancestors, and all cells within reach of those: (level, i, j, k, names).
 
     Reach is the greater of the stencil's and the prediction's radius. The domain is what the leaves cover, with holes or
-    without. Each level is checkpointed: one coarser level of the ghosts of ancestors, one finer level of predictions.
+    without. images: whether cells beyond periodic ends are there too; operators that take border.inside need them not, but
+    all cells inside. Each level is checkpointed: one coarser level of the ghosts of ancestors, one finer level of predictions.
     """
     width, top, low = max(config.stencil_radius, config.prediction_order), config.max_level, config.min_level
     depth = max([width, *(bc.depth for c in names for bc in border.conditions.get(c, []))])
@@ -198,7 +199,7 @@ def ghost_values(field: DataFrame, config: Config, border: Border, *names: str)
         parents = missing.select((F.col("level") - 1).alias("level"), *(F.shiftright(a, 1).alias(a) for a in AXES)).distinct()
         guess = predict(parents, coarse, config.dim, config.prediction_order, *names, place=border.inside).join(missing, CELL, "left_semi")
         values = values.unionByName(copied).unionByName(guess).checkpoint()
-    if not border.periodic:
+    if not border.periodic or not images:
         return values
     home = border.wrap(reach.withColumns({f"own_{a}": F.col(a) for a in AXES})).join(values, CELL)
     return home.select("level", *(F.col(f"own_{a}").alias(a) for a in AXES), *names)

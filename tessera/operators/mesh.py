@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tessera.functions.levels import AXES, CELL, centre, down, length
 from tessera.functions.stencils import Offset, box, children, diagonals, directions, star
 
+from .faces import faces
+
 
 @dataclass(frozen=True)
 class Config:
@@ -193,20 +195,9 @@ def interfaces(leaves: DataFrame, dim: int) -> DataFrame:
 
     axis; level and i, j, k of the finer cell (the left one if equal); l_* and r_*: the cells left and right of the face.
     """
-    cells = leaves.select(*CELL)
-    out = []
-    for axis in range(dim):
-        step = tuple(int(a == axis) for a in range(3))
-        lay = lambda left, right: [F.lit(axis).alias("axis"), *(F.col(c) for c in CELL), *(F.col(f"{left}{c}").alias(f"l_{c}") for c in CELL), *(F.col(f"{right}{c}").alias(f"r_{c}") for c in CELL)]  # noqa: E731, B023
-        other = cells.select(*(F.col(c).alias(f"o{c}") for c in CELL))
-        own = cells.withColumns({f"s{c}": F.col(c) for c in CELL})
-        ahead = own.withColumns({"olevel": F.col("level"), **{f"o{a}": F.col(a) + s for a, s in zip(AXES, step)}})
-        keys = [f"o{c}" for c in CELL]
-        out.append(ahead.join(other, keys, "left_semi").select(*lay("s", "o")))
-        for side, (left, right) in ((1, ("s", "o")), (-1, ("o", "s"))):
-            coarse = own.withColumns({"olevel": F.col("level") - 1, **{f"o{a}": F.shiftright(F.col(a) + side * s, 1) for a, s in zip(AXES, step)}})
-            out.append(coarse.join(other, keys, "left_semi").select(*lay(left, right)))
-    return reduce(DataFrame.unionByName, out)
+    found = faces(leaves.select(*CELL), dim).where("l is not null and r is not null")
+    fine = F.when(F.col("l.level") >= F.col("r.level"), F.col("l")).otherwise(F.col("r"))
+    return found.select("axis", fine.alias("fine"), "l", "r").select("axis", *(f"fine.{c}" for c in CELL), *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in CELL))
 
 
 def boundary_faces(leaves: DataFrame, area: DataFrame, dim: int) -> DataFrame:

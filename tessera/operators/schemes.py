@@ -12,19 +12,18 @@ from tessera.functions import fluxes
 from tessera.functions.levels import CELL, length
 from tessera.functions.stencils import line
 
-from .mesh import boundary_faces, interfaces, moved, stencil_values
+from . import faces
+from .mesh import boundary_faces, moved, stencil_values
 
 #: flux(axis, left, right, h): a Column of the values of both sides (by name) and the finer cell's side.
 Flux = Callable[[int, dict[str, Column], dict[str, Column], Column], Column]
 
 
 def face_values(leaves: DataFrame, field: DataFrame, dim: int, *names: str) -> DataFrame:
-    """Faces with l_<name> and r_<name>. Both sides are leaves, so both are there."""
-    faces = interfaces(leaves, dim)
-    for side in ("l", "r"):
-        source = field.select(*(F.col(c).alias(f"{side}_{c}") for c in CELL), *(F.col(n).alias(f"{side}_{n}") for n in names))
-        faces = faces.join(source, [f"{side}_{c}" for c in CELL])
-    return faces
+    """Faces between two leaves: axis, level, l and r cells (l_level, ...), l_<name> and r_<name>; the values come along."""
+    cells = field.select(*CELL, *names) if leaves is field else field.select(*CELL, *names).join(leaves.select(*CELL), CELL, "left_semi")
+    found = faces.faces(cells, dim, *names).where("l is not null and r is not null")
+    return found.select("axis", "level", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in (*CELL, *names)))
 
 
 def flux_scheme(leaves: DataFrame, field: DataFrame, dim: int, flux: Flux, *names: str, border: Flux | None = None, area: DataFrame | None = None) -> DataFrame:
@@ -119,6 +118,54 @@ def divergence(leaves: DataFrame, field: DataFrame, names: list[str], **border)
     return flux_scheme(leaves, field, len(names), lambda d, l, r, h: (l[names[d]] + r[names[d]]) / 2, *names, **border)
 
 
+def on_all_levels(leaves: DataFrame, values: DataFrame, dim: int, size: int, names: list[str], fluxes: dict[str, faces.WideFlux], place: faces.Place | None = None, borders: bool = True, **finer) -> DataFrame:
+    """Divergences of fluxes with `size` values of one level across each face: those of a coarser side are predicted.
+
+    values: all ghosts too (ghost_values of radius size / 2; finer fluxes need one more for each order of prediction). finer,
+    max_level, order: see faces.stencils. (level, i, j, k, results) on the leaves.
+    """
+    found = faces.faces(leaves.select(*CELL), dim, place=place)
+    return faces.divergence_of(faces.stencils(found, values, size, *names, place=place, dim=dim, **finer), dim, size, names, fluxes, borders)
+
+
+def upwind_flux(velocity: list[float], name: str = "u") -> faces.WideFlux:
+    return faces.WideFlux(lambda d, s, h: [fluxes.upwind(velocity[d], s[name][0], s[name][1])])
+
+
+def diffusion_flux(k: float, name: str = "u") -> faces.WideFlux:
+    return faces.WideFlux(lambda d, s, h: [-k * (s[name][1] - s[name][0]) / h])
+
+
+def _picked(mean: Column, values: list[Column]) -> list[Column]:
+    """The five of six values that an upwind fifth-order flux reads, first those behind."""
+    return [F.when(mean >= 0, values[n]).otherwise(values[5 - n]) for n in range(5)]
+
+
+def weno5_flux(velocity: list[float], name: str = "u") -> faces.WideFlux:
+    """Of size 6: the side is chosen by the sign of the axis's velocity."""
+    return faces.WideFlux(lambda d, s, h: [*(s[name][:5] if velocity[d] >= 0 else s[name][:0:-1]), F.lit(float(velocity[d]))], lambda x: fluxes.weno5(*x[:5]) * x[5])
+
+
+def weno5_field_flux(velocity: list[str], name: str = "u") -> faces.WideFlux:
+    """With velocity columns: a face takes the mean of the two cells beside it."""
+
+    def inputs(d, s, h):
+        mean = (s[velocity[d]][2] + s[velocity[d]][3]) / 2
+        return [*_picked(mean, s[name]), mean]
+
+    return faces.WideFlux(inputs, lambda x: fluxes.weno5(*x[:5]) * x[5])
+
+
+def weno5_nonlinear_flux(names: list[str], name: str) -> faces.WideFlux:
+    """u times u: of the axis's component (or the only one) and `name`; upwind by that component's mean."""
+
+    def inputs(d, s, h):
+        own = s[names[d if len(names) > 1 else 0]]
+        return _picked((own[2] + own[3]) / 2, [a * b for a, b in zip(own, s[name])])
+
+    return faces.WideFlux(inputs, lambda x: fluxes.weno5(*x))
+
+
 def convection_weno5(field: DataFrame, velocity: list[float], name: str = "u") -> DataFrame:
     """Divergence of velocity times u by fifth-order faces, on the cells of one uniform level that have three neighbours each way."""
     total, cells = None, field.select(*CELL)

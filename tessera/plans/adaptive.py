@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.levels import CELL
 from tessera.functions.prediction import child
-from tessera.operators import ghosts, mesh
+from tessera.operators import ghosts, lattice, mesh, schemes
 
 from . import lenses
-from .queries import IJ, QUERIES, SQL
+from .queries import IJ, QUERIES, SQL, _weno_face
 
 
 #: Levels of the mesh. Suppliers are its finest cells.
@@ -79,11 +79,11 @@ grown as (select 0 as n, level, i, j from tree
 leaf as (select level, i, j, ((i * 31 + j * 17 + level * 7) % 23)::double as u from grown where n = {ROUNDS})"""
 
 
-def _sum(rows: list[str]) -> str:
+def _union(rows: list[str]) -> str:
     return " union all ".join(rows)
 
 
-def _ghosts_sql(width: int, sides: str, periodic: bool = False) -> str:
+def _ghosts_sql(width: int, sides: str, periodic: bool = False, tail: str = " select level, i, j, round(u, 6) as u from whole") -> str:
     """All values: `sides` is an expression of the first layer (or, as a list, of all) next to a leaf on a straight border.
 
     It may use v0, v1 (values inwards), x, y (the face's centre), h and ex, ey. periodic: along i.
@@ -93,6 +93,7 @@ def _ghosts_sql(width: int, sides: str, periodic: bool = False) -> str:
     off = f"(j < 0 or j >= {n})" if periodic else f"(i < 0 or j < 0 or i >= {n} or j >= {n})"
     home = f"i & ({n} - 1)" if periodic else "i"
     second = "coalesce(v1 - 3 * v0 + 3 * g1, 2 * g1 - v0)"
+    third = f"coalesce(v2 - 5 * v1 + 10 * v0 - 10 * g1 + 5 * {second}, -v1 + 4 * v0 - 6 * g1 + 4 * {second}, v0 - 3 * g1 + 3 * {second})"
     straight = "(ex = 0 or ey = 0)"
     lines = f"""
 val as (select *, 'leaf' as kind from leaf union all select x.l::int, i >> (level - x.l)::int, j >> (level - x.l)::int, sum(u * pow(0.25, level - x.l)), 'above' from leaf, range({LOW}, {TOP}) x(l) where x.l < level group by 1, 2, 3),
@@ -100,10 +101,10 @@ near as (select distinct level, (i + x.e)::int as i, (j + y.d)::int as j from va
 reach as (select distinct level, {home} as i, j from near),
 outs as (select level, i, j, bi, bj, sign(i - bi)::int as ex, sign(j - bj)::int as ey, abs(case when i <> bi then i - bi else j - bj end) as layer
   from (select *, {'i' if periodic else f'greatest(0, least(i, {n} - 1))'} as bi, greatest(0, least(j, {n} - 1)) as bj from reach where {off})),
-line as (select o.*, coalesce(a.kind, 'below') as kind, a.u as v0, b.u as v1, pow(0.5, o.level) as h, (bi + 0.5 + ex / 2.0) * pow(0.5, o.level) as x, (bj + 0.5 + ey / 2.0) * pow(0.5, o.level) as y
-  from outs o left join val a on a.level = o.level and a.i = bi and a.j = bj left join val b on b.level = o.level and b.i = bi - ex and b.j = bj - ey),
+line as (select o.*, coalesce(a.kind, 'below') as kind, a.u as v0, b.u as v1, c.u as v2, pow(0.5, o.level) as h, (bi + 0.5 + ex / 2.0) * pow(0.5, o.level) as x, (bj + 0.5 + ey / 2.0) * pow(0.5, o.level) as y
+  from outs o left join val a on a.level = o.level and a.i = bi and a.j = bj left join val b on b.level = o.level and b.i = bi - ex and b.j = bj - ey left join val c on c.level = o.level and c.i = bi - 2 * ex and c.j = bj - 2 * ey),
 first{TOP} as (select *, case when {straight} then {sides} else v0 end as g1 from line where kind = 'leaf' and level = {TOP}),"""
-    layer2 = f"case when layer = 1 then g1 else {second} end"
+    layer2 = f"case when layer = 1 then g1 when layer = 2 then {second} else {third} end"
     for level in range(TOP, LOW - 1, -1):
         if level < TOP:
             deeper = f"union all select level, i, j, u from ghost{level + 2}" if level + 2 <= TOP else ""
@@ -122,18 +123,16 @@ first{level} as (select *, case when {straight} then {sides} else v0 end as g1 f
 w as (select * from (values {weights}) t(p, o, w)),
 all{LOW} as (select i, j, u from val where level = {LOW} union all select i, j, u from ghost{LOW}),"""
     for level in range(LOW + 1, TOP + 1):
-        at = f"(i & ((1 << {level}) - 1))"
         source = f"((m.i >> 1) + a.o)::int & ((1 << {level - 1}) - 1)" if periodic else "(m.i >> 1) + a.o"
         lines += f"""
 miss{level} as (select i, j from reach where level = {level} and not {off} except select i, j from val where level = {level}),
 all{level} as (select i, j, u from val where level = {level} union all select i, j, u from ghost{level}
   union all select l.i, l.j, p.u from line l join all{level - 1} p on p.i = l.i >> 1 and p.j = l.j >> 1 where l.level = {level} and l.kind = 'below'
   union all select m.i, m.j, sum(a.w * b.w * n.u)::double from miss{level} m join w a on a.p = m.i & 1 join w b on b.p = m.j & 1 join all{level - 1} n on n.i = {source} and n.j = (m.j >> 1) + b.o group by m.i, m.j),"""
-        del at
-    whole = _sum([f"select {level} as level, i, j, u from all{level}" for level in range(LOW, TOP + 1)])
+    whole = _union([f"select {level} as level, i, j, u from all{level}" for level in range(LOW, TOP + 1)])
     if periodic:
         return lines.strip() + f" whole as ({whole}) select r.level, r.i, r.j, round(w.u, 6) as u from near r join whole w on w.level = r.level and w.i = r.i & ((1 << r.level) - 1) and w.j = r.j"
-    return lines.strip() + f" whole as ({whole}) select level, i, j, round(u, 6) as u from whole"
+    return lines.strip() + f" whole as materialized ({whole})" + tail
 
 
 # Queries
@@ -164,22 +163,24 @@ def graduated_periodic(spark, sf):
 X_SIDES, Y_SIDES = ((1, 0, 0), (-1, 0, 0)), ((0, 1, 0), (0, -1, 0))
 
 
+def _config(radius: int) -> mesh.Config:
+    return mesh.Config(dim=2, min_level=LOW, max_level=TOP, stencil_radius=radius)
+
+
 def _filled(leaves: DataFrame, border: ghosts.Border, radius: int) -> DataFrame:
-    config = mesh.Config(dim=2, min_level=LOW, max_level=TOP, stencil_radius=radius)
-    return ghosts.ghost_values(valued(leaves), config, border, "u").select("level", *IJ, F.round("u", 6).alias("u"))
+    return ghosts.ghost_values(valued(leaves), _config(radius), border, "u").select("level", *IJ, F.round("u", 6).alias("u"))
 
 
 @query(_grown_sql() + ", " + _ghosts_sql(1, "case when ex <> 0 then 2 * (y * 10) - v0 else v0 + h * 3 end"))
 def ghosts_of_borders(spark, sf):
     """A value that changes along the left and right borders, a slope at the others, on all levels."""
-    border = ghosts.Border({"u": [ghosts.fixed(F.col("y") * 10, directions=X_SIDES), ghosts.slope(3.0, directions=Y_SIDES)]})
-    return _filled(grown(spark, sf), border, 1)
+    return _filled(grown(spark, sf), _border(), 1)
 
 
 _ORDER2 = "case when ex <> 0 and y < 0.5 then case layer when 1 then 8.0 / 3 * 7 + v1 / 3 - 2 * v0 else 8.0 * 7 + 2 * v1 - 9 * v0 end when ex <> 0 then 2 * 4.0 - v0 else v0 + h * 3 end"
 
 
-@query(_grown_sql(2) + ", " + _ghosts_sql(2, _ORDER2).replace("case when layer = 1 then g1 else", "case when layer = 1 or (kind = 'leaf' and ex <> 0 and ey = 0 and y < 0.5) then g1 else"))
+@query(_grown_sql(2) + ", " + _ghosts_sql(2, _ORDER2).replace("case when layer = 1 then g1 when", "case when layer = 1 or (kind = 'leaf' and ex <> 0 and ey = 0 and y < 0.5) then g1 when"))
 def ghosts_of_borders_wide(spark, sf):
     """Two layers: of order two on one half of the left and right borders, of order one (then continued) on the other."""
     low = ghosts.fixed(7.0, 2, directions=X_SIDES, region=F.col("y") < 0.5)
@@ -194,3 +195,123 @@ def ghosts_of_periodic(spark, sf):
     return _filled(grown(spark, sf, 1, True), border, 1)
 
 
+
+
+# Fluxes across levels
+
+
+FACES = """
+neighbour as (select * from (values (0, 1, 0), (1, 0, 1)) t(axis, di, dj)),
+face as (select axis, di, dj, a.level, a.i, a.j, a.level as ll, a.i as li, a.j as lj, b.level as rl, b.i as ri, b.j as rj from leaf a, neighbour join leaf b on b.level = a.level and b.i = a.i + di and b.j = a.j + dj
+  union all select axis, di, dj, f.level, f.i, f.j, f.level, f.i, f.j, c.level, c.i, c.j from leaf f, neighbour join leaf c on c.level = f.level - 1 and c.i = (f.i + di) >> 1 and c.j = (f.j + dj) >> 1
+  union all select axis, di, dj, f.level, f.i - di, f.j - dj, c.level, c.i, c.j, f.level, f.i, f.j from leaf f, neighbour join leaf c on c.level = f.level - 1 and c.i = (f.i - di) >> 1 and c.j = (f.j - dj) >> 1
+  union all select axis, di, dj, level, i, j, level, i, j, null, null, null from leaf, neighbour where i * di + j * dj = (1 << level) - 1
+  union all select axis, di, dj, level, i - di, j - dj, null, null, null, level, i, j from leaf, neighbour where i * di + j * dj = 0)"""
+
+
+def _across(size: int) -> str:
+    """Faces with the `size` values across them, s0, s1, ..., and h."""
+    half = size // 2
+    keys = "axis, level, i, j, ll, li, lj, rl, ri, rj"
+    got = f"select {keys}, r.n, w.u from (select *, (i + (n - {half - 1}) * di)::int as wi, (j + (n - {half - 1}) * dj)::int as wj from face, range({size}) r(n)) r join whole w on w.level = r.level and w.i = r.wi and w.j = r.wj"
+    got = got.replace(keys, ", ".join(f"r.{k}" for k in keys.split(", ")))
+    return f"{FACES.strip()}, across as materialized (select {keys}, pow(0.5, level) as h, 1.0 as share, {', '.join(f'max(u) filter (where n = {n}) as s{n}' for n in range(size))} from ({got}) group by {keys})"
+
+
+def _kids_across() -> str:
+    """Two sub-faces a level finer (one on the finest level), their values predicted."""
+    return f"""{FACES.strip()}, kid as (select m.level, m.i, m.j, a.p, b.p as q, sum(a.w * b.w * n.u) as u from whole m, w a, w b join whole n on n.level = m.level and n.i = m.i + a.o and n.j = m.j + b.o where m.level < {TOP} group by m.level, m.i, m.j, a.p, b.p),
+across as (select f.*, pow(0.5, f.level) / 2 as h, 0.5 as share, l.u as s0, r.u as s1 from face f, range(2) t(t) join kid l on l.level = f.level and l.i = f.i and l.j = f.j and l.p = (case axis when 0 then 1 else t end) and l.q = (case axis when 0 then t else 1 end)
+    join kid r on r.level = f.level and r.i = f.i + di and r.j = f.j + dj and r.p = (case axis when 0 then 0 else t end) and r.q = (case axis when 0 then t else 0 end)
+  union all select f.*, pow(0.5, f.level) as h, 1.0 as share, l.u, r.u from face f join whole l on l.level = f.level and l.i = f.i and l.j = f.j join whole r on r.level = f.level and r.i = f.i + di and r.j = f.j + dj where f.level = {TOP})"""
+
+
+def _divergence(across: str, **fluxes: str) -> str:
+    q = ", ".join(f"({x}) * share * pow(0.5, level) as {n}" for n, x in fluxes.items())
+    minus = ", ".join(f"-{n}" for n in fluxes)
+    total = ", ".join(f"round(sum({n}) * pow(4.0, level), 4) as {n}" for n in fluxes)
+    return f", {across}, q as (select ll, li, lj, rl, ri, rj, {q} from across), part as (select ll as level, li as i, lj as j, {', '.join(fluxes)} from q where ll is not null union all select rl, ri, rj, {minus} from q where rl is not null) select level, i, j, {total} from part group by level, i, j"
+
+
+_SIDES = "case when ex <> 0 then 2 * (y * 10) - v0 else v0 + h * 3 end"
+
+
+def _border() -> ghosts.Border:
+    return ghosts.Border({"u": [ghosts.fixed(F.col("y") * 10, directions=X_SIDES), ghosts.slope(3.0, directions=Y_SIDES)]})
+
+
+def _flux(spark, sf, radius: int, size: int, fluxes: dict, border: ghosts.Border | None = None, fields=valued, **finer) -> DataFrame:
+    """Divergences on the leaves; radius: of the mesh's borders and ghosts."""
+    leaves = grown(spark, sf, radius)
+    field = fields(leaves)
+    names = [c for c in field.columns if c not in CELL]
+    values = ghosts.ghost_values(field, _config(radius), border or _border(), *names)
+    out = schemes.on_all_levels(leaves, values, 2, size, names, fluxes, **finer)
+    return out.select("level", *IJ, *(F.round(r, 4).alias(r) for r in fluxes))
+
+
+@query(_grown_sql() + ", " + _ghosts_sql(1, _SIDES, tail=_divergence(_across(2), convection="case when axis = 0 then s0 else -0.5 * s1 end", diffusion="-0.25 * (s1 - s0) / h")))
+def flux_at_jumps(spark, sf):
+    """At a jump the coarser side is its predicted cell; borders take part."""
+    return _flux(spark, sf, 1, 2, {"convection": schemes.upwind_flux([1.0, -0.5]), "diffusion": schemes.diffusion_flux(0.25)})
+
+
+@query(_grown_sql(2) + ", " + _ghosts_sql(2, _SIDES, tail=_divergence(_kids_across(), convection="case when axis = 0 then s0 else -0.5 * s1 end", diffusion="-0.25 * (s1 - s0) / h")))
+def flux_finer(spark, sf):
+    """Fluxes of all faces one level finer: two sub-faces with predicted sides."""
+    return _flux(spark, sf, 2, 2, {"convection": schemes.upwind_flux([1.0, -0.5]), "diffusion": schemes.diffusion_flux(0.25)}, finer=1, max_level=TOP)
+
+
+def _weno(values: list[str]) -> str:
+    """The face value in SQL, from five values, those behind first."""
+    return _weno_face(*values)
+
+
+@query(_grown_sql(3) + ", " + _ghosts_sql(3, _SIDES, tail=_divergence(_across(6), r=f"case when axis = 0 then {_weno(['s0', 's1', 's2', 's3', 's4'])} else -0.5 * {_weno(['s5', 's4', 's3', 's2', 's1'])} end")))
+def convection_weno5_levels(spark, sf):
+    """Fifth-order faces on all levels."""
+    return _flux(spark, sf, 3, 6, {"r": schemes.weno5_flux([1.0, -0.5])})
+
+
+def _two(leaves: DataFrame) -> DataFrame:
+    return valued(leaves).withColumn("v", F.col("u") * 2 - 20)
+
+
+# u and v = 2 u - 20, so ghosts of v follow; the axis's own component, and products picked by its mean's sign.
+_VECTOR = f"""two as (select *, {', '.join(f"s{n} as us{n}, 2 * s{n} - 20 as vs{n}, case when axis = 0 then s{n} else 2 * s{n} - 20 end as own{n}" for n in range(6))} from across),
+picked as (select *, {', '.join(f"case when own2 + own3 >= 0 then own{n} * {c}s{n} else own{5 - n} * {c}s{5 - n} end as {c}p{n}" for c in "uv" for n in range(5))} from two)"""
+
+
+@query(_grown_sql(3) + ", " + _ghosts_sql(3, _SIDES, tail=_divergence(f"{_across(6)}, {_VECTOR}", r_u=_weno([f"up{n}" for n in range(5)]), r_v=_weno([f"vp{n}" for n in range(5)])).replace("from across), part", "from picked), part")))
+def convection_weno5_levels_vector(spark, sf):
+    """u times u for a vector (u, v), on all levels."""
+    v = [ghosts.fixed(F.col("y") * 20 - 20, directions=X_SIDES), ghosts.slope(6.0, directions=Y_SIDES)]
+    border = ghosts.Border(_border().conditions | {"v": v})
+    names = ["u", "v"]
+    return _flux(spark, sf, 3, 6, {f"r_{n}": schemes.weno5_nonlinear_flux(names, n) for n in names}, border, _two)
+
+
+# Streaming across levels
+
+
+#: Four velocities of a plane; distributions are multiples of the field's value.
+SCHEME = lattice.Scheme([(1, 0), (0, 1), (-1, 0), (0, -1)], [[1, 1, 1, 1], [1, 0, -1, 0], [0, 1, 0, -1], [1, -1, 1, -1]], [0.0, 1.0, 1.0, 1.0], lambda m: [m[0], m[0] * 0.25, m[0] * 0.125, m[0] * 0])
+
+
+def _transport_rows() -> str:
+    rows = [(m, n, i, j, w * (n + 1)) for m in range(LOW, TOP + 1) for n, v in enumerate(SCHEME.velocities) for (i, j), w in lattice.transport(1, TOP - m, v).items()]
+    return ", ".join(f"({m}, {n}, {i}, {j}, {w!r})" for m, n, i, j, w in rows)
+
+
+_STREAMED = f" , form as (select * from (values {_transport_rows()}) t(level, n, oi, oj, w)), got as (select l.level, l.i, l.j, f.n, sum(f.w * v.u) as s from leaf l join form f on f.level = l.level join whole v on v.level = l.level and v.i = l.i + f.oi and v.j = l.j + f.oj group by l.level, l.i, l.j, f.n) select level, i, j, {', '.join(f'round(max(s) filter (where n = {n}), 6) as f{n}' for n in range(4))} from got group by level, i, j"
+
+
+@query(_grown_sql(2) + ", " + _ghosts_sql(2, "v0", tail=_STREAMED))
+def lattice_stream_levels(spark, sf):
+    """A step of four velocities on all levels; nothing changes across the borders."""
+    leaves = grown(spark, sf, 2)
+    field = valued(leaves).select(*CELL, *((F.col("u") * (n + 1)).alias(f"f{n}") for n in range(4)))
+    border = ghosts.Border({f"f{n}": [ghosts.slope(0.0)] for n in range(4)})
+    values = ghosts.ghost_values(field, _config(2), border, *SCHEME.names)
+    out = lattice.stream_levels(field, values, SCHEME, TOP)
+    return out.select("level", *IJ, *(F.round(n, 6).alias(n) for n in SCHEME.names))
