@@ -88,8 +88,10 @@ class CellSet:
         return CellSet(table, self.level if level is None else level, self.dim, self.known_empty)
 
 
-def of_table(table: DataFrame, level: int, dim: int = 2) -> CellSet:
-    return CellSet(normalise(table.where(F.col("level") == level)), level, dim)
+def of_table(table: DataFrame, level: int, dim: int = 2, canonical: bool = False) -> CellSet:
+    """The intervals of one level; canonical: they are so already."""
+    own = table.where(F.col("level") == level)
+    return CellSet(own if canonical else normalise(own), level, dim)
 
 
 def of_box(spark: SparkSession, level: int, low: tuple[int, ...], high: tuple[int, ...]) -> CellSet:

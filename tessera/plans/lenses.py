@@ -38,7 +38,7 @@ def sparse_cells(spark: SparkSession, sf: str, which: str) -> DataFrame:
 
 
 def sparse(spark: SparkSession, sf: str, which: str) -> CellSet:
-    return of_table(to_intervals(sparse_cells(spark, sf, which)), FINE)
+    return of_table(to_intervals(sparse_cells(spark, sf, which)), FINE, canonical=True)
 
 
 def marked(spark: SparkSession, sf: str) -> DataFrame:

@@ -122,3 +122,14 @@ def test_names_of_fine_and_negative_cells_differ(ready):
 def test_numbers_run_through_a_level(ready):
     cells = ready.createDataFrame([(1, 0, 0, 0), (1, 1, 0, 0), (1, 0, 1, 0), (2, 5, 5, 1), (2, 6, 5, 0)], "level int, i int, j int, k int")
     assert sorted((r.level, r.k, r.j, r.i, r.number) for r in tables.numbered(cells).collect()) == [(1, 0, 0, 0, 0), (1, 0, 0, 1, 1), (1, 0, 1, 0, 2), (2, 0, 5, 6, 0), (2, 1, 5, 5, 1)]
+
+
+def test_chains_plan_linearly(spark):
+    """Every step adds the same to the plan."""
+    one = sets.of_table(spark.createDataFrame([(5, 0, 0, 3, 9), (5, 0, 1, 4, 4099)], "level int, z int, y int, x_start int, x_end int"), 5)
+    sizes, chain = [], one
+    for _ in range(8):
+        chain = sets.union(chain.expand(1), one).on(5)
+        sizes.append(chain.table._jdf.queryExecution().optimizedPlan().toString().count("Window"))
+    steps = [b - a for a, b in zip(sizes, sizes[1:])]
+    assert len(set(steps)) == 1
