@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.levels import CELL
 from tessera.functions.prediction import child
-from tessera.operators import ghosts, lattice, mesh, schemes
+from tessera.operators import ghosts, lattice, mesh, schemes, solve
 
 from . import lenses
 from .queries import IJ, QUERIES, SQL, _weno_face
@@ -315,3 +315,48 @@ def lattice_stream_levels(spark, sf):
     values = ghosts.ghost_values(field, _config(2), border, *SCHEME.names)
     out = lattice.stream_levels(field, values, SCHEME, TOP)
     return out.select("level", *IJ, *(F.round(n, 6).alias(n) for n in SCHEME.names))
+
+
+# Implicit steps
+
+
+def _burgers(d: int, l: dict, r: dict, h):
+    """u * u / 2 upwind with viscosity; smooth enough for Newton's method."""
+    mean = (l["u"] + r["u"]) / 2
+    return mean * mean / 2 - (F.lit(12.0) + 0.02 / h) * (r["u"] - l["u"])
+
+
+RATE = 1e5
+
+
+def _implicit_residual(leaves: DataFrame, old: DataFrame):
+    """Volumes times RATE (u - old) + div flux(u)."""
+
+    def residual(field: DataFrame) -> DataFrame:
+        flow = schemes.flux_scheme(leaves, field, 2, _burgers, "u")
+        both = field.select(*CELL, "u").join(old.select(*CELL, F.col("u").alias("old")), CELL).join(flow, CELL)
+        return both.select(*CELL, ((RATE * (F.col("u") - F.col("old")) + F.col("r")) * F.pow(F.lit(0.25), F.col("level"))).alias("r"))
+
+    return residual
+
+
+@query(_grown_sql() + " select level, i, j, u from leaf")
+def burgers_implicit(spark, sf):
+    """One implicit step of a viscous Burgers equation by Newton's method over the whole mesh, and back: the step's own
+    equation, applied to its result, gives the field it began with."""
+    leaves = grown(spark, sf).checkpoint()
+    old = valued(leaves).checkpoint()
+    new = solve.newton(old, _implicit_residual(leaves, old), lambda f: solve.flux_jacobian(leaves, f, 2, _burgers, "u", shift=RATE), tolerance=1e-9, inner=1e-5)
+    flow = schemes.flux_scheme(leaves, new, 2, _burgers, "u")
+    return new.join(flow, CELL).select("level", *IJ, F.round(F.col("u") + F.col("r") / RATE, 4).alias("u"))
+
+
+@query(_grown_sql() + " select level, i, j, u from leaf")
+def heat_residual(spark, sf):
+    """An implicit heat step on many levels by conjugate gradients, nothing passing the borders, and back."""
+    leaves = grown(spark, sf).checkpoint()
+    old = valued(leaves)
+    a = solve.diffusion_matrix(leaves, leaves, 2, dirichlet=False, shift=RATE)
+    rhs = old.select(solve.cell_id().alias("id"), (F.col("u") * RATE * F.pow(F.lit(0.25), F.col("level"))).alias("v"))
+    new = solve.on_cells(solve.conjugate_gradient(a, rhs, 1e-9), leaves).checkpoint()
+    return new.join(schemes.diffusion(leaves, new, 2), CELL).select("level", *IJ, F.round(F.col("u") + F.col("r") / RATE, 4).alias("u"))
