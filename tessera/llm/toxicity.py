@@ -1,9 +1,11 @@
 """Compression-distance classification of toxic text with zstandard dictionaries.
 
-One dictionary is trained on ordinary text, one on toxic text: on the stretches of labelled toxic documents that ordinary
-ones hardly have. A window (a word) is compressed with the ordinary dictionary and with both; what the toxic one saves is
-its distance. A document's score comes from how many of its windows save at least so many bytes, for several thresholds,
-and how large a share they are, by a logistic regression on labelled documents that the dictionaries have not seen.
+Labelled texts are first parted by their letters (k-means on pairs of bytes: languages and scripts fall apart), copies left
+out. Each part has two dictionaries: one trained on its ordinary texts, one on the stretches of words that its toxic texts have
+significantly more often. A window (a word) is compressed with neither, and with each: what the toxic dictionary saves is its
+distance, unless the ordinary one does clearly better. A document's score comes from how many of its windows reach each of
+several thresholds, and how large a share they are, by a logistic regression on labelled documents that the dictionaries have
+not seen; the cut that those documents call for lies at PREDICT.
 
 Text is spread before it is compressed: after each letter come two bytes made from it and the letter before. Equal
 stretches stay equal, and a match of few letters then saves more than the cost of a match, so short words tell too.
@@ -12,7 +14,6 @@ stretches stay equal, and a match of few letters then saves more than the cost o
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,15 @@ from .common import crc32_of_id, read, text_slices
 TOXIC, ORDINARY = 1000, 2400
 #: Sizes of the two dictionaries in bytes.
 TOXIC_BYTES, ORDINARY_BYTES = 12_000, 112 << 10
-#: Letters in a stretch; how much commoner than in ordinary text it is; the least share of toxic documents with it.
-GRAM, RATIO, SHARE = 6, 8, 0.015
-#: Bytes saved by a window, from which on it is counted.
-THRESHOLDS = (4, 6, 8, 10, 12, 15)
+#: Letters in a stretch; how much commoner than in ordinary text it is; the least likelihood ratio statistic (a chance of one
+#: in 300,000) of its documents.
+GRAM, RATIO, SIGNIFICANT = 6, 8, 22.0
+#: Bytes saved by a window, from which on it is counted; bytes by which the ordinary dictionary may do better.
+THRESHOLDS, WORSE = (6, 9, 12, 15, 18, 24), 14
+#: Parts that texts fall into; documents of each kind that a part needs for dictionaries of its own.
+PARTS, LEAST = 6, 8
+#: Share of ordinary documents above the cut.
+FLAGGED = 0.004
 PREDICT = 0.7
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -51,26 +57,58 @@ def spread(words: list[bytes]) -> bytes:
     return out.tobytes()
 
 
+def letters_of(words: list[bytes]) -> np.ndarray:
+    """A text by its pairs of neighbouring bytes, hashed: square roots of their shares."""
+    u = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
+    pairs = (u[:-1] * 31 + u[1:] * 17) % 251
+    return np.sqrt(np.bincount(pairs, minlength=251) / len(pairs))
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+
+
+def parted(x: np.ndarray, parts: int = PARTS, rounds: int = 15) -> np.ndarray:
+    """Centres by k-means; each seed is far from those before it, but no outlier."""
+    if not len(x):
+        return np.zeros((1, 251))
+    centres = x.mean(0)[None]
+    for _ in range(parts - 1):
+        away = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
+        centres = np.r_[centres, x[np.argsort(away, kind="stable")[int(len(x) * 0.98)]][None]]
+    for _ in range(rounds):
+        at = nearest(x, centres)
+        centres = np.array([x[at == k].mean(0) if (at == k).any() else centres[k] for k in range(len(centres))])
+    return centres
+
+
 class Distance:
-    """Bytes that the toxic dictionary saves on a word."""
+    """Bytes that the toxic dictionary saves on a word; 0 where the ordinary one does better by more than WORSE."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, keep: int = 400_000):
-        self.both = [self._compressor(x) for x in (ordinary, ordinary + toxic)]
-        self.known, self.keep = {}, keep
+    def __init__(self, ordinary: bytes, toxic: bytes, keep: int = 100_000):
+        self.none, self.ordinary, self.toxic = (self._compressor(x) for x in (b"", ordinary, toxic))
+        self.known, self.keep, self.empty = {}, keep, not toxic
 
     @staticmethod
     def _compressor(content: bytes):
         p = zstandard.ZstdCompressionParameters(**_PARAMETERS)
+        if not content:
+            return zstandard.ZstdCompressor(compression_params=p)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=p)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
     def of(self, word: bytes) -> int:
+        if self.empty:
+            return 0
         x = spread([word])
-        return len(self.both[0].compress(x)) - len(self.both[1].compress(x))
+        own = len(self.toxic.compress(x))
+        if len(x) + 16 - own < THRESHOLDS[0]:  # a frame adds less than 16 bytes
+            return 0
+        saved = len(self.none.compress(x)) - own
+        return saved if saved >= THRESHOLDS[0] and own - len(self.ordinary.compress(x)) <= WORSE else 0
 
-    def features(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
+    def features(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > self.keep:
             self.known = {}
         found = list(map(self.known.get, words))
@@ -107,12 +145,18 @@ def _tally(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 
 def toxic_stretches(toxic: list[str], ordinary: list[str]) -> list[list[bytes]]:
-    """What toxic texts have of stretches that are much commoner in them, as words."""
+    """What toxic texts have of stretches, within a word or at its ends, that are much and significantly commoner in them."""
     a, docs, often, all_a = _tally(toxic)
-    b, _, usual, all_b = _tally(ordinary)
+    b, others, usual, all_b = _tally(ordinary)
     at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
-    there = np.where(b[at] == a, usual[at], 0) if len(b) else np.zeros(len(a))
-    typical = a[(docs >= max(3, SHARE * len(toxic))) & (often / all_a > RATIO * (there + 0.5) / all_b)]
+    same = b[at] == a if len(b) else np.zeros(len(a), bool)
+    there, elsewhere = (np.where(same, x[at], 0) if len(b) else np.zeros(len(a)) for x in (usual, others))
+    share = max(1, len(toxic)) / max(1, len(toxic) + len(ordinary))
+    both = docs + elsewhere
+    ratio = 2 * (docs * np.log(docs / (both * share)) + np.where(elsewhere > 0, elsewhere * np.log(np.maximum(elsewhere, 1) / (both * max(1e-9, 1 - share))), 0))
+    letters = np.stack([(a >> np.uint64(8 * k)) & np.uint64(255) for k in range(GRAM)]) != 32
+    one_word = letters[1:-1].all(0) & (letters[0] | letters[-1])
+    typical = a[one_word & (docs >= 3) & (often / all_a > RATIO * (there + 0.5) / all_b) & (ratio >= SIGNIFICANT)]
     out = []
     for t in toxic:
         text = b" " + b" ".join(words_of(t)) + b" "
@@ -134,18 +178,24 @@ def _dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary. Words of ordinary texts on which the toxic one saves much although toxic
-    texts hardly have them are added to the ordinary one, three times over."""
+    """The ordinary and the toxic dictionary; the second may be empty."""
     windows = [spread(w[i : i + 8]) for t in ordinary for w in [words_of(t)] for i in range(0, len(w), 8)]
-    plain, bad = _dictionary(ORDINARY_BYTES, windows, 192), _dictionary(TOXIC_BYTES, [spread(x) for x in toxic_stretches(toxic, ordinary)], 48)
-    have, want = (Counter(w for t in texts for w in set(words_of(t))) for texts in (ordinary, toxic))
-    for _ in range(3):
-        d = Distance(plain, bad)
-        wrong = sorted(w for w, n in have.items() if 4 * n * len(toxic) > want[w] * len(ordinary) and d.of(w) >= THRESHOLDS[0])
-        if not wrong:
-            break
-        plain += spread(wrong)[: 2 * ORDINARY_BYTES]
-    return plain, bad
+    stretches = [spread(x) for x in toxic_stretches(toxic, ordinary)]
+    return _dictionary(ORDINARY_BYTES, windows, 192) if windows else b"", _dictionary(TOXIC_BYTES, stretches, 48) if stretches else b""
+
+
+def without_copies(rows: list[tuple[int, str | None, int]]) -> list[tuple[int, str | None, int]]:
+    """The rows but for those of whose runs of five words more than three tenths stood in earlier ones; all of them if fewer
+    than LEAST of a kind would be left."""
+    seen: set[int] = set()
+    out = []
+    for row in rows:
+        w = words_of(row[1])
+        runs = {zlib.crc32(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))}
+        if len(runs & seen) <= 0.3 * len(runs):
+            out.append(row)
+            seen |= runs
+    return out if min(sum(r[2] == y for r in out) for y in (0, 1)) >= LEAST else rows
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -162,34 +212,53 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 
 class Model:
-    """Dictionaries and weights; scores are probabilities."""
+    """Centres of parts, two dictionaries for each, and weights; scores are probabilities."""
 
-    def __init__(self, plain: bytes, bad: bytes, weights: np.ndarray):
-        self.plain, self.bad, self.weights, self.distance = plain, bad, weights, None
+    def __init__(self, centres: np.ndarray, pairs: list[tuple[bytes, bytes]], weights: np.ndarray):
+        self.centres, self.pairs, self.weights, self.distances = centres, pairs, weights, {}
 
     def __reduce__(self):
-        return Model, (self.plain, self.bad, self.weights)
+        return Model, (self.centres, self.pairs, self.weights)
+
+    def features(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        part = int(nearest(letters_of(words)[None], self.centres)[0])
+        if part not in self.distances:
+            same = next((k for k in self.distances if self.pairs[k] is self.pairs[part]), None)
+            self.distances[part] = self.distances[same] if same is not None else Distance(*self.pairs[part])
+        return self.distances[part].features(words)
 
     def score(self, texts: list[str | None]) -> list[float]:
-        self.distance = self.distance or Distance(self.plain, self.bad)
-        z = [float(self.weights[0] + self.weights[1:] @ self.distance.features(t)) for t in texts]
+        z = [float(self.weights[0] + self.weights[1:] @ self.features(t)) for t in texts]
         return [float(1 / (1 + np.exp(-np.clip(v, -30, 30)))) for v in z]
 
 
 def learn(rows: list[tuple[int, str | None, int]]) -> Model:
-    """rows: id, text, label. Three fifths make the dictionaries, the rest the weights."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1] or "", r[2]))
-    first = [zlib.crc32(str(d).encode()) % 5 < 3 for d, _, _ in rows]
-    plain, bad = dictionaries([t or "" for (_, t, y), f in zip(rows, first) if f and y], [t or "" for (_, t, y), f in zip(rows, first) if f and not y])
-    rest = [(t, y) for (_, t, y), f in zip(rows, first) if not f]
-    weights = np.zeros(1 + 2 * len(THRESHOLDS))
-    y = np.array([y for _, y in rest], float)
+    """rows: id, text, label. Three fifths make the dictionaries, the rest the weights and the cut.
+
+    Parts with fewer than LEAST documents of a kind share dictionaries made from all. The cut is moved to PREDICT from where
+    FLAGGED of the ordinary documents are above it, but never from below one half or above PREDICT.
+    """
+    rows = without_copies(sorted(rows, key=lambda r: (r[0], r[1] or "", r[2])))
+    x = np.array([letters_of(words_of(t)) for _, t, _ in rows]).reshape(-1, 251)
+    centres = parted(x)
+    part = nearest(x, centres) if len(rows) else np.zeros(0, int)
+    first = np.array([zlib.crc32(str(d).encode()) % 5 < 3 for d, _, _ in rows], bool)
+    label = np.array([y for _, _, y in rows], int)
+    made = lambda at: dictionaries(*([rows[i][1] or "" for i in np.flatnonzero(at & (label == y))] for y in (1, 0)))
+    whole = made(first)
+    own = [first & (part == k) for k in range(len(centres))]
+    model = Model(centres, [made(at) if min((label[at] == y).sum() for y in (0, 1)) >= LEAST else whole for at in own], np.zeros(1 + 2 * len(THRESHOLDS)))
+    y = label[~first].astype(float)
     if 0 < y.sum() < len(y):
-        d = Distance(plain, bad)
-        weights = logistic(np.array([d.features(t) for t, _ in rest]), y)
+        found = np.array([model.features(rows[i][1]) for i in np.flatnonzero(~first)])
+        model.weights = logistic(found, y)
+        z = model.weights[0] + found @ model.weights[1:]
+        top = np.log(PREDICT / (1 - PREDICT))
+        model.weights[0] += top - min(max(float(np.quantile(z[y == 0], 1 - FLAGGED)), 0.0), top)
     else:  # nothing to calibrate with: all documents alike, by the share of toxic labels
-        weights[0] = np.log((sum(r[2] for r in rows) + 0.5) / (sum(not r[2] for r in rows) + 0.5))
-    return Model(plain, bad, weights)
+        model.weights[0] = np.log((label.sum() + 0.5) / ((1 - label).sum() + 0.5))
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int = ORDINARY) -> Model:
