@@ -82,10 +82,25 @@ def parted(x: np.ndarray, parts: int = PARTS, rounds: int = 15) -> np.ndarray:
     return centres
 
 
+def spread_each(words: list[bytes]) -> list[bytes]:
+    """spread([w]) for each word, in one pass."""
+    u = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    out = np.empty((len(u), 3), np.uint8)
+    out[:, 0] = u
+    before = np.r_[np.uint8(32), u[:-1]]
+    before[u == 32] = 32  # as if no word came before
+    ends = np.cumsum([len(w) + 1 for w in words])
+    own = _SPREAD[before.astype(np.int64) * 256 + u]
+    out[:, 1:] = own
+    whole = out.tobytes()
+    last = _SPREAD[np.array([w[-1] if w else 32 for w in words], np.int64) * 256 + 32].tobytes()
+    return [whole[3 * (e - len(w) - 1) : 3 * e] + b" " + last[2 * k : 2 * k + 2] for k, (w, e) in enumerate(zip(words, ends.tolist()))]
+
+
 class Distance:
     """Bytes that the toxic dictionary saves on a word; 0 where the ordinary one does better by more than WORSE."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, keep: int = 100_000):
+    def __init__(self, ordinary: bytes, toxic: bytes, keep: int = 250_000):
         self.none, self.ordinary, self.toxic = (self._compressor(x) for x in (b"", ordinary, toxic))
         self.known, self.keep, self.empty = {}, keep, not toxic
 
@@ -98,10 +113,10 @@ class Distance:
         d.precompute_compress(compression_params=p)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
-    def of(self, word: bytes) -> int:
+    def of(self, x: bytes) -> int:
+        """x: a spread word."""
         if self.empty:
             return 0
-        x = spread([word])
         own = len(self.toxic.compress(x))
         if len(x) + 16 - own < THRESHOLDS[0]:  # a frame adds less than 16 bytes
             return 0
@@ -111,17 +126,12 @@ class Distance:
     def features(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > self.keep:
             self.known = {}
-        found = list(map(self.known.get, words))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    w = words[i]
-                    x = self.known.get(w)
-                    if x is None:
-                        x = self.of(w)
-                        if len(w) <= 64:
-                            self.known[w] = x
-                    found[i] = x
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        self.known.update(zip(new, map(self.of, spread_each(new))) if new else ())
+        found = list(map(self.known.__getitem__, words))
+        for w in new:
+            if len(w) > 64:  # long ones are not kept
+                del self.known[w]
         v = np.array(found or [0])
         n = np.array([(v >= t).sum() for t in THRESHOLDS], float)
         return np.r_[np.log1p(n), np.log1p(100 * n / len(v))]
