@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.curves import morton
 from tessera.functions.levels import AXES, CELL
 
+from .faces import faces
 from .mesh import interfaces
 
 #: Bits of the keys that share one block of the prefix sums; blocks are taken together in the same way, level by level.
@@ -69,29 +70,46 @@ def cell_graph(leaves: DataFrame, dim: int) -> DataFrame:
 
 def part_graph(dealt: DataFrame, dim: int) -> DataFrame:
     """Pairs of different parts that share faces."""
-    faces = interfaces(dealt, dim)
-    for s in "lr":
-        faces = faces.join(dealt.select(*(F.col(c).alias(f"{s}_{c}") for c in CELL), F.col("part").alias(f"{s}_part")), [f"{s}_{c}" for c in CELL])
-    return faces.where("l_part <> r_part").groupBy(F.least("l_part", "r_part").alias("a"), F.greatest("l_part", "r_part").alias("b")).agg(F.count("*").alias("faces"))
+    found = faces(dealt.select(*CELL, "part"), dim, "part").where("l.part <> r.part")
+    return found.groupBy(F.least("l.part", "r.part").alias("a"), F.greatest("l.part", "r.part").alias("b")).agg(F.count("*").alias("faces"))
 
 
-def diffusion_flows(load: dict[int, float], edges: list[tuple[int, int]], rounds: int = 50) -> dict[tuple[int, int], float]:
-    """Weight to move along each edge (from a to b) so that loads even out: first-order diffusion on the graph of parts.
+def diffusion_flows(loads: DataFrame, edges: DataFrame, rounds: int = 10, least: float = 0.01) -> DataFrame:
+    """(a, b, flow): weight that part b should hand to its neighbour a, for both directions of each edge, so that loads even out.
 
-    The graph has one node for each part and is small; rounds stop once no load is off by a thousandth of the mean.
+    First-order diffusion in a fixed number of rounds over tables (part, load) and (a, b): each edge carries the difference of
+    its loads over the greater of its parts' neighbours and one. Each round is a join and a sum by part, checkpointed. Flows
+    under `least` of the mean load are none.
     """
-    near: dict[int, list[int]] = {p: [] for p in load}
-    for a, b in edges:
-        near[a].append(b)
-        near[b].append(a)
-    mean, flow = sum(load.values()) / max(1, len(load)), {e: 0.0 for e in edges}
-    rate, now = 1 / (max(map(len, near.values()), default=0) + 1), dict(load)
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = both.groupBy("a").agg(F.count("*").alias("degree"))
+    near = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("degree").alias("other")), "b")
+    near = near.select("a", "b", (F.greatest("degree", "other") + 1).alias("rate"), F.lit(0.0).alias("flow")).checkpoint()
+    now = loads.select("part", F.col("load").cast("double").alias("load")).checkpoint()
+    mean = now.agg(F.avg("load")).first()[0] or 0.0
     for _ in range(rounds):
-        moves = {(a, b): (now[a] - now[b]) * rate for a, b in edges}
-        for (a, b), m in moves.items():
-            flow[a, b] += m
-            now[a] -= m
-            now[b] += m
-        if max(abs(x - mean) for x in now.values()) < 1e-3 * mean:
-            break
-    return {e: f for e, f in flow.items() if abs(f) >= 0.01 * mean}
+        own, other = now.select(F.col("part").alias("a"), F.col("load").alias("own")), now.select(F.col("part").alias("b"), F.col("load").alias("other"))
+        moves = near.join(own, "a").join(other, "b").withColumn("move", (F.col("other") - F.col("own")) / F.col("rate")).checkpoint()
+        gained = moves.groupBy(F.col("a").alias("part")).agg(F.sum("move").alias("gain"))
+        now = now.join(gained, "part", "left").select("part", (F.col("load") + F.coalesce("gain", F.lit(0.0))).alias("load")).checkpoint()
+        near = moves.select("a", "b", "rate", (F.col("flow") + F.col("move")).alias("flow"))
+    return near.select("a", "b", F.when(F.abs("flow") < least * mean, 0.0).otherwise(F.col("flow")).alias("flow"))
+
+
+def diffuse(dealt: DataFrame, flows: DataFrame, dim: int, key: list[Column], keep: float = 0.1) -> DataFrame:
+    """dealt (cells with part and weight) after cells at the borders of parts have moved along the flows.
+
+    A part hands cells that share a face with the receiving part, in the order of `key`, as long as all of them together
+    stay within the flow; of several receivers a cell has the least. If a part would give more than 1 - keep of its load, its
+    flows shrink alike. Only cells at borders of parts are sorted, by pair of parts.
+    """
+    given = flows.where("flow > 0").select(F.col("b").alias("part"), F.col("a").alias("to"), "flow")
+    asked = given.groupBy("part").agg(F.sum("flow").alias("all")).join(loads(dealt), "part")
+    given = given.join(asked, "part").withColumn("flow", F.col("flow") * F.least(F.lit(1.0), (1 - keep) * F.col("load") / F.col("all"))).select("part", "to", "flow")
+    found = faces(dealt.select(*CELL, "part"), dim, "part").where("l.part <> r.part")
+    beside = found.select(F.inline(F.array(*(F.struct(*(F.col(f"{x}.{c}").alias(c) for c in (*CELL, "part")), F.col(f"{y}.part").alias("to")) for x, y in ("lr", "rl")))))
+    picked = beside.join(given.select("part", "to"), ["part", "to"], "left_semi").groupBy(*CELL, "part").agg(F.min("to").alias("to"))
+    order = Window.partitionBy("part", "to").orderBy(*key, "level").rowsBetween(Window.unboundedPreceding, 0)
+    taken = picked.join(dealt.select(*CELL, "weight"), CELL).withColumn("sum", F.sum("weight").over(order)).join(given, ["part", "to"]).where("sum <= flow")
+    moved = taken.select(*CELL, F.col("to").alias("new"))
+    return dealt.join(moved, CELL, "left").withColumn("part", F.coalesce("new", "part")).select(*dealt.columns)

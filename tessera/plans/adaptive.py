@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.levels import CELL
 from tessera.functions.prediction import child
-from tessera.operators import ghosts, lattice, mesh, schemes, solve
+from tessera.operators import ghosts, lattice, mesh, partition, schemes, solve
 
 from . import lenses
 from .queries import IJ, QUERIES, SQL, _weno_face
@@ -360,3 +360,45 @@ def heat_residual(spark, sf):
     rhs = old.select(solve.cell_id().alias("id"), (F.col("u") * RATE * F.pow(F.lit(0.25), F.col("level"))).alias("v"))
     new = solve.on_cells(solve.conjugate_gradient(a, rhs, 1e-9), leaves).checkpoint()
     return new.join(schemes.diffusion(leaves, new, 2), CELL).select("level", *IJ, F.round(F.col("u") + F.col("r") / RATE, 4).alias("u"))
+
+
+# Diffusive balance
+
+
+ROUNDS_OF_FLOW = 6
+_PARTS = f"""part as (select *, ((i >> (level - 2)) * 4 + (j >> (level - 2)))::int as part from leaf),
+{FACES.strip()},
+pair as (select distinct a.part as a, b.part as b, f.ll, f.li, f.lj, f.rl, f.ri, f.rj from face f join part a on a.level = f.ll and a.i = f.li and a.j = f.lj join part b on b.level = f.rl and b.i = f.ri and b.j = f.rj where a.part <> b.part),
+beside as (select a as part, b as other, ll as level, li as i, lj as j from pair union select b, a, rl, ri, rj from pair),
+near as (select distinct part as a, other as b from beside),
+rated as (select a, b, 1 + greatest((select count(*) from near x where x.a = n.a), (select count(*) from near x where x.a = n.b)) as rate from near n),
+run as (select 0 as n, a, b, rate, 0.0::double as flow, (select count(*) from part where part = a)::double as own, (select count(*) from part where part = b)::double as theirs from rated
+  union all select n + 1, a, b, rate, flow + (theirs - own) / rate, own + (select sum((x.theirs - x.own) / x.rate) from run x where x.a = r.a), theirs + (select sum((x.theirs - x.own) / x.rate) from run x where x.a = r.b) from run r where n < {ROUNDS_OF_FLOW}),
+flows as (select a, b, case when abs(flow) < 0.01 * (select count(*) / count(distinct part) from part) then 0 else flow end as flow from run where n = {ROUNDS_OF_FLOW})"""
+
+
+def _in_blocks(spark, sf) -> DataFrame:
+    """The mesh dealt to sixteen blocks of the plane, each cell of weight one: so of unequal load."""
+    leaves = grown(spark, sf).checkpoint()
+    block = lambda a: F.call_function("shiftright", F.col(a), F.col("level") - 2)
+    return leaves.select(*CELL, (block("i") * 4 + block("j")).alias("part"), F.lit(1).alias("weight"))
+
+
+@query(_grown_sql() + ", " + _PARTS + " select a, b, round(flow, 6) as flow from flows")
+def balance_flows(spark, sf):
+    """What neighbouring parts should hand to one another."""
+    dealt = _in_blocks(spark, sf)
+    flows = partition.diffusion_flows(partition.loads(dealt), partition.part_graph(dealt, 2), ROUNDS_OF_FLOW)
+    return flows.select("a", "b", F.round("flow", 6).alias("flow"))
+
+
+@query(_grown_sql() + ", " + _PARTS + f""", given as (select b as part, a as other, flow * least(1.0, 0.9 * (select count(*) from part p where p.part = f.b) / sum(flow) over (partition by b)) as flow from flows f where flow > 0),
+picked as (select b.part, min(b.other) as other, b.level, b.i, b.j from beside b join given g on g.part = b.part and g.other = b.other group by b.part, b.level, b.i, b.j),
+taken as (select p.*, count(*) over (partition by part, other order by i << ({TOP} - level), j << ({TOP} - level), level rows unbounded preceding) as n from picked p)
+select p.level, p.i, p.j, coalesce(t.other, p.part) as part from part p left join (select t.* from taken t join given g on g.part = t.part and g.other = t.other where t.n <= g.flow) t on t.level = p.level and t.i = p.i and t.j = p.j""")
+def balance_moved(spark, sf):
+    """Cells at the borders of parts move along the flows."""
+    dealt = _in_blocks(spark, sf)
+    flows = partition.diffusion_flows(partition.loads(dealt), partition.part_graph(dealt, 2), ROUNDS_OF_FLOW)
+    order = [F.call_function("shiftleft", F.col(a), F.lit(TOP) - F.col("level")) for a in "ij"]
+    return partition.diffuse(dealt, flows, 2, order).select("level", *IJ, "part")

@@ -6,6 +6,7 @@ import pytest
 
 from tessera.functions import curves, prediction, stencils
 from tessera.operators import boundary, mesh, partition, sets
+from tessera.plans.session import checkpoint_dir
 
 
 def test_half_cell_weights():
@@ -57,10 +58,16 @@ def test_box_difference():
     assert sets.box_difference((0,), (2,), (5,), (6,)) == [((0,), (2,))]
 
 
-def test_boxes_and_flows():
+def test_boxes():
     low, high, side = mesh.approximate_box([0.0, 0.0], [1.0, 2.5])
     assert all(abs((b - a) / side - round((b - a) / side)) < 1e-9 for a, b in zip(low, high))
     assert mesh.largest_subdivision([12, 18, 30]) == 6
+
+
+def test_flows(spark):
+    checkpoint_dir(spark)
     load = {0: 10.0, 1: 2.0, 2: 0.0}
-    flow = partition.diffusion_flows(load, [(0, 1), (1, 2)])
-    assert load[0] - flow[0, 1] == pytest.approx(4, abs=0.1) and load[2] + flow[1, 2] == pytest.approx(4, abs=0.1)
+    found = partition.diffusion_flows(spark.createDataFrame(list(load.items()), "part int, load double"), spark.createDataFrame([(0, 1), (1, 2)], "a int, b int"), 14).collect()
+    flow = {(r.a, r.b): r.flow for r in found}
+    assert all(flow[a, b] == pytest.approx(-flow[b, a]) for a, b in flow)
+    assert load[0] - flow[1, 0] == pytest.approx(4, abs=0.1) and load[2] + flow[2, 1] == pytest.approx(4, abs=0.1)
