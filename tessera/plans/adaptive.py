@@ -51,6 +51,11 @@ def valued(leaves: DataFrame) -> DataFrame:
     return leaves.select(*CELL, F.pmod(F.col("i") * 31 + F.col("j") * 17 + F.col("level") * 7, F.lit(23)).cast("double").alias("u"))
 
 
+def _rounded(name: str, digits: int):
+    """Rounded a little above, in SQL too: most values are halves of halves, and exact ties would hang on the order of sums."""
+    return F.round(F.col(name) + 1e-8, digits).alias(name)
+
+
 # The same in SQL
 
 
@@ -83,7 +88,7 @@ def _union(rows: list[str]) -> str:
     return " union all ".join(rows)
 
 
-def _ghosts_sql(width: int, sides: str, periodic: bool = False, tail: str = " select level, i, j, round(u, 6) as u from whole") -> str:
+def _ghosts_sql(width: int, sides: str, periodic: bool = False, tail: str = " select level, i, j, round(u + 1e-8, 6) as u from whole") -> str:
     """All values: `sides` is an expression of the first layer (or, as a list, of all) next to a leaf on a straight border.
 
     It may use v0, v1 (values inwards), x, y (the face's centre), h and ex, ey. periodic: along i.
@@ -131,7 +136,7 @@ all{level} as (select i, j, u from val where level = {level} union all select i,
   union all select m.i, m.j, sum(a.w * b.w * n.u)::double from miss{level} m join w a on a.p = m.i & 1 join w b on b.p = m.j & 1 join all{level - 1} n on n.i = {source} and n.j = (m.j >> 1) + b.o group by m.i, m.j),"""
     whole = _union([f"select {level} as level, i, j, u from all{level}" for level in range(LOW, TOP + 1)])
     if periodic:
-        return lines.strip() + f" whole as ({whole}) select r.level, r.i, r.j, round(w.u, 6) as u from near r join whole w on w.level = r.level and w.i = r.i & ((1 << r.level) - 1) and w.j = r.j"
+        return lines.strip() + f" whole as ({whole}) select r.level, r.i, r.j, round(w.u + 1e-8, 6) as u from near r join whole w on w.level = r.level and w.i = r.i & ((1 << r.level) - 1) and w.j = r.j"
     return lines.strip() + f" whole as materialized ({whole})" + tail
 
 
@@ -168,7 +173,7 @@ def _config(radius: int) -> mesh.Config:
 
 
 def _filled(leaves: DataFrame, border: ghosts.Border, radius: int) -> DataFrame:
-    return ghosts.ghost_values(valued(leaves), _config(radius), border, "u").select("level", *IJ, F.round("u", 6).alias("u"))
+    return ghosts.ghost_values(valued(leaves), _config(radius), border, "u").select("level", *IJ, _rounded("u", 6))
 
 
 @query(_grown_sql() + ", " + _ghosts_sql(1, "case when ex <> 0 then 2 * (y * 10) - v0 else v0 + h * 3 end"))
@@ -229,7 +234,7 @@ across as (select f.*, pow(0.5, f.level) / 2 as h, 0.5 as share, l.u as s0, r.u
 def _divergence(across: str, **fluxes: str) -> str:
     q = ", ".join(f"({x}) * share * pow(0.5, level) as {n}" for n, x in fluxes.items())
     minus = ", ".join(f"-{n}" for n in fluxes)
-    total = ", ".join(f"round(sum({n}) * pow(4.0, level), 4) as {n}" for n in fluxes)
+    total = ", ".join(f"round(sum({n}) * pow(4.0, level) + 1e-8, 4) as {n}" for n in fluxes)
     return f", {across}, q as (select ll, li, lj, rl, ri, rj, {q} from across), part as (select ll as level, li as i, lj as j, {', '.join(fluxes)} from q where ll is not null union all select rl, ri, rj, {minus} from q where rl is not null) select level, i, j, {total} from part group by level, i, j"
 
 
@@ -247,7 +252,7 @@ def _flux(spark, sf, radius: int, size: int, fluxes: dict, border: ghosts.Border
     names = [c for c in field.columns if c not in CELL]
     values = ghosts.ghost_values(field, _config(radius), border or _border(), *names)
     out = schemes.on_all_levels(leaves, values, 2, size, names, fluxes, **finer)
-    return out.select("level", *IJ, *(F.round(r, 4).alias(r) for r in fluxes))
+    return out.select("level", *IJ, *(_rounded(r, 4) for r in fluxes))
 
 
 @query(_grown_sql() + ", " + _ghosts_sql(1, _SIDES, tail=_divergence(_across(2), convection="case when axis = 0 then s0 else -0.5 * s1 end", diffusion="-0.25 * (s1 - s0) / h")))
@@ -303,7 +308,7 @@ def _transport_rows() -> str:
     return ", ".join(f"({m}, {n}, {i}, {j}, {w!r})" for m, n, i, j, w in rows)
 
 
-_STREAMED = f" , form as (select * from (values {_transport_rows()}) t(level, n, oi, oj, w)), got as (select l.level, l.i, l.j, f.n, sum(f.w * v.u) as s from leaf l join form f on f.level = l.level join whole v on v.level = l.level and v.i = l.i + f.oi and v.j = l.j + f.oj group by l.level, l.i, l.j, f.n) select level, i, j, {', '.join(f'round(max(s) filter (where n = {n}), 6) as f{n}' for n in range(4))} from got group by level, i, j"
+_STREAMED = f" , form as (select * from (values {_transport_rows()}) t(level, n, oi, oj, w)), got as (select l.level, l.i, l.j, f.n, sum(f.w * v.u) as s from leaf l join form f on f.level = l.level join whole v on v.level = l.level and v.i = l.i + f.oi and v.j = l.j + f.oj group by l.level, l.i, l.j, f.n) select level, i, j, {', '.join(f'round(max(s) filter (where n = {n}) + 1e-8, 6) as f{n}' for n in range(4))} from got group by level, i, j"
 
 
 @query(_grown_sql(2) + ", " + _ghosts_sql(2, "v0", tail=_STREAMED))
@@ -314,7 +319,7 @@ def lattice_stream_levels(spark, sf):
     border = ghosts.Border({f"f{n}": [ghosts.slope(0.0)] for n in range(4)})
     values = ghosts.ghost_values(field, _config(2), border, *SCHEME.names)
     out = lattice.stream_levels(field, values, SCHEME, TOP)
-    return out.select("level", *IJ, *(F.round(n, 6).alias(n) for n in SCHEME.names))
+    return out.select("level", *IJ, *(_rounded(n, 6) for n in SCHEME.names))
 
 
 # Implicit steps
@@ -384,12 +389,12 @@ def _in_blocks(spark, sf) -> DataFrame:
     return leaves.select(*CELL, (block("i") * 4 + block("j")).alias("part"), F.lit(1).alias("weight"))
 
 
-@query(_grown_sql() + ", " + _PARTS + " select a, b, round(flow, 6) as flow from flows")
+@query(_grown_sql() + ", " + _PARTS + " select a, b, round(flow + 1e-8, 6) as flow from flows")
 def balance_flows(spark, sf):
     """What neighbouring parts should hand to one another."""
     dealt = _in_blocks(spark, sf)
     flows = partition.diffusion_flows(partition.loads(dealt), partition.part_graph(dealt, 2), ROUNDS_OF_FLOW)
-    return flows.select("a", "b", F.round("flow", 6).alias("flow"))
+    return flows.select("a", "b", _rounded("flow", 6))
 
 
 @query(_grown_sql() + ", " + _PARTS + f""", given as (select b as part, a as other, flow * least(1.0, 0.9 * (select count(*) from part p where p.part = f.b) / sum(flow) over (partition by b)) as flow from flows f where flow > 0),
