@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.levels import CELL
+from tessera.functions.levels import CELL, centre
 from tessera.functions.prediction import child
-from tessera.operators import ghosts, lattice, mesh, partition, schemes, solve
+from tessera.functions.stencils import directions
+from tessera.operators import blocks, ghosts, lattice, mesh, multigrid, partition, schemes, solve
 
 from . import lenses
 from .queries import IJ, QUERIES, SQL, _weno_face
@@ -367,6 +370,64 @@ def heat_residual(spark, sf):
     return new.join(schemes.diffusion(leaves, new, 2), CELL).select("level", *IJ, F.round(F.col("u") + F.col("r") / RATE, 4).alias("u"))
 
 
+# Multigrid and block systems
+
+
+def _poisson(leaves: DataFrame) -> DataFrame:
+    return solve.diffusion_matrix(leaves, leaves, 2, dirichlet=False, shift=1.0)
+
+
+def _steady(spark, sf, solver) -> DataFrame:
+    """u - div grad u = the field, solved on all levels; returns what the equation gives for the result."""
+    leaves = grown(spark, sf).checkpoint()
+    rhs = valued(leaves).select(solve.cell_id().alias("id"), (F.col("u") * F.pow(F.lit(0.25), F.col("level"))).alias("v"))
+    new = solve.on_cells(solver(multigrid.hierarchy(leaves, _poisson, LOW - 1), rhs), leaves).checkpoint()
+    return new.join(schemes.diffusion(leaves, new, 2), CELL).select("level", *IJ, F.round(F.col("u") + F.col("r"), 3).alias("u"))
+
+
+@query(_grown_sql() + " select level, i, j, u from leaf")
+def poisson_multigrid(spark, sf):
+    """A steady equation by V-cycles over coarsened meshes alone, and back."""
+    return _steady(spark, sf, lambda grids, rhs: multigrid.cycles(grids, rhs, 1e-10))
+
+
+@query(_grown_sql() + " select level, i, j, u from leaf")
+def poisson_preconditioned(spark, sf):
+    """The same, with V-cycles as the preconditioner of BiCGStab."""
+    return _steady(spark, sf, lambda grids, rhs: solve.bicgstab(grids.matrix, rhs, 1e-10, precondition=lambda v: multigrid.cycle(grids, v)))
+
+
+COUPLING = 3e4
+
+
+@query(_grown_sql() + " select level, i, j, u, 20 - u as p from leaf")
+def control_blocks(spark, sf):
+    """State u and adjoint p of a controlled heat step, coupled both ways, with rows for the borders of both; and back.
+
+    u has the value 10 y left and right and the slope 3 above and below, p is zero at all borders.
+    """
+    leaves = grown(spark, sf).checkpoint()
+    kinds = {0: lambda axis, side: ("value", centre(F.col("level"), F.col("j")) * 10) if axis == 0 else ("slope", 3.0), 1: lambda axis, side: ("value", 0.0)}
+    rows = [blocks.border_rows(leaves, 2, b, 2 + 4 * b, LOW, kinds[b]) for b in (0, 1)]
+    parts = [blocks.diffusion(leaves, 2, b, shift=RATE) for b in (0, 1)] + [blocks.mass(leaves, 2, 0, 1, -COUPLING), blocks.mass(leaves, 2, 1, 0, COUPLING)] + [m for m, _ in rows]
+    volume = F.pow(F.lit(0.25), F.col("level")) * RATE
+    old = valued(leaves)
+    right = [old.select(blocks.unknown(0).alias("id"), (F.col("u") * volume).alias("v")), old.select(blocks.unknown(1).alias("id"), ((20 - F.col("u")) * volume).alias("v"))]
+    union = lambda x: reduce(DataFrame.unionByName, x)
+    new = blocks.solve(union(parts), union(right + [r for _, r in rows]), [1, 6, 7, 8, 9], 1e-10).checkpoint()
+    at = lambda b: new.where(F.col("id.block") == b).select("id.level", "id.i", "id.j", "id.k", F.col("v"))
+    u, p = at(0).withColumnRenamed("v", "u"), at(1).withColumnRenamed("v", "p")
+    inner = schemes.diffusion(leaves, u, 2).join(schemes.diffusion(leaves, p, 2, "p").withColumnRenamed("r", "rp"), CELL)
+    # through the borders, from their conditions and the cells inside only
+    edges = union([mesh.border_leaves(leaves, LOW, d).withColumn("axis", F.lit(0 if d[0] else 1)) for d in directions(2)]).join(u, CELL).join(p, CELL)
+    h2 = F.pow(F.lit(4.0), F.col("level"))
+    out_u = F.when(F.col("axis") == 0, 2 * (F.col("u") - centre(F.col("level"), F.col("j")) * 10)).otherwise(-3 * F.pow(F.lit(0.5), F.col("level"))) * h2
+    out = edges.groupBy(*CELL).agg(F.sum(out_u).alias("bu"), F.sum(2 * F.col("p") * h2).alias("bp"))
+    both = u.join(p, CELL).join(inner, CELL).join(out, CELL, "left").fillna(0.0, ["bu", "bp"])
+    back = lambda own, other, flow, border, sign: F.round(F.col(own) + (F.col(flow) + F.col(border) + sign * COUPLING * F.col(other)) / RATE, 4).alias(own)
+    return both.select("level", *IJ, back("u", "p", "r", "bu", -1), back("p", "u", "rp", "bp", 1))
+
+
 # Diffusive balance
 
 
