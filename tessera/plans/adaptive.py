@@ -377,26 +377,17 @@ def _poisson(leaves: DataFrame) -> DataFrame:
     return solve.diffusion_matrix(leaves, leaves, 2, dirichlet=False, shift=1.0)
 
 
-def _steady(spark, sf, solver) -> DataFrame:
-    """u - div grad u = the field, solved on all levels; returns what the equation gives for the result."""
+@query(_grown_sql() + " select level, i, j, u from leaf")
+def poisson_preconditioned(spark, sf):
+    """u - div grad u = the field, on all levels, by BiCGStab with V-cycles over coarsened meshes; returns what the equation gives
+    for the result."""
     leaves = grown(spark, sf).checkpoint()
     rhs = valued(leaves).select(solve.cell_id().alias("id"), (F.col("u") * F.pow(F.lit(0.25), F.col("level"))).alias("v"))
-    new = solve.on_cells(solver(multigrid.hierarchy(leaves, _poisson, LOW - 1), rhs), leaves).checkpoint()
+    grids = multigrid.hierarchy(leaves, _poisson, LOW - 1)
+    new = solve.on_cells(solve.bicgstab(grids.matrix, rhs, 1e-10, precondition=lambda v: multigrid.cycle(grids, v)), leaves).checkpoint()
     return new.join(schemes.diffusion(leaves, new, 2), CELL).select("level", *IJ, F.round(F.col("u") + F.col("r"), 3).alias("u"))
 
 
-@query(_grown_sql() + " select level, i, j, u from leaf")
-def poisson_multigrid(spark, sf):
-    """A steady equation by V-cycles over coarsened meshes alone, and back."""
-    return _steady(spark, sf, lambda grids, rhs: multigrid.cycles(grids, rhs, 1e-10))
-
-
-@query(_grown_sql() + " select level, i, j, u from leaf")
-def poisson_preconditioned(spark, sf):
-    """The same, with V-cycles as the preconditioner of BiCGStab."""
-    return _steady(spark, sf, lambda grids, rhs: solve.bicgstab(grids.matrix, rhs, 1e-10, precondition=lambda v: multigrid.cycle(grids, v)))
-
-
 COUPLING = 3e4
 
 
@@ -417,7 +408,7 @@ def control_blocks(spark, sf):
     new = blocks.solve(union(parts), union(right + [r for _, r in rows]), [1, 6, 7, 8, 9], 1e-10).checkpoint()
     at = lambda b: new.where(F.col("id.block") == b).select("id.level", "id.i", "id.j", "id.k", F.col("v"))
     u, p = at(0).withColumnRenamed("v", "u"), at(1).withColumnRenamed("v", "p")
-    inner = schemes.diffusion(leaves, u, 2).join(schemes.diffusion(leaves, p, 2, "p").withColumnRenamed("r", "rp"), CELL)
+    inner = schemes.diffusion(leaves, u, 2).join(schemes.diffusion(leaves, p, 2, name="p").withColumnRenamed("r", "rp"), CELL)
     # through the borders, from their conditions and the cells inside only
     edges = union([mesh.border_leaves(leaves, LOW, d).withColumn("axis", F.lit(0 if d[0] else 1)) for d in directions(2)]).join(u, CELL).join(p, CELL)
     h2 = F.pow(F.lit(4.0), F.col("level"))
