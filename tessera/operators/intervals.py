@@ -18,12 +18,26 @@ def frame(spark: SparkSession, rows: list[tuple[int, int, int, int, int]]) -> Da
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def _merge(df: DataFrame, *row: str) -> DataFrame:
-    """Merge overlapping and touching intervals within a row (gaps and islands)."""
-    order = Window.partitionBy(*row).orderBy("x_start", "x_end")
-    reach = F.max("x_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("x_start") <= F.col("reach"), 0).otherwise(1)).over(order)
-    return df.withColumn("reach", reach).withColumn("island", island).groupBy(*row, "island").agg(F.min("x_start").alias("x_start"), F.max("x_end").alias("x_end"))
+#: Most rows that one task of a shuffle gets, where the number of a set's rows is known.
+ROWS = 1 << 19
+
+
+def deal(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """Shuffled by the keys (y and block, if none are given) into as many partitions as `rows` rows ask for; None: as it is, for the
+    session's own settings. Constant columns are no keys: Spark drops them from a window's, and would shuffle again."""
+    return df if rows is None else df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *(keys or ("y", "block")))
+
+
+def merge(df: DataFrame, row: list[str], order: list[str]) -> DataFrame:
+    """Merge overlapping and touching intervals within a row (gaps and islands). Windows of one order alone, so that a task keeps
+    nothing but its sort: no aggregate holds its islands."""
+    along = Window.partitionBy(*row).orderBy(*order)
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = df.select(*row, "x_start", "x_end", F.max("x_end").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"), F.max("x_end").over(upto).alias("upto"), F.lead("x_start").over(along).isNull().alias("last"))
+    first = F.col("reach").isNull() | (F.col("x_start") > F.col("reach"))
+    # What lies before the next island's first row, or up to the last row, ends an island.
+    ends = seen.withColumn("first", first).where("first or last").withColumn("end", F.when(F.col("first"), F.col("reach")).otherwise(F.col("upto")))
+    return ends.withColumn("end", F.when(F.col("last"), F.col("upto")).otherwise(F.lead("end").over(along))).where("first").select(*row, "x_start", F.col("end").alias("x_end"))
 
 
 def split(df: DataFrame) -> DataFrame:
@@ -34,14 +48,21 @@ def split(df: DataFrame) -> DataFrame:
     return cut.withColumn("x_start", F.greatest("x_start", lo)).withColumn("x_end", F.least("x_end", lo + F.lit(1 << BLOCK)))
 
 
-def normalise(df: DataFrame) -> DataFrame:
+def normalise(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The canonical form. Blocks are merged apart; then only the at most two islands of a block that touch its borders are
-    merged along the row, so no task needs a whole row."""
-    local = _merge(split(df.select(*INTERVAL)), "level", "z", "y", "block")
+    merged along the row, so no task needs a whole row. rows: about how many there are, where that is known."""
+    row = ["level", "z", "y", "block"]
+    return stitch(merge(deal(split(df.select(*INTERVAL)), rows), row, ["x_start", "x_end"]), rows)
+
+
+def stitch(local: DataFrame, rows: int | None = None) -> DataFrame:
+    """Islands of blocks, merged apart, to canonical intervals."""
+    row = ["level", "z", "y", "block"]
     lo = F.shiftleft("block", BLOCK)
     edge = (F.col("x_start") == lo) | (F.col("x_end") == lo + F.lit(1 << BLOCK))
     # Islands at borders have no block of their own any more, so they meet along the row; one branch, so chains plan linearly.
-    return _merge(local.withColumn("block", F.when(~edge, F.col("block"))), "level", "z", "y", "block").select(*INTERVAL)
+    met = local.select("level", "z", "y", "x_start", "x_end", F.when(~edge, F.col("block")).alias("block"))
+    return merge(deal(met, rows), row, ["x_start", "x_end"]).select(*INTERVAL)
 
 
 def to_cells(df: DataFrame) -> DataFrame:
@@ -49,9 +70,9 @@ def to_cells(df: DataFrame) -> DataFrame:
     return df.where("x_start < x_end").select("level", F.explode(F.sequence("x_start", F.col("x_end") - 1)).alias("i"), F.col("y").alias("j"), F.col("z").alias("k"))
 
 
-def to_intervals(cells: DataFrame) -> DataFrame:
+def to_intervals(cells: DataFrame, rows: int | None = None) -> DataFrame:
     """Canonical intervals of cells, repeated ones included once."""
-    return normalise(cells.select("level", F.col("k").alias("z"), F.col("j").alias("y"), F.col("i").alias("x_start"), (F.col("i") + 1).alias("x_end")))
+    return normalise(cells.select("level", F.col("k").alias("z"), F.col("j").alias("y"), F.col("i").alias("x_start"), (F.col("i") + 1).alias("x_end")), rows)
 
 
 def contains(x: Column) -> Column:

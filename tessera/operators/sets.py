@@ -5,21 +5,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
+from math import prod
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .intervals import INTERVAL, frame, normalise, split, to_cells
+from .intervals import INTERVAL, deal, frame, merge, normalise, split, stitch, to_cells
 
 
 @dataclass(frozen=True)
 class CellSet:
-    """Cells of one level as canonical intervals. `table` may be lazy; nothing runs before an action."""
+    """Cells of one level as canonical intervals. `table` may be lazy; nothing runs before an action.
+
+    rows: at most so many intervals, where that is known; shuffles then have partitions of a bounded size, whatever the session's.
+    """
 
     table: DataFrame
     level: int
     dim: int = 2
     known_empty: bool = False
+    rows: int | None = None
 
     def on(self, level: int) -> CellSet:
         """Coarser: the cells that touch the set. Finer: all their descendants."""
@@ -29,11 +34,11 @@ class CellSet:
         if steps > 0:
             at = lambda c, used: F.shiftright(c, steps) if used else F.col(c)
             out = self.table.select(F.lit(level).alias("level"), at("z", self.dim > 2).alias("z"), at("y", self.dim > 1).alias("y"), F.shiftright("x_start", steps).alias("x_start"), (F.shiftright(F.col("x_end") - 1, steps) + 1).alias("x_end"))
-            return self._new(normalise(out), level)
+            return self._new(normalise(out, self.rows), level)
         out = self.table.withColumn("level", F.lit(level)).withColumn("x_start", F.shiftleft("x_start", -steps)).withColumn("x_end", F.shiftleft("x_end", -steps))
         for c in ("y", "z")[: self.dim - 1]:
             out = out.withColumn(c, F.explode(F.sequence(F.shiftleft(c, -steps), F.shiftleft(F.col(c) + 1, -steps) - 1)))
-        return self._new(out.select(*INTERVAL), level)
+        return self._new(out.select(*INTERVAL), level, 1 << (-steps * (self.dim - 1)))
 
     def translate(self, *by: int) -> CellSet:
         """Moved by so many cells of its own level along x, y, z."""
@@ -47,15 +52,18 @@ class CellSet:
         for c, w in zip(("y", "z"), widths[1:]):
             if w:
                 out = out.withColumn(c, F.explode(F.sequence(F.col(c) - w, F.col(c) + w)))
-        return self._new(normalise(out))
+        more = prod(2 * w + 1 for w in widths[1:])
+        return self._new(normalise(out, self._times(more)), more=more)
 
     def contract(self, width: int, axes: tuple[bool, ...] | None = None) -> CellSet:
         """The set meets its own shifts by `width` both ways, along each chosen axis."""
         out = self
-        for a in range(self.dim):
-            if (axes or (True,) * 3)[a]:
-                step = tuple(width if b == a else 0 for b in range(self.dim))
-                out = intersection(out, out.translate(*step), out.translate(*(-s for s in step)))
+        for a, c in enumerate(("x", "y", "z")[: self.dim]):
+            if width and (axes or (True,) * 3)[a]:
+                # One read, dealt out thrice: where all three lie, the cover is three.
+                shifted = out.table.withColumn("by", F.explode(F.array(*map(F.lit, (-width, 0, width)))))
+                moved = shifted.withColumns({n: F.col(n) + F.col("by") for n in (("x_start", "x_end") if c == "x" else (c,))})
+                out = _swept([moved], self.level, self.dim, out._times(3), lambda n: n[0] == 3)
         return out
 
     def shrink(self, width: int) -> CellSet:
@@ -84,14 +92,17 @@ class CellSet:
         """Cells with computed columns: what a visit of all cells would produce."""
         return self.cells().select("*", *columns)
 
-    def _new(self, table: DataFrame, level: int | None = None) -> CellSet:
-        return CellSet(table, self.level if level is None else level, self.dim, self.known_empty)
+    def _times(self, by: int) -> int | None:
+        return None if self.rows is None else self.rows * by
+
+    def _new(self, table: DataFrame, level: int | None = None, more: int = 1) -> CellSet:
+        return CellSet(table, self.level if level is None else level, self.dim, self.known_empty, self._times(more))
 
 
-def of_table(table: DataFrame, level: int, dim: int = 2, canonical: bool = False) -> CellSet:
-    """The intervals of one level; canonical: they are so already."""
+def of_table(table: DataFrame, level: int, dim: int = 2, canonical: bool = False, rows: int | None = None) -> CellSet:
+    """The intervals of one level; canonical: they are so already. rows: at most so many, where that is known."""
     own = table.where(F.col("level") == level)
-    return CellSet(own if canonical else normalise(own), level, dim)
+    return CellSet(own if canonical else normalise(own, rows), level, dim, rows=rows)
 
 
 def of_box(spark: SparkSession, level: int, low: tuple[int, ...], high: tuple[int, ...]) -> CellSet:
@@ -99,29 +110,38 @@ def of_box(spark: SparkSession, level: int, low: tuple[int, ...], high: tuple[in
     (x0, y0, z0), (x1, y1, z1) = (*low, 0, 0)[:3], (*high, 1, 1)[:3]
     rows = spark.range(y0, max(y0, y1)).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(z0), F.lit(max(z0, z1 - 1)))).alias("z")).where(F.lit(z0 < z1))
     table = rows.select(F.lit(level).alias("level"), "z", "y", F.lit(x0).alias("x_start"), F.lit(x1).alias("x_end")).where(F.lit(x0 < x1))
-    return CellSet(table, level, len(low), any(a >= b for a, b in zip(low, high)))
+    return CellSet(table, level, len(low), any(a >= b for a, b in zip(low, high)), max(0, y1 - y0) * max(0, z1 - z0))
 
 
 def nothing(spark: SparkSession, level: int, dim: int = 2) -> CellSet:
-    return CellSet(frame(spark, []), level, dim, True)
+    return CellSet(frame(spark, []), level, dim, True, 0)
+
+
+def _rows(sets: list[CellSet]) -> int | None:
+    return None if any(s.rows is None for s in sets) else sum(s.rows for s in sets)
 
 
 def _sweep(sets: list[CellSet], keep) -> CellSet:
-    """Segments between the ends of all operands, where `keep(counts)` holds; counts has each operand's cover."""
+    """What `keep` says of whether each operand lies there."""
     level = max(s.level for s in sets)
-    dim = max(s.dim for s in sets)
-    events = None
-    for n, s in enumerate(sets):
-        cut = split(s.on(level).table)
-        ends = cut.select("z", "y", "block", F.explode(F.array(F.struct(F.col("x_start").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x_end").alias("x"), F.lit(-1).alias("d")))).alias("e"))
-        ends = ends.select("z", "y", "block", "e.x", *((F.col("e.d") if m == n else F.lit(0)).alias(f"d{m}") for m in range(len(sets))))
-        events = ends if events is None else events.unionByName(ends)
+    same = [s.on(level) for s in sets]
+    return _swept([s.table for s in same], level, max(s.dim for s in sets), _rows(same), lambda n: keep([c > 0 for c in n]))
+
+
+def _swept(tables: list[DataFrame], level: int, dim: int, rows: int | None, keep) -> CellSet:
+    """Segments between the ends of all tables' intervals, where `keep(counts)` holds; counts has each table's cover."""
+    end = lambda x, d: F.struct(F.col(x).alias("x_start"), F.lit(d).alias("d"))
+    cut = [split(t.select(*INTERVAL)).select("z", "y", "block", F.explode(F.array(end("x_start", 1), end("x_end", -1))).alias("e"), F.lit(n).alias("of")) for n, t in enumerate(tables)]
     row = ["z", "y", "block"]
-    points = events.groupBy(*row, "x").agg(*(F.sum(f"d{n}").alias(f"d{n}") for n in range(len(sets))))
-    order = Window.partitionBy(*row).orderBy("x")
-    covered = points.select(*row, F.col("x").alias("x_start"), F.lead("x").over(order).alias("x_end"), *(F.sum(f"d{n}").over(order).alias(f"c{n}") for n in range(len(sets))))
-    kept = covered.where(F.col("x_end").isNotNull() & keep([F.col(f"c{n}") > 0 for n in range(len(sets))]))
-    return CellSet(normalise(kept.select(F.lit(level).alias("level"), "z", "y", "x_start", "x_end")), level, dim)
+    ends = deal(reduce(DataFrame.unionByName, cut).select(*row, "e.*", "of"), rows and rows * 2)
+    order = Window.partitionBy(*row).orderBy("x_start")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = [F.sum(F.when(F.col("of") == n, F.col("d")).otherwise(0)).over(upto).alias(f"c{n}") for n in range(len(tables))]
+    # Of ends at one place all but the last begin an empty segment.
+    covered = ends.select(*row, "x_start", F.lead("x_start").over(order).alias("x_end"), *counts)
+    kept = covered.where((F.col("x_start") < F.col("x_end")) & keep([F.col(f"c{n}") for n in range(len(tables))]))
+    local = merge(kept.select(*row, "x_start", "x_end"), row, ["x_start"]).withColumn("level", F.lit(level))
+    return CellSet(stitch(local, rows), level, dim, rows=rows)
 
 
 def intersection(*sets: CellSet) -> CellSet:
@@ -135,8 +155,9 @@ def difference(first: CellSet, *others: CellSet) -> CellSet:
 
 def union(*sets: CellSet) -> CellSet:
     level = max(s.level for s in sets)
-    tables = [s.on(level).table for s in sets]
-    return CellSet(normalise(reduce(DataFrame.unionByName, tables)), level, max(s.dim for s in sets), all(s.known_empty for s in sets))
+    same = [s.on(level) for s in sets]
+    rows = _rows(same)
+    return CellSet(normalise(reduce(DataFrame.unionByName, [s.table for s in same]), rows), level, max(s.dim for s in sets), all(s.known_empty for s in sets), rows)
 
 
 def box_difference(low: tuple[int, ...], high: tuple[int, ...], hole_low: tuple[int, ...], hole_high: tuple[int, ...]) -> list[tuple]:

@@ -33,12 +33,18 @@ _SPARSE = {"a": ("l_partkey", "l_suppkey"), "b": ("l_partkey", "l_suppkey + l_li
 
 
 def sparse_cells(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    return _line_cells(spark, sf, which).distinct()
+
+
+def _line_cells(spark: SparkSession, sf: str, which: str) -> DataFrame:
     i, j = (F.expr(x).cast("int") for x in _SPARSE[which])
-    return table(spark, sf, "lineitem").select(F.lit(FINE).alias("level"), i.alias("i"), j.alias("j"), F.lit(0).alias("k")).distinct()
+    return table(spark, sf, "lineitem").select(F.lit(FINE).alias("level"), i.alias("i"), j.alias("j"), F.lit(0).alias("k"))
 
 
 def sparse(spark: SparkSession, sf: str, which: str) -> CellSet:
-    return of_table(to_intervals(sparse_cells(spark, sf, which)), FINE, canonical=True)
+    """Repeated cells meet where intervals are merged. The table's row count, which Parquet keeps, says how far to deal them out."""
+    rows = table(spark, sf, "lineitem").count()
+    return of_table(to_intervals(_line_cells(spark, sf, which), rows), FINE, canonical=True, rows=rows)
 
 
 def marked(spark: SparkSession, sf: str) -> DataFrame:

@@ -133,3 +133,23 @@ def test_chains_plan_linearly(spark):
         sizes.append(chain.table._jdf.queryExecution().optimizedPlan().toString().count("Window"))
     steps = [b - a for a, b in zip(sizes, sizes[1:])]
     assert len(set(steps)) == 1
+
+
+def test_tasks_stay_small_as_rows_grow(ready):
+    """Where the number of rows is known, partitions follow it, whatever the session's; no aggregate holds a task's islands."""
+    raw = intervals.frame(ready, [(3, 0, n % 5, n * 2, n * 2 + 1 + n % 3) for n in range(50)])
+    want = {(r.y, x) for r in raw.collect() for x in range(r.x_start, r.x_end)}
+    s = sets.of_table(raw, 3, rows=intervals.ROWS * 7)
+    both, either = sets.intersection(s, s.translate(1)), sets.union(s, s.translate(1))
+    assert {(r.j, r.i) for r in s.cells().collect()} == want
+    assert {(r.j, r.i) for r in both.cells().collect()} == {(y, x) for y, x in want if (y, x - 1) in want}
+    assert [x.table.rdd.getNumPartitions() for x in (s, both, either)] == [7, 14, 14]
+    for x in (s, both, either):
+        assert "HashAggregate" not in x.table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contraction_reads_its_set_once(ready):
+    square = sets.of_table(intervals.frame(ready, [(3, 0, y, 4090, 4100) for y in range(6)]), 3)
+    small = square.contract(2)
+    assert sorted((r.y, r.x_start, r.x_end) for r in small.table.collect()) == [(2, 4092, 4098), (3, 4092, 4098)]
+    assert small.table._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + small.table._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
