@@ -13,6 +13,7 @@ from tessera.functions.levels import AXES, CELL, centre, down, length
 from tessera.functions.stencils import Offset, box, children, diagonals, directions, star
 
 from .faces import faces
+from .intervals import deal
 
 
 @dataclass(frozen=True)
@@ -75,12 +76,14 @@ def ancestors(leaves: DataFrame, min_level: int = 0) -> DataFrame:
     return at.select(F.col("up").alias("level"), *(down(a, F.col("level") - F.col("up")).alias(a) for a in AXES)).distinct()
 
 
-def pyramid(cells: DataFrame, levels: range, dim: int) -> DataFrame:
-    """Cells of one level on every level: those touched on coarser ones, all descendants on finer ones."""
+def pyramid(cells: DataFrame, levels: range, dim: int, rows: int | None = None) -> DataFrame:
+    """Cells of one level on every level: those touched on coarser ones, all descendants on finer ones. rows: about how many cells
+    there are, where that is known; they are then dealt out before repeated ones are found, so no task gathers those of a long input."""
     own = cells.agg(F.max("level")).first()[0]
     if own is None:
         return cells
-    up = cells.select(*CELL, F.explode(F.array(*(F.lit(x) for x in levels if x <= own))).alias("to")).select(F.col("to").alias("level"), *(down(a, F.col("level") - F.col("to")).alias(a) for a in AXES)).distinct() if min(levels) <= own else cells.limit(0)
+    up = cells.select(*CELL, F.explode(F.array(*(F.lit(x) for x in levels if x <= own))).alias("to")).select(F.col("to").alias("level"), *(down(a, F.col("level") - F.col("to")).alias(a) for a in AXES)) if min(levels) <= own else cells.limit(0)
+    up = deal(up, rows and rows * sum(x <= own for x in levels), *AXES[:dim]).distinct()
     fine = [x for x in levels if x > own]
     return reduce(DataFrame.unionByName, [refine(cells, x - own, dim) for x in fine], up)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.levels import CELL
 from tessera.operators.mesh import cells_of_boxes
 from tessera.operators.sets import CellSet, of_table
-from tessera.operators.intervals import to_intervals
+from tessera.operators.intervals import deal, to_intervals
 
 SIDE, LEVEL = 64, 6
 
@@ -33,7 +33,12 @@ _SPARSE = {"a": ("l_partkey", "l_suppkey"), "b": ("l_partkey", "l_suppkey + l_li
 
 
 def sparse_cells(spark: SparkSession, sf: str, which: str) -> DataFrame:
-    return _line_cells(spark, sf, which).distinct()
+    return deal(_line_cells(spark, sf, which), lines(spark, sf), "i", "j").distinct()
+
+
+def lines(spark: SparkSession, sf: str) -> int:
+    """Line items: a count that Parquet keeps."""
+    return table(spark, sf, "lineitem").count()
 
 
 def _line_cells(spark: SparkSession, sf: str, which: str) -> DataFrame:
@@ -42,8 +47,8 @@ def _line_cells(spark: SparkSession, sf: str, which: str) -> DataFrame:
 
 
 def sparse(spark: SparkSession, sf: str, which: str) -> CellSet:
-    """Repeated cells meet where intervals are merged. The table's row count, which Parquet keeps, says how far to deal them out."""
-    rows = table(spark, sf, "lineitem").count()
+    """Repeated cells meet where intervals are merged. The table's row count says how far to deal them out."""
+    rows = lines(spark, sf)
     return of_table(to_intervals(_line_cells(spark, sf, which), rows), FINE, canonical=True, rows=rows)
 
 

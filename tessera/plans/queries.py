@@ -224,7 +224,7 @@ def mesh_ancestors(spark, sf):
 
 @query("p as (select distinct 12 as level, i >> 2 as i, j >> 2 as j from c union select 13, i >> 1, j >> 1 from c union select 14, i, j from c union all select 15, (i * 2 + x.e)::int, (j * 2 + y.d)::int from c, range(2) x(e), range(2) y(d)) select level, i, j from p")
 def mesh_pyramid(spark, sf):
-    return mesh.pyramid(lenses.sparse_cells(spark, sf, "c"), range(12, 16), 2).select("level", *IJ)
+    return mesh.pyramid(lenses.sparse_cells(spark, sf, "c"), range(12, 16), 2, lenses.lines(spark, sf)).select("level", *IJ)
 
 
 @query("select distinct level, (i + x.e)::int as i, (j + y.d)::int as j from mesh, range(-1, 2) x(e), range(-1, 2) y(d)")
