@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 from math import prod
@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from .intervals import INTERVAL, deal, frame, merge, normalise, split, stitch, to_cells
 
 
+#: Rows of cells, as a power of two, that are shuffled together where sets of two levels meet, or a set grows.
+BAND = 6
+
+
 @dataclass(frozen=True)
 class CellSet:
     """Cells of one level as canonical intervals. `table` may be lazy; nothing runs before an action.
 
     rows: at most so many intervals, where that is known; shuffles then have partitions of a bounded size, whatever the session's.
+    coarse: the set that this one refines; set operations work on it, and refine their result.
     """
 
     table: DataFrame
@@ -25,12 +30,15 @@ class CellSet:
     dim: int = 2
     known_empty: bool = False
     rows: int | None = None
+    coarse: CellSet | None = None
 
     def on(self, level: int) -> CellSet:
         """Coarser: the cells that touch the set. Finer: all their descendants."""
         steps = self.level - level
         if not steps:
             return self
+        if self.coarse:
+            return self.coarse.on(level)
         if steps > 0:
             at = lambda c, used: F.shiftright(c, steps) if used else F.col(c)
             out = self.table.select(F.lit(level).alias("level"), at("z", self.dim > 2).alias("z"), at("y", self.dim > 1).alias("y"), F.shiftright("x_start", steps).alias("x_start"), (F.shiftright(F.col("x_end") - 1, steps) + 1).alias("x_end"))
@@ -38,7 +46,7 @@ class CellSet:
         out = self.table.withColumn("level", F.lit(level)).withColumn("x_start", F.shiftleft("x_start", -steps)).withColumn("x_end", F.shiftleft("x_end", -steps))
         for c in ("y", "z")[: self.dim - 1]:
             out = out.withColumn(c, F.explode(F.sequence(F.shiftleft(c, -steps), F.shiftleft(F.col(c) + 1, -steps) - 1)))
-        return self._new(out.select(*INTERVAL), level, 1 << (-steps * (self.dim - 1)))
+        return replace(self._new(out.select(*INTERVAL), level, 1 << (-steps * (self.dim - 1))), coarse=self)
 
     def translate(self, *by: int) -> CellSet:
         """Moved by so many cells of its own level along x, y, z."""
@@ -49,11 +57,15 @@ class CellSet:
         """All cells at most `width` (one for each axis, or for all) away along each chosen axis."""
         widths = [w if (axes or (True,) * 3)[a] else 0 for a, w in enumerate((width,) * self.dim if isinstance(width, int) else width)] + [0, 0]
         out = self.table.withColumn("x_start", F.col("x_start") - widths[0]).withColumn("x_end", F.col("x_end") + widths[0])
-        for c, w in zip(("y", "z"), widths[1:]):
-            if w:
-                out = out.withColumn(c, F.explode(F.sequence(F.col(c) - w, F.col(c) + w)))
-        more = prod(2 * w + 1 for w in widths[1:])
-        return self._new(normalise(out, self._times(more)), more=more)
+        if widths[2]:
+            out = out.withColumn("z", F.explode(F.sequence(F.col("z") - widths[2], F.col("z") + widths[2])))
+        # An interval goes once to each band of rows that it reaches, and is dealt out to the rows there.
+        y, w, rows = F.col("y"), widths[1], self._times(prod(2 * w + 1 for w in widths[1:]))
+        banded = split(out).withColumn("band", F.explode(F.sequence(F.shiftright(y - w, BAND), F.shiftright(y + w, BAND))))
+        low = F.shiftleft("band", BAND)
+        each = deal(banded, rows, "band", "block").withColumn("y", F.explode(F.sequence(F.greatest(y - w, low), F.least(y + w, low + ((1 << BAND) - 1)))))
+        local = merge(each, ["level", "z", "y", "band", "block"], ["x_start", "x_end"])
+        return self._new(stitch(local, rows), more=prod(2 * w + 1 for w in widths[1:]))
 
     def contract(self, width: int, axes: tuple[bool, ...] | None = None) -> CellSet:
         """The set meets its own shifts by `width` both ways, along each chosen axis."""
@@ -144,13 +156,51 @@ def _swept(tables: list[DataFrame], level: int, dim: int, rows: int | None, keep
     return CellSet(stitch(local, rows), level, dim, rows=rows)
 
 
+def _cut(fine: CellSet, other: CellSet, inside: bool) -> CellSet:
+    """What of `fine` lies inside, or outside, a set on a coarser level, whose rows are not refined: each block of a band of fine rows
+    gets the coarse intervals there once (at most 2^BLOCK / 2^(steps + 1)), and cuts its own with them."""
+    steps = fine.level - other.level
+    band = min(steps, BAND)
+    axes = [a for a in ("y", "z")[: max(fine.dim, other.dim) - 1]]
+    holes = other.table.select(*INTERVAL).withColumns({x: F.shiftleft(x, steps) for x in ("x_start", "x_end")})
+    for a in axes:
+        holes = holes.withColumn(a, F.explode(F.sequence(F.shiftleft(a, steps - band), F.shiftleft(F.col(a) + 1, steps - band) - 1)))
+    keys = [f"b{a}" for a in ("y", "z")]
+    piece = F.struct("x_start", "x_end")
+    mine = split(fine.table.select(*INTERVAL)).select(*((F.shiftright(a, band) if a in axes else F.col(a)).alias(k) for a, k in zip(("y", "z"), keys)), "block", "z", "y", piece.alias("own"))
+    theirs = split(holes).select(F.col("y").alias("by"), F.col("z").alias("bz"), "block", piece.alias("hole"))
+    both = deal(mine.unionByName(theirs, allowMissingColumns=True), _rows([fine, other]), "by", "block")
+    group = Window.partitionBy(*keys, "block").orderBy("hole.x_start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = both.withColumn("holes", F.collect_list("hole").over(group)).where("own is not null")
+    start, end = F.col("own.x_start"), F.col("own.x_end")
+    near = F.filter("holes", lambda h: (h["x_start"] < end) & (h["x_end"] > start))
+    part = lambda a, b: F.struct(a.alias("x_start"), b.alias("x_end"))
+    if inside:
+        parts = F.transform(near, lambda h: part(F.greatest(h["x_start"], start), F.least(h["x_end"], end)))
+    else:
+        lows, highs = F.concat(F.array(start), F.transform(near, lambda h: h["x_end"])), F.concat(F.transform(near, lambda h: h["x_start"]), F.array(end))
+        parts = F.filter(F.zip_with(lows, highs, part), lambda p: p["x_start"] < p["x_end"])
+    left = met.select("z", "y", "block", F.explode(parts).alias("p")).select(F.lit(fine.level).alias("level"), "z", "y", "p.*", "block")
+    rows = _rows([fine, other])
+    return CellSet(stitch(left, rows), fine.level, max(fine.dim, other.dim), rows=rows)
+
+
 def intersection(*sets: CellSet) -> CellSet:
-    return _sweep(list(sets), lambda c: reduce(lambda a, b: a & b, c))
+    level, own = max(s.level for s in sets), [s.coarse or s for s in sets]
+    finest = max(s.level for s in own)
+    fine = [s for s in own if s.level == finest]
+    out = fine[0] if len(fine) == 1 else _sweep(fine, lambda c: reduce(lambda a, b: a & b, c))
+    return reduce(lambda a, b: _cut(a, b, True), [s for s in own if s.level < finest], out).on(level)
 
 
 def difference(first: CellSet, *others: CellSet) -> CellSet:
     """Cells of the first set that are in none of the others."""
-    return _sweep([first, *others], lambda c: reduce(lambda a, b: a & ~b, c))
+    level = max(s.level for s in (first, *others))
+    out, *own = [s.coarse or s for s in (first, *others)]
+    at = out.level
+    out = reduce(lambda a, b: _cut(a, b, False), [s for s in own if s.level < at], out)
+    rest = [s for s in own if s.level >= at]
+    return (_sweep([out, *rest], lambda c: reduce(lambda a, b: a & ~b, c)) if rest else out).on(level)
 
 
 def union(*sets: CellSet) -> CellSet:

@@ -153,3 +153,34 @@ def test_contraction_reads_its_set_once(ready):
     small = square.contract(2)
     assert sorted((r.y, r.x_start, r.x_end) for r in small.table.collect()) == [(2, 4092, 4098), (3, 4092, 4098)]
     assert small.table._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + small.table._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
+def test_coarser_sets_cut_without_refined_rows(spark):
+    """Long and short runs against coarser sets, rows above and below zero, more rows than a band; as refined sets give it."""
+    rng = random.Random(5)
+    fine = [(9, 0, rng.randrange(-200, 200), x, x + rng.randrange(1, 6000)) for x in (rng.randrange(-9000, 9000) for _ in range(60))]
+    rough = [(1, 0, rng.randrange(-1, 1), x, x + rng.randrange(1, 4)) for x in (rng.randrange(-40, 40) for _ in range(12))]
+    a, b = sets.of_table(intervals.frame(spark, fine), 9), sets.of_table(intervals.frame(spark, rough), 1)
+    plain = sets.CellSet(b.on(9).table, 9)
+    assert b.on(9).coarse is not None and plain.coarse is None
+    for f in (sets.intersection, sets.difference):
+        got, want = (sorted(tuple(r) for r in f(a, x).table.collect()) for x in (b, plain))
+        assert got == want != []
+    assert sets.difference(a.on(11), b).coarse.level == 9
+
+
+def test_growing_deals_rows_out_after_the_shuffle(spark):
+    s = sets.of_table(intervals.frame(spark, [(7, 0, y, x, x + 2) for y, x in ((-1, 0), (63, 4093), (64, 4097), (200, 0))]), 7, rows=4)
+    want = {(y + d, x + e) for y, x in ((-1, 0), (63, 4093), (64, 4097), (200, 0)) for d in range(-3, 4) for e in range(-1, 3)}
+    grown = s.expand((1, 3))
+    assert {(r.j, r.i) for r in grown.cells().collect()} == want
+    plan = grown.table._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    dealt = [n for n, line in enumerate(plan) if "RepartitionByExpression" in line]
+    assert any("explode(sequence(greatest" in line for line in plan[dealt[0] : dealt[1]])
+
+
+def test_pyramid_is_dealt_out_by_its_rows(spark):
+    cells = spark.createDataFrame([(3, i, i % 4, 0) for i in range(8)], "level int, i int, j int, k int")
+    known, plain = mesh.pyramid(cells, range(1, 5), 2, intervals.ROWS * 5), mesh.pyramid(cells, range(1, 5), 2)
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, plain.collect()))
+    assert known.where("level < 4").rdd.getNumPartitions() >= 15
