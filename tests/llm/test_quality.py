@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -60,3 +61,30 @@ def test_threshold():
     t = quality.best_threshold(np.array([0.0, 1.0, 2.0, 3.0]), np.array([False, False, True, True]))
     assert t == 1.5
     assert quality.best_threshold(np.array([0.0, 1.0]), np.array([True, True])) == -np.inf
+
+
+def test_all_labelled_documents_teach(spark):
+    """Far more labelled documents than a sample of 5,000 a class: counts and threshold as a plain version has them over all."""
+    word = lambda i, q: f"{'good' if q else 'bad'}{i * 7919 % 4001} w{i % 53} x{i * 31 % 97}"
+    rows = [(i, i % 2, word(i, i % 2) if i % 11 else word(i, 1 - i % 2)) for i in range(24_000)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, q, _ in rows], "doc_id long, quality int")
+    fold = [zlib.crc32(str(i).encode()) % 2 for i, _, _ in rows]
+    words = quality.Words([t for _, _, t in rows])
+    buckets, doc = words.ngrams()
+    raw = 1.0 + np.bincount(buckets, minlength=quality.BUCKETS)
+    trusted = np.array([q == 1 and f == 0 for (_, q, _), f in zip(rows, fold)])
+    target = 1.0 + np.bincount(buckets[trusted[doc]], minlength=quality.BUCKETS)
+    ratio = quality._ratio(words, np.log(target / target.sum()) - np.log(raw / raw.sum()))
+    held = np.array(fold) == 1
+    threshold = quality.best_threshold(ratio[held], np.array([q for _, q, _ in rows])[held] == 1)
+    got = {r.doc_id: r.ratio for r in quality.judge(docs, labels).collect()}
+    assert np.allclose([got[i] for i, _, _ in rows], ratio, rtol=0, atol=1e-9)
+    scored = spark.createDataFrame([(float(r), q) for (_, q, _), r, h in zip(rows, ratio, held) if h], "ratio double, quality int")
+    assert quality.threshold_of(scored) == threshold
+
+
+def test_threshold_of_a_table(spark):
+    of = lambda rows: quality.threshold_of(spark.createDataFrame(rows, "ratio double, quality int").repartition(3))
+    assert of([(0.0, 0), (1.0, 0), (2.0, 1), (3.0, 1)]) == 1.5
+    assert of([(0.0, 1), (1.0, 1)]) == of([]) == of([(0.0, 1), (1.0, 0)]) == -np.inf
