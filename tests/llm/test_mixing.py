@@ -231,3 +231,12 @@ def test_other_rows_at_the_second_reading_fail(spark):
     docs = spark.range(0, 50, 1, 2).select(F.col("id").alias("doc_id"), F.udf(lambda i: uuid.uuid4().hex, "string")("id").alias("text"))
     with pytest.raises(Exception, match="not those of the first reading"):
         M.score(docs).collect()
+
+
+def test_arrays_are_laid_out_by_predictor():
+    """What the limit of CPU time a GB asks for: odds without the chance itself, slots of an order side by side."""
+    odds = M.log_odds(np.array([3.0, 1e-9], np.float32), np.array([1.0, 2.0], np.float32))
+    assert np.array_equal(odds, np.array([np.log(np.float32(3)), -M.FAR], np.float32))
+    text, _, near = M._before([b"abc", b""])
+    y, at = M._bits(text, near)
+    assert y.tolist() == np.unpackbits(text).tolist() and at.shape == (8 * len(text), len(M.ORDERS)) and at.T.flags.c_contiguous
