@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import intervals, mesh, multires, partition, sets, solve
 from tessera.operators.fields import equal
+from tessera.plans import lenses, queries
 from tessera.plans.session import checkpoint_dir
 from tessera.sources import tables
 
@@ -184,3 +185,13 @@ def test_pyramid_is_dealt_out_by_its_rows(spark):
     known, plain = mesh.pyramid(cells, range(1, 5), 2, intervals.ROWS * 5), mesh.pyramid(cells, range(1, 5), 2)
     assert sorted(map(tuple, known.collect())) == sorted(map(tuple, plain.collect()))
     assert known.where("level < 4").rdd.getNumPartitions() >= 15
+
+
+@pytest.mark.parametrize("name", ["set_translate_on"])
+def test_set_queries_follow_the_rows_of_their_table(ready, monkeypatch, name):
+    """A task gets no more rows of a larger table, whatever the session's partitions (4 here)."""
+    monkeypatch.setattr(intervals, "ROWS", 500, raising=False)
+    sf = "/root/testdata/sf0.001"
+    df = queries.QUERIES[name](ready, sf)
+    assert df.rdd.getNumPartitions() >= lenses.table(ready, sf, "lineitem").count() / 500 > 8
+    assert "HashAggregate" not in df._jdf.queryExecution().executedPlan().toString()
