@@ -187,7 +187,7 @@ def test_pyramid_is_dealt_out_by_its_rows(spark):
     assert known.where("level < 4").rdd.getNumPartitions() >= 15
 
 
-@pytest.mark.parametrize("name", ["set_translate_on", "set_intersection", "set_difference"])
+@pytest.mark.parametrize("name", ["set_translate_on", "set_intersection", "set_difference", "set_expand_widths"])
 def test_set_queries_follow_the_rows_of_their_table(ready, monkeypatch, name):
     """A task gets no more rows of a larger table, whatever the session's partitions (4 here)."""
     monkeypatch.setattr(intervals, "ROWS", 500, raising=False)
